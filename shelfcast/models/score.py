@@ -65,35 +65,42 @@ def model_scorer(trained: TrainedModel) -> Scorer:
     return lambda df: score(df, trained).drop("confidence_lower", "confidence_upper")
 
 
-def parse_requests(raw: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Requests and rejects from JSON text.
+def parse_requests(raw: DataFrame, column: str = "value") -> DataFrame:
+    """Request columns from JSON text, and the ``reason`` of those that must be rejected.
 
-    A request needs ``product_id``, ``store_id`` and ``date`` as text, and numbers as feature values.
-    Everything else goes to the rejects with a reason. Works on streams.
+    A request needs ``product_id``, ``store_id`` and ``date`` as text; ``features`` may be absent and
+    otherwise maps names to numbers. Works on streams; see :func:`split_rejects`.
     """
-    loose = T.StructType([T.StructField(f, T.StringType()) for f in ("product_id", "store_id", "date", "features")])
-    text = F.col(column)
-    value = F.from_json(text, loose)
-    is_text = {f: F.get_json_object(text, f"$.{f}").isNotNull()
-               & text.rlike(rf'"{f}"\s*:\s*"') for f in ("product_id", "store_id", "date")}
-    values = F.from_json(value["features"], T.MapType(T.StringType(), T.StringType()))
+    texts = ("product_id", "store_id", "date")
+    parsed = raw.withColumn("_json", F.try_parse_json(column))
+
+    def part(name: str) -> Column:
+        return F.try_variant_get("_json", f"$.{name}", "variant")
+
+    values = F.try_variant_get("_json", "$.features", "map<string,string>")
     numbers = F.transform_values(values, lambda _, v: v.try_cast("double"))
-    quoted = value["features"].rlike(r':\s*"')
-    bad_number = F.coalesce(F.exists(F.map_values(numbers), lambda v: v.isNull()), F.lit(False))
-    unreadable = F.try_parse_json(text).isNull()
-    reason = F.when(unreadable, "not a JSON object")
-    for f, ok in is_text.items():
-        reason = reason.when(~F.coalesce(ok, F.lit(False)), f"{f} is missing or not text")
-    reason = reason.when(value["features"].isNotNull() & (quoted | bad_number | values.isNull()),
-                         "features must be numbers")
-    checked = raw.withColumn("_reason", reason)
-    empty = F.create_map().cast("map<string,double>")
-    good = checked.filter(F.col("_reason").isNull()).select(
+    read = parsed.select(
         *[c for c in raw.columns if c != column],
-        *[value[f].alias(f) for f in ("product_id", "store_id", "date")],
-        F.coalesce(numbers, empty).alias("features"))
-    rejects = checked.filter(F.col("_reason").isNotNull()).withColumnRenamed("_reason", "reason")
-    return good, rejects
+        F.col("_json").isNull().alias("_unreadable"),
+        *[F.when(F.schema_of_variant(part(f)) == "STRING", F.try_variant_get("_json", f"$.{f}", "string")).alias(f)
+          for f in texts],
+        part("features").isNotNull().alias("_given"),
+        numbers.alias("features"),
+    )
+    reason = F.when(F.col("_unreadable"), "not JSON")
+    for f in texts:
+        reason = reason.when(F.col(f).isNull(), f"{f} is missing or not text")
+    no_numbers = F.col("features").isNull() | F.exists(F.map_values("features"), lambda v: v.isNull())
+    reason = reason.when(F.col("_given") & no_numbers, "features must be numbers")
+    empty = F.create_map().cast("map<string,double>")
+    return read.withColumns({"features": F.coalesce("features", empty), "reason": reason}).drop(
+        "_unreadable", "_given")
+
+
+def split_rejects(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted requests and the table of rejects."""
+    rejected = F.col("reason").isNotNull()
+    return parsed.filter(~rejected).drop("reason"), parsed.filter(rejected)
 
 
 def score_requests(

@@ -75,7 +75,7 @@ def add_past_statistics(
     deviation = value - F.col("_centre")
 
     def parts_of(over=None) -> dict[str, Column]:
-        exprs = {"_n": F.count(value), "_s": F.sum(deviation), "_q": F.sum(deviation * deviation),
+        exprs = {"_n": F.count(value), "_t": F.sum(value), "_s": F.sum(deviation), "_q": F.sum(deviation * deviation),
                  "_lo": F.min(value), "_hi": F.max(value)}
         return {k: (e.over(over) if over is not None else e) for k, e in exprs.items()}
 
@@ -83,15 +83,15 @@ def add_past_statistics(
     if chunked is not None:
         seen = _add_earlier_chunks(seen, centre, keys, parts_of())
     n, s, q = F.col("_n"), F.coalesce(F.col("_s"), F.lit(0.0)), F.coalesce(F.col("_q"), F.lit(0.0))
-    mean_shift = F.try_divide(s, n)
-    spread = F.greatest(q - s * mean_shift, F.lit(0.0))
+    total = F.coalesce(F.col("_t"), F.lit(0.0))
+    spread = F.greatest(q - s * F.try_divide(s, n), F.lit(0.0))
     known = ~any_null(keys)
     added = {
-        f"{target}_mean": F.when(n > 0, mean_shift + F.col("_centre")),
+        f"{target}_mean": F.try_divide(total, n),
         f"{target}_std": F.when(n > 1, F.sqrt(F.try_divide(spread, n - 1))),
         f"{target}_min": F.col("_lo"),
         f"{target}_max": F.col("_hi"),
-        f"{target}_sum": F.when(n > 0, s + n * F.col("_centre")).otherwise(0.0),
+        f"{target}_sum": total,
         f"{target}_count": n,
     }
     out = seen.select(*df.columns, *[F.when(known, c).alias(name) for name, c in added.items()])
@@ -109,9 +109,9 @@ def _add_earlier_chunks(seen: DataFrame, rows: DataFrame, keys: list[str], exprs
     earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     before = materialise(totals.select(
         *keys, CHUNK,
-        F.sum("_n").over(earlier).alias("_n0"), F.sum("_s").over(earlier).alias("_s0"),
-        F.sum("_q").over(earlier).alias("_q0"), F.min("_lo").over(earlier).alias("_lo0"),
-        F.max("_hi").over(earlier).alias("_hi0"),
+        F.sum("_n").over(earlier).alias("_n0"), F.sum("_t").over(earlier).alias("_t0"),
+        F.sum("_s").over(earlier).alias("_s0"), F.sum("_q").over(earlier).alias("_q0"),
+        F.min("_lo").over(earlier).alias("_lo0"), F.max("_hi").over(earlier).alias("_hi0"),
     ).filter(F.col(CHUNK) > 0))
     joined = seen.join(broadcast_if_small(before, before.count()), [*keys, CHUNK], "left")
 
@@ -120,6 +120,6 @@ def _add_earlier_chunks(seen: DataFrame, rows: DataFrame, keys: list[str], exprs
         return F.coalesce(F.col(now), zero) + F.coalesce(F.col(f"{now}0"), zero)
 
     return joined.withColumns({
-        "_n": added("_n"), "_s": added("_s"), "_q": added("_q"),
+        "_n": added("_n"), "_t": added("_t"), "_s": added("_s"), "_q": added("_q"),
         "_lo": F.least("_lo", "_lo0"), "_hi": F.greatest("_hi", "_hi0"),
     })

@@ -1,29 +1,135 @@
 """Quota windows that open at a client's first request and last a fixed time.
 
 The next window opens at the first request at or after the end of the last one, so a window depends
-on all earlier ones. To keep a busy client out of a single task, its time line is cut into blocks.
-What a block does to the chain is a step function from the time the open window ends to the time
-the last window of the block ends. Those functions are small and are composed over ever longer
-blocks; then the end time that enters each block is handed down and blocks are finished in parallel.
+on all earlier ones. Clients of ordinary size are walked in time order, many per task and in constant
+memory. The time line of a client with very many requests is cut into blocks instead. What a block
+does to the chain is a step function from the time the open window ends to the time the last window
+of the block ends. Those functions are small and are composed over ever longer runs of blocks; then
+the end time that enters each block is handed down, and all blocks are finished in parallel.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfcast.operators.requestlog import LIMIT, WINDOW_SECONDS, number_in_window
+from shelfcast.operators.skew import MAX_GROUP_ROWS, broadcast_if_small
 from shelfcast.session import materialise
 
-BLOCK_WINDOWS = 16  # windows per block
+# Fixed value: requests without a client share one quota.
+UNKNOWN_CLIENT = "unknown"
 FAN_IN = 64  # blocks composed into one of the next level
-
 NO_WINDOW = np.iinfo(np.int64).min
-_STEPS = "client {client}, block bigint, upto bigint, leaves bigint"
+EPOCH = "1970-01-01 00:00:00"
+
+_STEPS = "_client string, block bigint, begin bigint, upto bigint, leaves bigint"
+_ENTERS = "_client string, block bigint, enters bigint"
+
+
+def anchored_windows(
+    log: DataFrame, seconds: int = WINDOW_SECONDS, max_rows: int = MAX_GROUP_ROWS, fan_in: int = FAN_IN
+) -> DataFrame:
+    """Add ``window_start`` of the anchored window that each request falls into.
+
+    ``log`` has ``client`` and ``ts``. ``max_rows`` bounds the requests of one client that a single
+    task walks; requests without a time have no window.
+    """
+    width = seconds * 1_000_000
+    rows = log.withColumns({
+        "_client": F.coalesce(F.col("client").cast("string"), F.lit(UNKNOWN_CLIENT)),
+        "_us": F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp"), F.col("ts")),
+    })
+    timed = rows.filter(F.col("_us").isNotNull())
+    sizes = timed.groupBy("_client").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_first"), F.max("_us").alias("_last"))
+    hot = materialise(sizes.filter(F.col("_n") > max_rows))
+    n_hot = hot.count()
+    if n_hot == 0:
+        started = _walk(timed, width)
+    else:
+        # Block length per client: enough blocks to hold the bound on average, whole windows each.
+        blocks = F.ceil(F.col("_n") / max_rows)
+        length = F.ceil((F.col("_last") - F.col("_first") + 1) / blocks / width) * width
+        plan = broadcast_if_small(hot.select("_client", "_first", length.cast("bigint").alias("_length")), n_hot)
+        flagged = timed.join(plan, "_client", "left")
+        cold = flagged.filter(F.col("_length").isNull()).select(*rows.columns)
+        busy = flagged.filter(F.col("_length").isNotNull()).withColumn(
+            "_block", F.expr("(_us - _first) div _length"))
+        started = _walk(cold, width).unionByName(_finish_blocks(busy, rows.columns, width, fan_in))
+    timeless = rows.filter(F.col("_us").isNull()).withColumn("_start", F.lit(None).cast("bigint"))
+    epoch = F.lit(EPOCH).cast(log.schema["ts"].dataType)
+    window_start = F.timestamp_add("MICROSECOND", F.col("_start"), epoch)
+    return started.unionByName(timeless).select(*log.columns, window_start.alias("window_start"))
+
+
+def _walk(rows: DataFrame, width: int) -> DataFrame:
+    """Window starts of clients that fit a task: a single pass in time order."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("_start", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client, start = None, 0
+        for batch in batches:
+            starts = []
+            pairs = zip(batch.column("_client").to_pylist(), batch.column("_us").to_pylist(), strict=True)
+            for who, us in pairs:
+                if who != client or us >= start + width:
+                    client, start = who, us
+                starts.append(start)
+            yield batch.append_column("_start", pa.array(starts, pa.int64()))
+
+    return rows.repartition("_client").sortWithinPartitions("_client", "_us").mapInArrow(run, schema)
+
+
+def _finish_blocks(busy: DataFrame, columns: Sequence[str], width: int, fan_in: int) -> DataFrame:
+    distinct = busy.select("_client", F.col("_block").alias("block"), "_us",
+                           (F.col("_first") + F.col("_block") * F.col("_length")).alias("begin")).distinct()
+
+    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        upto, leaves = _block_steps(np.sort(pdf["_us"].to_numpy()), int(pdf["begin"].iloc[0]), width)
+        return _step_frame(pdf, pdf["block"].iloc[0], upto, leaves)
+
+    def compose(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        upto, leaves = _compose(pdf, width)
+        return _step_frame(pdf, key[1], upto, leaves)
+
+    parent = F.expr(f"block div {fan_in}")
+    levels = [materialise(distinct.groupBy("_client", "block").applyInPandas(summarise, _STEPS))]
+    while levels[-1].agg(F.max("block")).first()[0] >= fan_in:
+        above = levels[-1].groupBy("_client", parent.alias("parent")).applyInPandas(compose, _STEPS)
+        levels.append(materialise(above))
+
+    def enter(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf["enters"].iloc[0]
+        return _enter_blocks(pdf, NO_WINDOW if pd.isna(first) else int(first))
+
+    none = F.lit(None).cast("bigint")
+    entries = levels[-1].withColumns({"parent": F.lit(0), "enters": none}).groupBy("_client", "parent").applyInPandas(
+        enter, _ENTERS)
+    for steps in reversed(levels[:-1]):
+        above = entries.withColumnRenamed("block", "parent")
+        entries = steps.withColumn("parent", parent).join(above, ["_client", "parent"]).groupBy(
+            "_client", "parent").applyInPandas(enter, _ENTERS)
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        ts, first = np.sort(pdf["_us"].to_numpy()), pdf["enters"].iloc[0]
+        starts = _window_starts(ts, NO_WINDOW if pd.isna(first) else int(first), width)
+        return pd.DataFrame({"_client": pdf["_client"].iloc[0], "_us": ts, "_start": starts})
+
+    starts = distinct.join(entries, ["_client", "block"]).groupBy("_client", "block").applyInPandas(
+        assign, "_client string, _us bigint, _start bigint")
+    return busy.join(starts, ["_client", "_us"]).select(*columns, "_start")
+
+
+def _step_frame(pdf: pd.DataFrame, block: int, upto: np.ndarray, leaves: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"_client": pdf["_client"].iloc[0], "block": block, "begin": pdf["begin"].min(),
+                         "upto": upto, "leaves": leaves})
 
 
 def _compress(upto: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,15 +138,15 @@ def _compress(upto: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndar
     return upto[last], leaves[last]
 
 
-def _entries(upto: np.ndarray, block_start: int, width: int) -> np.ndarray:
+def _entries(upto: np.ndarray, begin: int, width: int) -> np.ndarray:
     """Steps that a window opened before the block can reach: it ends less than a width into it."""
-    return upto[: int(np.searchsorted(upto, block_start + width)) + 1]
+    return upto[: int(np.searchsorted(upto, begin + width)) + 1]
 
 
-def _block_steps(ts: np.ndarray, block_start: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _block_steps(ts: np.ndarray, begin: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Step function of one block: opening at request ``upto``, the last window ends at ``leaves``."""
     following = np.searchsorted(ts, ts + width)
-    starts = _entries(ts, block_start, width)
+    starts = _entries(ts, begin, width)
     last = np.arange(len(starts))
     while True:  # one round per window of the block, for all entries at once
         target = following[last]
@@ -49,22 +155,33 @@ def _block_steps(ts: np.ndarray, block_start: int, width: int) -> tuple[np.ndarr
         last = np.where(target < len(ts), target, last)
 
 
-def _compose(steps: pd.DataFrame, block_start: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _compose(steps: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Step function of consecutive blocks."""
-    entries = _entries(np.unique(steps["upto"].to_numpy()), block_start, width)
+    entries = _entries(np.unique(steps["upto"].to_numpy()), int(steps["begin"].min()), width)
     state = entries.copy()
     for _, part in steps.groupby("block", sort=True):
-        state = _advance(state, part["upto"].to_numpy(), part["leaves"].to_numpy())
+        state = _advance(state, part)
     return _compress(entries, state)
 
 
-def _advance(state: np.ndarray, upto: np.ndarray, leaves: np.ndarray) -> np.ndarray:
-    order = np.argsort(upto)
-    upto, leaves = upto[order], leaves[order]
+def _advance(state: np.ndarray, part: pd.DataFrame) -> np.ndarray:
+    """Apply one step function; a window that ends after its last step passes unchanged."""
+    ordered = part.sort_values("upto")
+    upto, leaves = ordered["upto"].to_numpy(), ordered["leaves"].to_numpy()
     at = np.searchsorted(upto, state)
     return np.where(at < len(upto), leaves[np.minimum(at, len(upto) - 1)], state)
 
 
+def _enter_blocks(pdf: pd.DataFrame, enters: int) -> pd.DataFrame:
+    """The end time that enters each block of a run."""
+    out: list[tuple[int, int | None]] = []
+    for block, part in pdf.groupby("block", sort=True):
+        out.append((block, None if enters == NO_WINDOW else enters))
+        enters = int(_advance(np.array([enters]), part)[0])
+    blocks, ends = zip(*out, strict=True)
+    return pd.DataFrame({"_client": pdf["_client"].iloc[0], "block": blocks, "enters": pd.array(ends, dtype="Int64")})
+
+
 def _window_starts(ts: np.ndarray, enters: int, width: int) -> np.ndarray:
     """Window start per request of one block, given when the window open at its start ends."""
     starts = np.empty(len(ts), dtype=np.int64)
@@ -79,103 +196,13 @@ def _window_starts(ts: np.ndarray, enters: int, width: int) -> np.ndarray:
     return starts
 
 
-def anchored_windows(log: DataFrame, seconds: int = WINDOW_SECONDS, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """Add ``window_start`` of the anchored window that each request falls into.
-
-    ``log`` has ``client`` and ``ts``. Rows only meet per (client, block), a bounded stretch of
-    time; the composed levels hold step functions, not requests.
-    """
-    width = seconds * 1_000_000
-    length = width * block_windows
-    client_type = log.schema["client"].dataType.simpleString()
-    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp"), F.col("ts"))
-    block = F.expr(f"(_us - pmod(_us, {length}L)) div {length}L")
-    rows = log.withColumn("_us", micros).withColumn("_block", block)
-    times = rows.filter(F.col("client").isNotNull() & F.col("_us").isNotNull())
-
-    distinct = times.select("client", F.col("_block").alias("block"), "_us").distinct()
-
-    def summarise(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        ts = np.sort(pdf["_us"].to_numpy())
-        upto, leaves = _block_steps(ts, int(key[1]) * length, width)
-        return pd.DataFrame({"client": key[0], "block": key[1], "upto": upto, "leaves": leaves})
-
-    schema = _STEPS.format(client=client_type)
-    levels = [materialise(distinct.groupBy("client", "block").applyInPandas(summarise, schema))]
-    span = levels[0].agg(F.max("block").alias("hi"), F.min("block").alias("lo")).first()
-    blocks = 0 if span["hi"] is None else span["hi"] - span["lo"] + 1
-    while blocks > FAN_IN:
-        levels.append(materialise(_next_level(levels[-1], schema, length * FAN_IN ** len(levels), width)))
-        blocks = blocks // FAN_IN + 2
-
-    entries = _enter_top(levels[-1], client_type)
-    for depth in range(len(levels) - 2, -1, -1):
-        entries = _enter_below(levels[depth], entries, client_type)
-
-    target = distinct.join(entries, ["client", "block"])
-
-    def assign(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        ts = np.sort(pdf["_us"].to_numpy())
-        first = pdf["enters"].iloc[0]
-        enters = NO_WINDOW if pd.isna(first) else int(first)
-        return pd.DataFrame({"client": key[0], "_us": ts, "_start": _window_starts(ts, enters, width)})
-
-    starts = target.groupBy("client", "block").applyInPandas(
-        assign, f"client {client_type}, _us bigint, _start bigint")
-    epoch = F.lit("1970-01-01 00:00:00").cast(log.schema["ts"].dataType)
-    return (
-        rows.join(starts, ["client", "_us"], "left")
-        .withColumn("window_start", F.timestamp_add("MICROSECOND", F.col("_start"), epoch))
-        .select(*log.columns, "window_start")
-    )
-
-
-def _next_level(steps: DataFrame, schema: str, length: int, width: int) -> DataFrame:
-    def compose(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        upto, leaves = _compose(pdf, int(key[1]) * length, width)
-        return pd.DataFrame({"client": key[0], "block": key[1], "upto": upto, "leaves": leaves})
-
-    parent = F.floor(F.col("block") / FAN_IN).alias("parent")
-    return steps.groupBy("client", parent).applyInPandas(compose, schema)
-
-
-def _chain(pdf: pd.DataFrame, enters: int) -> list[tuple[int, int | None]]:
-    """The end time that enters each block of a run."""
-    out: list[tuple[int, int | None]] = []
-    for block, part in pdf.groupby("block", sort=True):
-        out.append((block, None if enters == NO_WINDOW else enters))
-        enters = int(_advance(np.array([enters]), part["upto"].to_numpy(), part["leaves"].to_numpy())[0])
-    return out
-
-
-def _entry_frame(client, chain: list[tuple[int, int | None]]) -> pd.DataFrame:
-    blocks, enters = zip(*chain, strict=True)
-    return pd.DataFrame({"client": client, "block": blocks, "enters": pd.array(enters, dtype="Int64")})
-
-
-def _enter_top(steps: DataFrame, client_type: str) -> DataFrame:
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _entry_frame(key[0], _chain(pdf, NO_WINDOW))
-
-    return steps.groupBy("client").applyInPandas(run, f"client {client_type}, block bigint, enters bigint")
-
-
-def _enter_below(steps: DataFrame, entries: DataFrame, client_type: str) -> DataFrame:
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf["enters"].iloc[0]
-        return _entry_frame(key[0], _chain(pdf, NO_WINDOW if pd.isna(first) else int(first)))
-
-    above = entries.withColumnRenamed("block", "parent")
-    joined = steps.withColumn("parent", F.floor(F.col("block") / FAN_IN)).join(above, ["client", "parent"], "left")
-    return joined.groupBy("client", "parent").applyInPandas(
-        run, f"client {client_type}, block bigint, enters bigint")
-
-
 def quota_anchored(
-    log: DataFrame, order: Sequence[str], limit: int = LIMIT, seconds: int = WINDOW_SECONDS
+    log: DataFrame, order: Sequence[str], limit: int = LIMIT, seconds: int = WINDOW_SECONDS,
+    max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Quota state of every request in anchored windows; requests over the limit still count."""
-    return number_in_window(anchored_windows(log, seconds), ["client", "window_start"], order, limit)
+    windows = anchored_windows(log, seconds, max_rows)
+    return number_in_window(windows, ["client", "window_start"], order, limit)
 
 
 def remaining_quota(

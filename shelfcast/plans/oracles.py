@@ -1,12 +1,13 @@
-"""SQL counterparts of the registered queries, on the given tables."""
+"""SQL counterparts of the registered queries, on the given tables.
+
+Numbers are rounded by ``floor(x * 10^n + 0.5) / 10^n`` on both sides: engines settle decimal ties of
+their ``round`` differently.
+"""
 
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
 
-DAY = "strftime({0}, '%Y-%m-%d')"
-STAMP = "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')"
-
 # The mappings of shelfcast.plans.tables.
 SALES = """sales AS (
   SELECT l_shipdate AS date, l_partkey AS product_id, l_suppkey AS store_id, l_quantity AS quantity,
@@ -64,15 +65,15 @@ def seasonal_columns(d: str, places: int = 4) -> str:
     month, week = f"2 * pi() * month({d}) / 12", f"2 * pi() * (isodow({d}) - 1) / 7"
     parts = [("month_sin", f"sin({month})"), ("month_cos", f"cos({month})"),
              ("day_of_week_sin", f"sin({week})"), ("day_of_week_cos", f"cos({week})")]
-    return ", ".join(f"round({e}, {places}) AS {n}" for n, e in parts)
+    return ", ".join(f"floor(({e}) * 1e{places} + 0.5) / 1e{places} AS {n}" for n, e in parts)
 
 
 def rolling(column: str, size: int, statistic: str, name: str | None = None, places: int = 4, needed: int | None = None,
             frame: str | None = None) -> str:
     f = frame or f"f{size}"
     functions = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
-    return (f"round(CASE WHEN count({column}) OVER {f} >= {size if needed is None else needed} "
-            f"THEN {functions[statistic]}({column}) OVER {f} END, {places}) AS "
+    return (f"floor((CASE WHEN count({column}) OVER {f} >= {size if needed is None else needed} "
+            f"THEN {functions[statistic]}({column}) OVER {f} END) * 1e{places} + 0.5) / 1e{places} AS "
             f"{name or f'{column}_roll_{statistic}_{size}'}")
 
 
@@ -84,13 +85,13 @@ def frames(partition: str, order: str, sizes: tuple[int, ...]) -> str:
 
 
 def lag(column: str, k: int, places: int = 4) -> str:
-    return f"round(lag({column}, {k}) OVER w, {places}) AS {column}_lag_{k}"
+    return f"floor((lag({column}, {k}) OVER w) * 1e{places} + 0.5) / 1e{places} AS {column}_lag_{k}"
 
 
 def daily(columns: list[str], sizes: tuple[int, ...] = (), with_price: bool = False) -> str:
-    price = "round(price, 4) AS price, " if with_price else ""
+    price = "floor((price) * 1e4 + 0.5) / 1e4 AS price, " if with_price else ""
     return f"""WITH {DAILY}
-SELECT product_id, {day('date')} AS date, round(quantity, 4) AS quantity, {price}
+SELECT product_id, {stamp('date')} AS date, floor((quantity) * 1e4 + 0.5) / 1e4 AS quantity, {price}
   {", ".join(columns)}
 FROM daily {frames('product_id', 'date', sizes)}"""
 
@@ -109,7 +110,7 @@ ORACLES["lag_features"] = daily([lag("quantity", k) for k in (1, 7, 14, 30)])
 ORACLES["price_lags"] = daily(
     [lag("quantity", k) for k in (1, 7, 14, 30)] + [lag("price", k) for k in (1, 7, 14)], with_price=True)
 ORACLES["price_lags_all"] = f"""WITH {DAILY}
-SELECT product_id, {day('date')} AS date, {", ".join(lag("price", k) for k in (1, 7, 14, 30))}
+SELECT product_id, {stamp('date')} AS date, {", ".join(lag("price", k) for k in (1, 7, 14, 30))}
 FROM daily {frames('product_id', 'date', ())}"""
 ORACLES["rolling_mean"] = daily([rolling("quantity", n, "mean") for n in (7, 14, 30)], (7, 14, 30))
 ORACLES["rolling_std"] = daily([rolling("quantity", n, "std") for n in (7, 14, 30)], (7, 14, 30))
@@ -120,12 +121,12 @@ ORACLES["rolling_min_periods"] = daily(
     [rolling("quantity", n, s, needed=1) for n in (7, 14) for s in ("mean", "std", "min", "max")], (7, 14))
 
 ORACLES["store_rows_history"] = ORACLES["store_rows_history_chunked"] = f"""WITH {SALES}
-SELECT {day('date')} AS date, product_id, store_id, round(quantity, 4) AS quantity, l_orderkey, l_linenumber,
+SELECT {stamp('date')} AS date, product_id, store_id, floor((quantity) * 1e4 + 0.5) / 1e4 AS quantity, l_orderkey, l_linenumber,
   {lag("quantity", 1)}, {lag("quantity", 30)},
   {", ".join(rolling("quantity", 90, s) for s in ("mean", "std", "min", "max"))}
 FROM sales {frames('store_id', STORE_ORDER, (90,))}"""
 ORACLES["product_store_history"] = f"""WITH {SALES}
-SELECT {day('date')} AS date, product_id, store_id, round(quantity, 4) AS quantity, l_orderkey, l_linenumber,
+SELECT {stamp('date')} AS date, product_id, store_id, floor((quantity) * 1e4 + 0.5) / 1e4 AS quantity, l_orderkey, l_linenumber,
   {lag("quantity", 1)}, {rolling("quantity", 2, "mean")}
 FROM sales {frames('product_id, store_id', STORE_ORDER, (2,))}"""
 
@@ -135,56 +136,56 @@ ORACLES["group_aggregates"] = f"""WITH {SALES}, stats AS (
     count(quantity) AS quantity_count, avg(price) AS price_mean, stddev_samp(price) AS price_std,
     min(price) AS price_min, max(price) AS price_max
   FROM sales WHERE product_id IS NOT NULL GROUP BY product_id)
-SELECT product_id, {day('date')} AS date, round(quantity, 3) AS quantity, round(price, 3) AS price,
-  round(quantity_mean, 3) AS quantity_mean, round(quantity_std, 3) AS quantity_std,
-  round(quantity_min, 3) AS quantity_min, round(quantity_max, 3) AS quantity_max,
-  round(quantity_sum, 3) AS quantity_sum, quantity_count, round(price_mean, 3) AS price_mean,
-  round(price_std, 3) AS price_std, round(price_min, 3) AS price_min, round(price_max, 3) AS price_max
+SELECT product_id, {stamp('date')} AS date, floor((quantity) * 1e3 + 0.5) / 1e3 AS quantity, floor((price) * 1e3 + 0.5) / 1e3 AS price,
+  floor((quantity_mean) * 1e3 + 0.5) / 1e3 AS quantity_mean, floor((quantity_std) * 1e3 + 0.5) / 1e3 AS quantity_std,
+  floor((quantity_min) * 1e3 + 0.5) / 1e3 AS quantity_min, floor((quantity_max) * 1e3 + 0.5) / 1e3 AS quantity_max,
+  floor((quantity_sum) * 1e3 + 0.5) / 1e3 AS quantity_sum, quantity_count, floor((price_mean) * 1e3 + 0.5) / 1e3 AS price_mean,
+  floor((price_std) * 1e3 + 0.5) / 1e3 AS price_std, floor((price_min) * 1e3 + 0.5) / 1e3 AS price_min, floor((price_max) * 1e3 + 0.5) / 1e3 AS price_max
 FROM sales LEFT JOIN stats USING (product_id)"""
-ORACLES["store_nunique"] = """SELECT l_partkey AS product_id, round(sum(l_quantity), 4) AS quantity_sum,
+ORACLES["store_nunique"] = """SELECT l_partkey AS product_id, floor((sum(l_quantity)) * 1e4 + 0.5) / 1e4 AS quantity_sum,
   count(l_quantity) AS quantity_count, count(DISTINCT l_suppkey) AS store_id_nunique
 FROM lineitem GROUP BY l_partkey"""
 ORACLES["past_aggregates"] = ORACLES["past_aggregates_chunked"] = f"""WITH {SALES}
-SELECT {day('date')} AS date, product_id, store_id, round(quantity, 3) AS quantity, l_orderkey, l_linenumber,
-  round(avg(quantity) OVER p, 3) AS quantity_mean, round(stddev_samp(quantity) OVER p, 3) AS quantity_std,
-  round(min(quantity) OVER p, 3) AS quantity_min, round(max(quantity) OVER p, 3) AS quantity_max,
-  round(coalesce(sum(quantity) OVER p, 0), 3) AS quantity_sum, count(quantity) OVER p AS quantity_count
+SELECT {stamp('date')} AS date, product_id, store_id, floor((quantity) * 1e3 + 0.5) / 1e3 AS quantity, l_orderkey, l_linenumber,
+  floor((avg(quantity) OVER p) * 1e3 + 0.5) / 1e3 AS quantity_mean, floor((stddev_samp(quantity) OVER p) * 1e3 + 0.5) / 1e3 AS quantity_std,
+  floor((min(quantity) OVER p) * 1e3 + 0.5) / 1e3 AS quantity_min, floor((max(quantity) OVER p) * 1e3 + 0.5) / 1e3 AS quantity_max,
+  floor((coalesce(sum(quantity) OVER p, 0)) * 1e3 + 0.5) / 1e3 AS quantity_sum, count(quantity) OVER p AS quantity_count
 FROM sales WINDOW p AS (PARTITION BY store_id ORDER BY {STORE_ORDER}
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 ORACLES["interactions"] = f"""WITH {SALES}
-SELECT l_orderkey, l_linenumber, round(quantity, 4) AS quantity, round(price, 4) AS price,
-  round(quantity * price, 4) AS revenue, round(ln(1 + quantity), 4) AS log_quantity,
-  round(ln(1 + price), 4) AS log_price, round(ln(1 + quantity * price), 4) AS log_revenue
+SELECT l_orderkey, l_linenumber, floor((quantity) * 1e4 + 0.5) / 1e4 AS quantity, floor((price) * 1e4 + 0.5) / 1e4 AS price,
+  floor((quantity * price) * 1e4 + 0.5) / 1e4 AS revenue, floor((ln(1 + quantity)) * 1e4 + 0.5) / 1e4 AS log_quantity,
+  floor((ln(1 + price)) * 1e4 + 0.5) / 1e4 AS log_price, floor((ln(1 + quantity * price)) * 1e4 + 0.5) / 1e4 AS log_revenue
 FROM sales"""
 ORACLES["quantity_change"] = f"""WITH {DAILY}, lagged AS (
   SELECT *, lag(quantity) OVER (PARTITION BY product_id ORDER BY date) AS before FROM daily)
-SELECT product_id, {day('date')} AS date, round(quantity - before, 4) AS quantity_change,
-  round((quantity - before) / (before + 1) * 100, 4) AS quantity_change_pct
+SELECT product_id, {stamp('date')} AS date, floor((quantity - before) * 1e4 + 0.5) / 1e4 AS quantity_change,
+  floor(((quantity - before) / (before + 1) * 100) * 1e4 + 0.5) / 1e4 AS quantity_change_pct
 FROM lagged"""
 
 STATS_3 = ", ".join(
-    f"round({e}, 3) AS {n}" for c in ("quantity", "price") for n, e in (
+    f"floor(({e}) * 1e3 + 0.5) / 1e3 AS {n}" for c in ("quantity", "price") for n, e in (
         (f"{c}_mean", f"avg({c}) OVER g"), (f"{c}_std", f"stddev_samp({c}) OVER g"),
         (f"{c}_min", f"min({c}) OVER g"), (f"{c}_max", f"max({c}) OVER g")))
 ORACLES["daily_features"] = f"""WITH {DAILY}, lagged AS (
   SELECT *, lag(quantity, 1) OVER (PARTITION BY product_id ORDER BY date) AS before FROM daily)
-SELECT product_id, {day('date')} AS date, round(quantity, 3) AS quantity, round(price, 3) AS price,
+SELECT product_id, {stamp('date')} AS date, floor((quantity) * 1e3 + 0.5) / 1e3 AS quantity, floor((price) * 1e3 + 0.5) / 1e3 AS price,
   {calendar('date', SALES_HOLIDAYS)},
   {", ".join(lag("quantity", k, 3) for k in (1, 7, 14))}, {", ".join(lag("price", k, 3) for k in (1, 7, 14))},
   {", ".join(rolling("quantity", n, s, places=3) for n in (7, 14) for s in ("mean", "std", "min", "max"))},
   {", ".join(rolling("price", n, "mean", places=3) for n in (7, 14))},
-  {STATS_3}, round(sum(quantity) OVER g, 3) AS quantity_sum, count(quantity) OVER g AS quantity_count,
-  round(quantity * price, 3) AS revenue, round(ln(1 + quantity), 3) AS log_quantity,
-  round(ln(1 + price), 3) AS log_price, round(ln(1 + quantity * price), 3) AS log_revenue,
-  round(quantity - before, 3) AS quantity_change,
-  round((quantity - before) / (before + 1) * 100, 3) AS quantity_change_pct,
+  {STATS_3}, floor((sum(quantity) OVER g) * 1e3 + 0.5) / 1e3 AS quantity_sum, count(quantity) OVER g AS quantity_count,
+  floor((quantity * price) * 1e3 + 0.5) / 1e3 AS revenue, floor((ln(1 + quantity)) * 1e3 + 0.5) / 1e3 AS log_quantity,
+  floor((ln(1 + price)) * 1e3 + 0.5) / 1e3 AS log_price, floor((ln(1 + quantity * price)) * 1e3 + 0.5) / 1e3 AS log_revenue,
+  floor((quantity - before) * 1e3 + 0.5) / 1e3 AS quantity_change,
+  floor(((quantity - before) / (before + 1) * 100) * 1e3 + 0.5) / 1e3 AS quantity_change_pct,
   {seasonal_columns('date', 3)}
 FROM lagged {frames('product_id', 'date', (7, 14))}, g AS (PARTITION BY product_id)"""
 
 
 def scaled(expression: str, name: str) -> str:
-    return (f"round(({expression} - avg({expression}) OVER ()) / "
-            f"coalesce(nullif(stddev_pop({expression}) OVER (), 0), 1), 3) AS {name}")
+    return (f"floor((({expression} - avg({expression}) OVER ()) / "
+            f"coalesce(nullif(stddev_pop({expression}) OVER (), 0), 1)) * 1e3 + 0.5) / 1e3 AS {name}")
 
 
 ORACLES["scaled_features"] = f"""WITH {DAILY}, features AS (
@@ -194,11 +195,11 @@ ORACLES["scaled_features"] = f"""WITH {DAILY}, features AS (
     CAST(isodow(date) >= 6 AS DOUBLE) AS weekend, CAST(quantity > 25 AS DOUBLE) AS is_large,
     CAST(quantity <= 25 AS DOUBLE) AS is_small
   FROM daily {frames('product_id', 'date', (7,))})
-SELECT product_id, {day('date')} AS date, {scaled('quantity', 'quantity')}, {scaled('price', 'price')},
+SELECT product_id, {stamp('date')} AS date, {scaled('quantity', 'quantity')}, {scaled('price', 'price')},
   {scaled('before', 'quantity_lag_1')}, {scaled('rolled', 'quantity_roll_mean_7')},
   {scaled('whole', 'quantity_mean')}, {scaled('weekend', 'is_weekend')}, {scaled('is_large', 'size_large')},
   {scaled('is_small', 'size_small')}, {scaled('ln(1 + quantity)', 'log_quantity')},
-  {scaled('(quantity - before)', 'quantity_change')}, round(sin(2 * pi() * month(date) / 12), 3) AS month_sin
+  {scaled('(quantity - before)', 'quantity_change')}, floor((sin(2 * pi() * month(date) / 12)) * 1e3 + 0.5) / 1e3 AS month_sin
 FROM features"""
 
 STATUSES = ("F", "O", "P")
@@ -207,7 +208,7 @@ ORACLES["one_hot"] = "SELECT o_orderkey, " + ", ".join(
     f"""CAST(CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS DOUBLE) AS "{c}_{v}" """
     for c, values in (("o_orderstatus", STATUSES), ("o_orderpriority", PRIORITIES)) for v in values) + " FROM orders"
 ORACLES["standard_scale"] = "SELECT l_orderkey, l_linenumber, " + ", ".join(
-    f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 4) AS {c}"
+    f"floor((({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()) * 1e4 + 0.5) / 1e4 AS {c}"
     for c in ("l_quantity", "l_extendedprice", "l_discount")) + ", CAST(0 AS DOUBLE) AS constant FROM lineitem"
 ORACLES["label_encode"] = """SELECT p_partkey,
   CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS p_brand,
@@ -218,14 +219,14 @@ ORACLES["label_encode_unseen"] = """WITH codes AS (
 names AS (SELECT c_custkey, lower(c_mktsegment) AS name FROM customer
   UNION ALL SELECT -1 - p_partkey, p_name FROM part)
 SELECT c_custkey, CAST(coalesce(code, 0) AS INTEGER) AS name FROM names LEFT JOIN codes USING (name)"""
-ORACLES["align"] = """SELECT round(coalesce(l_tax, 0), 4) AS l_tax, round(coalesce(l_quantity, 0), 4) AS l_quantity,
+ORACLES["align"] = """SELECT floor((coalesce(l_tax, 0)) * 1e4 + 0.5) / 1e4 AS l_tax, floor((coalesce(l_quantity, 0)) * 1e4 + 0.5) / 1e4 AS l_quantity,
   CAST(0 AS INTEGER) AS not_there, coalesce(l_orderkey, 0) AS l_orderkey FROM lineitem"""
 
 ORACLES["correlation_select"] = "WITH c AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, abs(corr({c}, l_quantity)) AS abs_corr FROM lineitem"
     for c in ("l_extendedprice", "l_discount", "l_tax", "l_linenumber")) + """
   UNION ALL SELECT 'constant', NULL)
-SELECT feature, round(abs_corr, 4) AS abs_corr, CAST(rank AS INTEGER) AS rank FROM (
+SELECT feature, floor((abs_corr) * 1e4 + 0.5) / 1e4 AS abs_corr, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (ORDER BY abs_corr DESC NULLS LAST, feature) AS rank FROM c) WHERE rank <= 4"""
 
 SPLIT_LABEL = """CASE WHEN pos < CAST(floor(n * 0.7::DOUBLE) AS BIGINT) THEN 'train'
@@ -233,16 +234,16 @@ SPLIT_LABEL = """CASE WHEN pos < CAST(floor(n * 0.7::DOUBLE) AS BIGINT) THEN 'tr
     ELSE 'test' END AS split"""
 ORACLES["time_split_rows"] = f"""WITH {SALES}, placed AS (
   SELECT *, row_number() OVER (ORDER BY {LABEL_ORDER}) - 1 AS pos, count(*) OVER () AS n FROM sales)
-SELECT l_orderkey, l_linenumber, product_id, {day('date')} AS date, {SPLIT_LABEL} FROM placed"""
+SELECT l_orderkey, l_linenumber, product_id, {stamp('date')} AS date, {SPLIT_LABEL} FROM placed"""
 NAIVE = f"""{DAILY}, naive AS (
   SELECT product_id, date, quantity, lag(quantity, 7) OVER (PARTITION BY product_id ORDER BY date) AS forecast
   FROM daily)"""
 ORACLES["split_metrics"] = f"""WITH {NAIVE}, placed AS (
   SELECT *, row_number() OVER (ORDER BY date, product_id) - 1 AS pos, count(*) OVER () AS n FROM naive),
 labelled AS (SELECT quantity, forecast, {SPLIT_LABEL} FROM placed)
-SELECT split, count(*) AS n, round(avg((quantity - forecast) ** 2), 4) AS mse,
-  round(avg(abs(quantity - forecast)), 4) AS mae,
-  round(1 - avg((quantity - forecast) ** 2) / var_pop(quantity), 4) AS r2
+SELECT split, count(*) AS n, floor((avg((quantity - forecast) ** 2)) * 1e4 + 0.5) / 1e4 AS mse,
+  floor((avg(abs(quantity - forecast))) * 1e4 + 0.5) / 1e4 AS mae,
+  floor((1 - avg((quantity - forecast) ** 2) / var_pop(quantity)) * 1e4 + 0.5) / 1e4 AS r2
 FROM labelled WHERE forecast IS NOT NULL GROUP BY split"""
 ORACLES["naive_forecast_kpis"] = f"""WITH {DAILY}, long AS (
   {" UNION ALL ".join(
@@ -251,8 +252,8 @@ ORACLES["naive_forecast_kpis"] = f"""WITH {DAILY}, long AS (
 kpis AS (SELECT horizon, count(*) AS n, sqrt(avg((quantity - forecast) ** 2)) / 50.0 AS rmse,
   avg(abs((quantity - forecast) / nullif(quantity, 0))) * 100 AS mape FROM long
   WHERE forecast IS NOT NULL GROUP BY horizon)
-SELECT CAST(horizon AS INTEGER) AS horizon, n, round(rmse, 4) AS rmse, round(mape, 4) AS mape,
-  round(greatest(0, 100 - mape), 4) AS accuracy, CAST(rmse < 0.15 AS INTEGER) AS rmse_ok,
+SELECT CAST(horizon AS INTEGER) AS horizon, n, floor((rmse) * 1e4 + 0.5) / 1e4 AS rmse, floor((mape) * 1e4 + 0.5) / 1e4 AS mape,
+  floor((greatest(0, 100 - mape)) * 1e4 + 0.5) / 1e4 AS accuracy, CAST(rmse < 0.15 AS INTEGER) AS rmse_ok,
   CAST(mape < 10 AS INTEGER) AS mape_ok,
   CASE WHEN horizon = 7 THEN CAST(greatest(0, 100 - mape) > 90 AS INTEGER) END AS accuracy_ok
 FROM kpis"""
@@ -270,13 +271,13 @@ totals AS (SELECT day, sum(n) AS rows FROM counts GROUP BY day),
 shares AS (
   SELECT day, rows, greatest(coalesce(n, 0) / rows, 0.0001) AS a, greatest(coalesce(share, 0), 0.0001) AS b
   FROM totals CROSS JOIN ids LEFT JOIN counts USING (day, bucket) LEFT JOIN base_share USING (bucket))
-SELECT day, CAST(max(rows) AS BIGINT) AS rows, round(sum((a - b) * ln(a / b)), 4) AS psi FROM shares GROUP BY day"""
+SELECT day, CAST(max(rows) AS BIGINT) AS rows, floor((sum((a - b) * ln(a / b))) * 1e4 + 0.5) / 1e4 AS psi FROM shares GROUP BY day"""
 ORACLES["weekly_degradation"] = f"""WITH {NAIVE}, baseline AS (
   SELECT avg(abs(quantity - forecast)) AS mae FROM naive WHERE date < TIMESTAMP '1998-01-01'),
 weekly AS (SELECT date_trunc('week', date) AS week, count(*) AS n, avg(abs(quantity - forecast)) AS mae FROM naive
   WHERE date >= TIMESTAMP '1998-01-01' AND forecast IS NOT NULL GROUP BY 1)
-SELECT {day('week')} AS week, n, round(weekly.mae, 4) AS mae,
-  round((weekly.mae - baseline.mae) / baseline.mae, 4) AS degradation,
+SELECT {day('week')} AS week, n, floor((weekly.mae) * 1e4 + 0.5) / 1e4 AS mae,
+  floor(((weekly.mae - baseline.mae) / baseline.mae) * 1e4 + 0.5) / 1e4 AS degradation,
   CAST((weekly.mae - baseline.mae) / baseline.mae > 0.05 AS INTEGER) AS retrain
 FROM weekly, baseline"""
 LAST = """last AS (SELECT {key}, max(date) AS last_date, arg_max(quantity, date) AS last_quantity,
@@ -284,15 +285,15 @@ LAST = """last AS (SELECT {key}, max(date) AS last_date, arg_max(quantity, date)
 steps AS (SELECT unnest(range(1, 31)) AS horizon), final AS (SELECT max(date)::DATE AS d FROM daily)"""
 ORACLES["horizon"] = f"""WITH {DAILY}, {LAST.format(key='product_id')}
 SELECT product_id, CAST(horizon AS INTEGER) AS horizon, {day('d + CAST(horizon AS INTEGER)')} AS date,
-  round(last_quantity, 4) AS last_quantity, round(last_price, 4) AS last_price,
+  floor((last_quantity) * 1e4 + 0.5) / 1e4 AS last_quantity, floor((last_price) * 1e4 + 0.5) / 1e4 AS last_price,
   CAST(d + CAST(horizon AS INTEGER) - last_date::DATE AS INTEGER) AS days_since_last
 FROM last, steps, final"""
 STORE_DAILY = DAILY.replace("l_partkey", "l_suppkey").replace("product_id", "store_id")
 ORACLES["horizon_scores"] = f"""WITH {STORE_DAILY}, {LAST.format(key='store_id')},
 scored AS (SELECT store_id, horizon, d + CAST(horizon AS INTEGER) AS date,
   0.5 * last_quantity + 0.01 * last_price AS prediction FROM last, steps, final)
-SELECT store_id, CAST(horizon AS INTEGER) AS horizon, {day('date')} AS date, round(prediction, 4) AS prediction,
-  round(prediction * 0.85, 4) AS confidence_lower, round(prediction * 1.15, 4) AS confidence_upper FROM scored"""
+SELECT store_id, CAST(horizon AS INTEGER) AS horizon, {day('date')} AS date, floor((prediction) * 1e4 + 0.5) / 1e4 AS prediction,
+  floor((prediction * 0.85) * 1e4 + 0.5) / 1e4 AS confidence_lower, floor((prediction * 1.15) * 1e4 + 0.5) / 1e4 AS confidence_upper FROM scored"""
 
 ORACLES["quality_counts"] = """WITH n AS (SELECT count(*) AS rows, count_if(c_acctbal < 0) AS negative,
   count_if(c_acctbal > 5000) AS high, count_if(c_mktsegment IS NULL) AS no_segment,
@@ -329,26 +330,26 @@ ORACLES["null_profile"] = f"""WITH {DAILY}, lagged AS (
 profile AS ({" UNION ALL ".join(
     f"SELECT '{c}' AS name, count(*) AS rows, count(*) - count({c}) AS nulls FROM lagged"
     for c in ("product_id", "quantity", "quantity_lag_1", "quantity_lag_7"))})
-SELECT name AS "column", rows, nulls, round(nulls / rows, 4) AS null_ratio,
+SELECT name AS "column", rows, nulls, floor((nulls / rows) * 1e4 + 0.5) / 1e4 AS null_ratio,
   CAST(nulls / rows <= 0.05 AS INTEGER) AS within_threshold FROM profile"""
 
-ORACLES["incremental_antijoin"] = f"""SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 4) AS o_totalprice,
-  {day('o_orderdate').replace('%Y-%m-%d', '%Y-%m-%d %H:%M:%S.%f')} AS o_orderdate, o_orderpriority
+ORACLES["incremental_antijoin"] = f"""SELECT o_orderkey, o_custkey, o_orderstatus, floor((o_totalprice) * 1e4 + 0.5) / 1e4 AS o_totalprice,
+  {stamp('o_orderdate')} AS o_orderdate, o_orderpriority
 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"""
 ORACLES["incremental_dedupe"] = f"""WITH {SALES}, ranked AS (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY date DESC, product_id DESC, store_id DESC,
     quantity DESC, l_linenumber DESC, l_extendedprice DESC) AS rn
   FROM sales WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'))
-SELECT {stamp('date')} AS date, product_id, store_id, round(quantity, 4) AS quantity, l_orderkey, l_linenumber,
-  round(l_extendedprice, 4) AS l_extendedprice FROM ranked WHERE rn = 1"""
+SELECT {stamp('date')} AS date, product_id, store_id, floor((quantity) * 1e4 + 0.5) / 1e4 AS quantity, l_orderkey, l_linenumber,
+  floor((l_extendedprice) * 1e4 + 0.5) / 1e4 AS l_extendedprice FROM ranked WHERE rn = 1"""
 ORACLES["high_water_mark"] = f"""SELECT l_suppkey AS store_id, {stamp('max(l_shipdate)')} AS last_processed
 FROM lineitem GROUP BY l_suppkey"""
 ORACLES["high_water_mark_merge"] = f"""SELECT l_orderkey, {stamp('max(date)')} AS last_processed FROM (
   SELECT l_orderkey, l_shipdate AS date FROM lineitem UNION ALL SELECT o_orderkey, o_orderdate FROM orders)
 GROUP BY l_orderkey"""
 ORACLES["default_window"] = f"""WITH {SALES}
-SELECT {stamp('date')} AS date, product_id, store_id, round(quantity, 4) AS quantity, l_orderkey, l_linenumber,
-  round(l_extendedprice, 4) AS l_extendedprice FROM sales
+SELECT {stamp('date')} AS date, product_id, store_id, floor((quantity) * 1e4 + 0.5) / 1e4 AS quantity, l_orderkey, l_linenumber,
+  floor((l_extendedprice) * 1e4 + 0.5) / 1e4 AS l_extendedprice FROM sales
 WHERE date >= TIMESTAMP '2000-06-23' AND date <= TIMESTAMP '2000-06-30'"""
 ORACLES["ledger_trim"] = """SELECT event_id FROM (
   SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER () AS n FROM events)
@@ -359,17 +360,17 @@ ORACLES["ledger_update"] = """SELECT id, min(seq) AS seq FROM (
 
 ORACLES["online_lookup"] = f"""WITH {DAILY}, last AS (
   SELECT product_id, arg_max(quantity, date) AS quantity, arg_max(price, date) AS price FROM daily GROUP BY product_id)
-SELECT p_partkey AS product_id, p_brand, round(coalesce(quantity, 0), 4) AS quantity,
-  round(coalesce(price, 0), 4) AS price, CAST(0 AS DOUBLE) AS stock
+SELECT p_partkey AS product_id, p_brand, floor((coalesce(quantity, 0)) * 1e4 + 0.5) / 1e4 AS quantity,
+  floor((coalesce(price, 0)) * 1e4 + 0.5) / 1e4 AS price, CAST(0 AS DOUBLE) AS stock
 FROM part LEFT JOIN last ON p_partkey = product_id"""
 ORACLES["point_in_time_lookup"] = ORACLES["point_in_time_lookup_chunked"] = f"""WITH {DAILY}, entities AS (
   SELECT l_partkey AS product_id, l_orderkey, l_linenumber, o_orderdate
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT entities.product_id, l_orderkey, l_linenumber, {stamp('o_orderdate')} AS o_orderdate,
-  round(coalesce(quantity, 0), 4) AS quantity, round(coalesce(price, 0), 4) AS price
+  floor((coalesce(quantity, 0)) * 1e4 + 0.5) / 1e4 AS quantity, floor((coalesce(price, 0)) * 1e4 + 0.5) / 1e4 AS price
 FROM entities ASOF LEFT JOIN daily ON entities.product_id = daily.product_id AND o_orderdate >= daily.date"""
-ORACLES["confidence_band"] = """SELECT c_custkey, round(c_acctbal, 4) AS prediction,
-  round(c_acctbal * 0.85::DOUBLE, 4) AS confidence_lower, round(c_acctbal * 1.15::DOUBLE, 4) AS confidence_upper
+ORACLES["confidence_band"] = """SELECT c_custkey, floor((c_acctbal) * 1e4 + 0.5) / 1e4 AS prediction,
+  floor((c_acctbal * 0.85::DOUBLE) * 1e4 + 0.5) / 1e4 AS confidence_lower, floor((c_acctbal * 1.15::DOUBLE) * 1e4 + 0.5) / 1e4 AS confidence_upper
 FROM customer"""
 ORACLES["registry_latest"] = """SELECT p_type AS model_name, max(p_partkey) AS version, 'Production' AS stage,
   'models/' || max(p_partkey) AS path FROM part WHERE p_size > 25 GROUP BY p_type"""
@@ -381,8 +382,8 @@ def responses(price: str) -> str:
 scored AS (SELECT l_partkey, l_suppkey, l_shipdate, l_orderkey, l_linenumber,
     0.0::DOUBLE + coalesce(quantity, 0) * 0.5::DOUBLE + {price} * 0.01::DOUBLE AS p
   FROM lineitem LEFT JOIN last ON l_partkey = product_id)
-SELECT CAST(l_partkey AS VARCHAR) AS product_id, round(p, 4) AS predicted_quantity,
-  round(p * 0.85::DOUBLE, 4) AS confidence_lower, round(p * 1.15::DOUBLE, 4) AS confidence_upper,
+SELECT CAST(l_partkey AS VARCHAR) AS product_id, floor((p) * 1e4 + 0.5) / 1e4 AS predicted_quantity,
+  floor((p * 0.85::DOUBLE) * 1e4 + 0.5) / 1e4 AS confidence_lower, floor((p * 1.15::DOUBLE) * 1e4 + 0.5) / 1e4 AS confidence_upper,
   '1.0.0' AS model_version, CAST(l_suppkey AS VARCHAR) AS store_id, {day('l_shipdate')} AS date,
   l_orderkey, l_linenumber FROM scored"""
 
@@ -397,7 +398,7 @@ ORACLES["request_parsing"] = f"""WITH judged AS (SELECT *, CASE
 SELECT l_orderkey, l_linenumber, CASE WHEN reason IS NULL THEN CAST(l_partkey AS VARCHAR) END AS product_id,
   CASE WHEN reason IS NULL THEN CAST(l_suppkey AS VARCHAR) END AS store_id,
   CASE WHEN reason IS NULL THEN {day('l_shipdate')} END AS date,
-  CASE WHEN reason IS NULL THEN round(l_tax, 4) END AS tax, reason FROM judged"""
+  CASE WHEN reason IS NULL THEN floor((l_tax) * 1e4 + 0.5) / 1e4 END AS tax, reason FROM judged"""
 
 ORACLES["request_counts"] = f"""WITH {REQUESTS}
 SELECT method, endpoint, status, count(*) AS requests FROM requests GROUP BY method, endpoint, status"""
@@ -408,16 +409,16 @@ BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0,
 ORACLES["latency_histogram"] = f"""WITH {REQUESTS}
 SELECT method, endpoint, {", ".join(
     f"CAST(count_if(latency_s <= {b}::DOUBLE) AS BIGINT) AS le_{f'{b:g}'.replace('.', '_')}" for b in BUCKETS)},
-  round(sum(latency_s), 4) AS latency_sum, count(latency_s) AS latency_count,
-  round(quantile_disc(latency_s, 0.95), 4) AS latency_p95
+  floor((sum(latency_s)) * 1e4 + 0.5) / 1e4 AS latency_sum, count(latency_s) AS latency_count,
+  floor((quantile_disc(latency_s, 0.95)) * 1e4 + 0.5) / 1e4 AS latency_p95
 FROM requests WHERE status = '200' GROUP BY method, endpoint"""
 ORACLES["active_requests"] = f"""WITH {REQUESTS}, edges AS (
-  SELECT date_trunc('second', ts) AS at, 1 AS change FROM requests
+  SELECT date_trunc('second', ts) AS moment, 1 AS change FROM requests
   UNION ALL SELECT date_trunc('second', ts + to_microseconds(CAST(round(latency_s * 10000 * 1000000) AS BIGINT))), -1
   FROM requests),
-changes AS (SELECT at, sum(change) AS change FROM edges GROUP BY at)
-SELECT {stamp('at')} AS at, CAST(change AS BIGINT) AS change, CAST(sum(change) OVER (ORDER BY at) AS BIGINT) AS active
-FROM changes"""
+changes AS (SELECT moment, sum(change) AS change FROM edges GROUP BY moment)
+SELECT {stamp('moment')} AS at, CAST(change AS BIGINT) AS change,
+  CAST(sum(change) OVER (ORDER BY moment) AS BIGINT) AS active FROM changes"""
 ORACLES["quota_tumbling"] = f"""WITH {REQUESTS}
 SELECT client, {stamp("date_trunc('day', ts)")} AS window_start, count(*) AS requests,
   greatest(0, 3 - count(*)) AS remaining, greatest(0, count(*) - 3) AS rejected
@@ -449,7 +450,7 @@ SELECT event_id, client, {stamp('make_timestamp(start)')} AS window_start, CAST(
 
 
 ORACLES["quota_anchored"] = anchored_rows(86_400, 3)
-ORACLES["quota_anchored_short"] = anchored_rows(600, 1)
+ORACLES["quota_anchored_chunked"] = anchored_rows(6 * 3600, 2)
 ORACLES["stream_quota_anchored"] = f"""{anchored(86_400)}
 SELECT CAST(client AS VARCHAR) AS client, event_id, us AS ts_us, start AS window_start_us, n,
   CAST(n > 3 AS INTEGER) AS over_limit FROM walk"""
@@ -464,7 +465,7 @@ ORACLES["service_kpis"] = f"""WITH {REQUESTS}, seconds AS (
   SELECT endpoint, count(*) AS n FROM requests GROUP BY endpoint, date_trunc('second', ts)),
 peaks AS (SELECT endpoint, max(n) AS peak_per_second FROM seconds GROUP BY endpoint),
 p AS (SELECT endpoint, count(*) AS requests, quantile_disc(latency_s, 0.95) AS p95 FROM requests GROUP BY endpoint)
-SELECT endpoint, requests, round(p95, 4) AS p95, peak_per_second, CAST(p95 < 0.1 AS INTEGER) AS latency_ok,
+SELECT endpoint, requests, floor((p95) * 1e4 + 0.5) / 1e4 AS p95, peak_per_second, CAST(p95 < 0.1 AS INTEGER) AS latency_ok,
   CAST(peak_per_second > 500 AS INTEGER) AS throughput_ok FROM p JOIN peaks USING (endpoint)"""
 
 ORACLES["source_union"] = """SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment,
@@ -479,14 +480,14 @@ ORACLES["date_parsing"] = f"""SELECT o_orderkey, {stamp("date_trunc('day', o_ord
   CAST(NULL AS VARCHAR) AS created_at FROM orders"""
 ORACLES["csv_source"] = ORACLES["json_source"] = "SELECT * FROM customer"
 ORACLES["paged_api_source"] = f"""SELECT CAST(o_orderkey AS VARCHAR) AS id, {stamp('o_orderdate')} AS date,
-  round(o_totalprice, 4) AS amount FROM orders"""
+  floor((o_totalprice) * 1e4 + 0.5) / 1e4 AS amount FROM orders"""
 ORACLES["new_files"] = " UNION ALL ".join(
     f"SELECT '{t}.parquet' AS path, count(*) AS rows FROM {t}" for t in ("customer", "orders", "supplier"))
-ORACLES["feature_view"] = """SELECT l_partkey AS product_id, round(avg(l_quantity), 4) AS quantity_mean,
-  round(stddev_samp(l_quantity), 4) AS quantity_std, min(l_quantity) AS quantity_min, max(l_quantity) AS quantity_max,
+ORACLES["feature_view"] = """SELECT l_partkey AS product_id, floor((avg(l_quantity)) * 1e4 + 0.5) / 1e4 AS quantity_mean,
+  floor((stddev_samp(l_quantity)) * 1e4 + 0.5) / 1e4 AS quantity_std, min(l_quantity) AS quantity_min, max(l_quantity) AS quantity_max,
   sum(l_quantity) AS quantity_sum, count(l_quantity) AS quantity_count FROM lineitem GROUP BY l_partkey"""
 
-ORACLES["stream_file_ingest"] = f"""SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 4) AS o_totalprice,
+ORACLES["stream_file_ingest"] = f"""SELECT o_orderkey, o_custkey, o_orderstatus, floor((o_totalprice) * 1e4 + 0.5) / 1e4 AS o_totalprice,
   {stamp('o_orderdate')} AS o_orderdate, o_orderpriority, 'orders.parquet' AS _source_file FROM orders"""
 ORACLES["stream_dedup"] = "SELECT DISTINCT l_orderkey FROM lineitem"
 CLOSED = "{0} + INTERVAL {1} <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
