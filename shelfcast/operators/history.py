@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from shelfcast.operators.skew import MAX_GROUP_ROWS, over_row_history
@@ -31,32 +31,48 @@ def lag_columns(
     return columns
 
 
-def _rolling(column: str, size: int, statistic: str, spec: WindowSpec, min_periods: int | None) -> Column:
-    frame = spec.rowsBetween(1 - size, 0)
-    value = STATISTICS[statistic](column).over(frame)
-    needed = size if min_periods is None else min_periods
-    # Spark aggregates skip nulls and accept short frames; the count makes both visible.
-    return F.when(F.count(column).over(frame) >= needed, value)
-
-
 def rolling_columns(
     spec: WindowSpec,
     target: str,
     windows: Sequence[int] = WINDOWS,
     price: str | None = None,
     statistics: Sequence[str] = ("mean", "std", "min", "max"),
-    min_periods: int | None = None,
 ) -> dict[str, Column]:
-    """Statistics of the last N rows, null until N values are there (``min_periods`` of them)."""
+    """Statistics and value counts of the last N rows.
+
+    Spark aggregates skip nulls and accept short frames; the counts make both visible.
+    """
     columns: dict[str, Column] = {}
     for size in windows:
+        frame = spec.rowsBetween(1 - size, 0)
+        if statistics:
+            columns[f"_{target}_count_{size}"] = F.count(target).over(frame)
         for statistic in statistics:
-            columns[f"{target}_roll_{statistic}_{size}"] = _rolling(target, size, statistic, spec, min_periods)
+            columns[f"{target}_roll_{statistic}_{size}"] = STATISTICS[statistic](target).over(frame)
         if price is not None:
-            columns[f"{price}_roll_mean_{size}"] = _rolling(price, size, "mean", spec, min_periods)
+            columns[f"_{price}_count_{size}"] = F.count(price).over(frame)
+            columns[f"{price}_roll_mean_{size}"] = F.avg(price).over(frame)
     return columns
 
 
+def full_windows(
+    target: str,
+    windows: Sequence[int] = WINDOWS,
+    price: str | None = None,
+    statistics: Sequence[str] = ("mean", "std", "min", "max"),
+    min_periods: int | None = None,
+) -> dict[str, Column]:
+    """The statistics of :func:`rolling_columns`, null until N values (``min_periods``) are there."""
+    results: dict[str, Column] = {}
+    for size in windows:
+        named = [(target, s) for s in statistics] + ([(price, "mean")] if price is not None else [])
+        for column, statistic in named:
+            name = f"{column}_roll_{statistic}_{size}"
+            enough = F.col(f"_{column}_count_{size}") >= (size if min_periods is None else min_periods)
+            results[name] = F.when(enough, F.col(name))
+    return results
+
+
 def add_history_features(
     df: DataFrame,
     keys: Sequence[str],
@@ -78,11 +94,15 @@ def add_history_features(
     """
     price = price if price in df.columns else None
 
+    lagged = lag_columns(Window.orderBy(*order), target, lags, price, price_lags)
+    results = {name: F.col(name) for name in lagged}
+    results |= full_windows(target, windows, price, statistics, min_periods)
+
     def build(spec: WindowSpec) -> dict[str, Column]:
         return {
             **lag_columns(spec, target, lags, price, price_lags),
-            **rolling_columns(spec, target, windows, price, statistics, min_periods),
+            **rolling_columns(spec, target, windows, price, statistics),
         }
 
     reach = max([0, *lags, *(price_lags or ()), *(w - 1 for w in windows)])
-    return over_row_history(df, keys, order, build, reach, max_rows, strict)
+    return over_row_history(df, keys, order, build, reach, results, max_rows, strict)

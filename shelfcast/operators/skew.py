@@ -126,30 +126,33 @@ def over_row_history(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    build: Callable[[WindowSpec], dict[str, Column]],
+    windows: Callable[[WindowSpec], dict[str, Column]],
     lookback: int,
+    results: dict[str, Column] | None = None,
     max_rows: int | None = MAX_GROUP_ROWS,
     strict: bool = True,
 ) -> DataFrame:
     """Add window columns whose frames reach at most ``lookback`` rows back.
 
-    One shuffle on the keys serves all columns. Hot groups are cut into chunks, and the last
-    ``lookback`` rows of a chunk are repeated at the head of the next one, so every frame is whole.
-    ``max_rows=None`` states that groups are bounded (one row per key and day) and skips the check.
-    Rows with a null key get null results.
+    ``results`` are expressions over the window columns that replace them in the output, so that
+    several results can share a window column. One shuffle on the keys serves all columns. Hot groups
+    are cut into chunks, and the last ``lookback`` rows of a chunk are repeated at the head of the next
+    one, so every frame is whole. ``max_rows=None`` states that groups are bounded (one row per key and
+    day) and skips the check. Rows with a null key get null results.
     """
     keys, order = list(keys), list(order)
     chunked = None
     if max_rows is not None:
         max_rows = max(max_rows, lookback, 1)
         chunked = chunk_hot_groups(df, keys, order, max_rows, strict)
-    keyless = any_null(keys)
 
-    def guarded(spec: WindowSpec) -> dict[str, Column]:
-        return {name: F.when(~keyless, c) for name, c in build(spec).items()}
+    def finished(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+        out = results if results is not None else {n: F.col(n) for n in names}
+        return rows.select(*df.columns, *[F.when(~any_null(keys), c).alias(n) for n, c in out.items()])
 
     if chunked is None:
-        return df.withColumns(guarded(Window.partitionBy(*keys).orderBy(*order)))
+        added = windows(Window.partitionBy(*keys).orderBy(*order))
+        return finished(df.withColumns(added), list(added))
 
     # Cold groups have no position and sit in chunk 0 alone.
     tail = F.col(POSITION) % max_rows >= max_rows - lookback
@@ -159,11 +162,9 @@ def over_row_history(
         .withColumn(CHUNK, F.explode(targets))
         .withColumn(OWN, F.col(CHUNK) == F.col("_home"))
     )
-    spec = Window.partitionBy(*keys, CHUNK).orderBy(*order, POSITION)
-    added = guarded(spec)
-    out = rows.withColumns(added).filter(OWN).select(*df.columns, *added)
+    added = windows(Window.partitionBy(*keys, CHUNK).orderBy(*order, POSITION))
+    out = finished(rows.withColumns(added).filter(OWN), list(added))
     if chunked.unkeyed is not None:
-        types = {f.name: f.dataType for f in out.schema.fields}
-        empty = {name: F.lit(None).cast(types[name]) for name in added}
+        empty = {f.name: F.lit(None).cast(f.dataType) for f in out.schema.fields if f.name not in df.columns}
         out = out.unionByName(chunked.unkeyed.withColumns(empty))
     return out
