@@ -72,20 +72,19 @@ def parse_requests(raw: DataFrame, column: str = "value") -> DataFrame:
     otherwise maps names to numbers. Works on streams; see :func:`split_rejects`.
     """
     texts = ("product_id", "store_id", "date")
-    parsed = raw.withColumn("_json", F.try_parse_json(column))
-
-    def part(name: str) -> Column:
-        return F.try_variant_get("_json", f"$.{name}", "variant")
-
-    values = F.try_variant_get("_json", "$.features", "map<string,string>")
-    numbers = F.transform_values(values, lambda _, v: v.try_cast("double"))
-    read = parsed.select(
-        *[c for c in raw.columns if c != column],
+    kept = [c for c in raw.columns if c != column]
+    parts = raw.withColumn("_json", F.try_parse_json(column)).select(
+        *kept,
         F.col("_json").isNull().alias("_unreadable"),
-        *[F.when(F.schema_of_variant(part(f)) == "STRING", F.try_variant_get("_json", f"$.{f}", "string")).alias(f)
-          for f in texts],
-        part("features").isNotNull().alias("_given"),
-        numbers.alias("features"),
+        *[F.try_variant_get("_json", f"$.{name}", "variant").alias(name) for name in (*texts, "features")],
+    )
+    values = F.col("features").try_cast("map<string,string>")
+    read = parts.select(
+        *kept,
+        "_unreadable",
+        *[F.when(F.schema_of_variant(f) == "STRING", F.col(f).try_cast("string")).alias(f) for f in texts],
+        F.col("features").isNotNull().alias("_given"),
+        F.transform_values(values, lambda _, v: v.try_cast("double")).alias("features"),
     )
     reason = F.when(F.col("_unreadable"), "not JSON")
     for f in texts:

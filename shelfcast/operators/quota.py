@@ -95,7 +95,7 @@ def _finish_blocks(busy: DataFrame, columns: Sequence[str], width: int, fan_in:
         upto, leaves = _block_steps(np.sort(pdf["_us"].to_numpy()), int(pdf["begin"].iloc[0]), width)
         return _step_frame(pdf, pdf["block"].iloc[0], upto, leaves)
 
-    def compose(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         upto, leaves = _compose(pdf, width)
         return _step_frame(pdf, key[1], upto, leaves)
 
@@ -105,7 +105,7 @@ def _finish_blocks(busy: DataFrame, columns: Sequence[str], width: int, fan_in:
         above = levels[-1].groupBy("_client", parent.alias("parent")).applyInPandas(compose, _STEPS)
         levels.append(materialise(above))
 
-    def enter(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def enter(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf["enters"].iloc[0]
         return _enter_blocks(pdf, NO_WINDOW if pd.isna(first) else int(first))
 
