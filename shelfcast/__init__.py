@@ -1,3 +1,10 @@
 """Retail sales time-series features, validation, training and scoring as Spark jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel to the executors with the job, so it need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import os
 from collections.abc import Callable
 from datetime import date, datetime
@@ -690,23 +689,29 @@ def json_source(spark: SparkSession, d: str) -> DataFrame:
     return files.read_json(spark, path, customers.schema, lines=True)
 
 
-@functools.lru_cache(maxsize=4)
-def _orders_between(path: str, start: str, end: str):
-    import pyarrow.compute as pc
-    import pyarrow.parquet as pq
+class OrderPages:
+    """Stand-in for a sales API: pages of the orders table in order of date and key."""
 
-    day = pc.strftime(pc.field("o_orderdate"), format="%Y-%m-%d")
-    rows = pq.read_table(path, columns=["o_orderkey", "o_orderdate", "o_totalprice"],
-                         filters=(day >= start) & (day <= end))
-    return rows.sort_by([("o_orderdate", "ascending"), ("o_orderkey", "ascending")])
+    def __init__(self, path: str):
+        self.path = path
+        self.slices: dict = {}
 
+    def __call__(self, start: str, end: str, limit: int, offset: int) -> dict:
+        if (start, end) not in self.slices:
+            self.slices[start, end] = self.between(start, end)
+        rows = self.slices[start, end]
+        data = [{"id": r["o_orderkey"], "date": r["o_orderdate"].isoformat(), "amount": r["o_totalprice"]}
+                for r in rows.slice(offset, limit).to_pylist()]
+        return {"data": data, "has_more": offset + limit < rows.num_rows}
 
-def orders_page(path: str, start: str, end: str, limit: int, offset: int) -> dict:
-    """Stand-in for a sales API: pages of the orders table in order of date and key."""
-    rows = _orders_between(path, start, end)
-    data = [{"id": r["o_orderkey"], "date": r["o_orderdate"].isoformat(), "amount": r["o_totalprice"]}
-            for r in rows.slice(offset, limit).to_pylist()]
-    return {"data": data, "has_more": offset + limit < rows.num_rows}
+    def between(self, start: str, end: str):
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+
+        day = pc.strftime(pc.field("o_orderdate"), format="%Y-%m-%d")
+        rows = pq.read_table(self.path, columns=["o_orderkey", "o_orderdate", "o_totalprice"],
+                             filters=(day >= start) & (day <= end))
+        return rows.sort_by([("o_orderdate", "ascending"), ("o_orderkey", "ascending")])
 
 
 PAGE_SCHEMA = T.StructType([
@@ -719,9 +724,8 @@ def paged_api_source(spark: SparkSession, d: str) -> DataFrame:
     span = table(spark, d, "orders").agg(
         F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b")).first()
     first, last = span["a"] or date(1995, 1, 1), span["b"] or date(1995, 1, 1)
-    fetch = functools.partial(orders_page, f"{d}/orders.parquet")
     return shown(paged_api.read_pages(
-        spark, fetch, PAGE_SCHEMA, first, last, page_size=500, slice_days=366, stripes=2))
+        spark, OrderPages(f"{d}/orders.parquet"), PAGE_SCHEMA, first, last, page_size=500, slice_days=366, stripes=2))
 
 
 @query
