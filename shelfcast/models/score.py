@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from shelfcast.models.train import FEATURES, PREDICTION, TrainedModel, assembler
 from shelfcast.operators.lookup import latest_features
-from shelfcast.operators.skew import broadcast_if_small
+from shelfcast.operators.skew import broadcast_if_small, join_stream_per_key
 from shelfcast.session import materialise
 
 # The band around a prediction.
@@ -115,14 +115,18 @@ def score_requests(
 ) -> DataFrame:
     """Response rows for requests: latest features, prediction, band and stamps.
 
-    The request side may be a stream; the store side is reduced to one row per entity and broadcast
-    when small. Unknown entities get 0 for every feature. ``use_request_features`` lets the values
+    The request side may be a stream; the store side is reduced to one row per entity, counted, and
+    broadcast when small. Unknown entities get 0 for every feature. ``use_request_features`` lets the values
     sent with a request replace the stored ones.
     """
     features = list(features)
     known = latest_features(store.withColumns({k: F.col(k).cast("string") for k in keys}), keys, ts, features)
     table = materialise(known.select(*keys, F.struct(*features).alias("_stored")))
-    rows = requests.join(broadcast_if_small(table, table.count()), list(keys), "left")
+    n = table.count()
+    if requests.isStreaming:
+        rows = join_stream_per_key(requests, table, n, keys)
+    else:
+        rows = requests.join(broadcast_if_small(table, n), list(keys), "left")
 
     def value(f: str) -> Column:
         stored = F.coalesce(F.col(f"_stored.{f}").cast("double"), F.lit(0.0))

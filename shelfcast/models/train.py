@@ -131,7 +131,9 @@ class Trainer:
         matrix = encoded.select(
             "_keep.split", f"_keep.{LABEL}",
             *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
-        vectors = materialise(assembler(features).transform(matrix).select("split", LABEL, FEATURES))
+        # Bagging is seeded per partition: fixed partitions and row order make training repeatable.
+        ordered = matrix.sortWithinPartitions("split", LABEL, *features)
+        vectors = materialise(assembler(features).transform(ordered).select("split", LABEL, FEATURES))
         estimator = make_estimator(self.model_type, self.hyperparameters)
         train_rows = vectors.filter(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
         try:

@@ -69,13 +69,11 @@ def historical_features(
     right = store.filter(~any_null(keys) & F.col(store_ts).isNotNull()).select(
         *keys, F.col(store_ts).alias("_ts"), F.lit(0).alias(side), values.alias(stored))
     both = left.unionByName(right, allowMissingColumns=True)
-    chunked = chunk_hot_groups(both, keys, ["_ts", side], max_rows, strict=False)
+    parts, order = list(keys), ["_ts", side, stored]
+    chunked = chunk_hot_groups(both, keys, order, max_rows, strict=False)
     rows = both if chunked is None else chunked.rows
-    parts, order = list(keys), ["_ts", side]
     if chunked is not None:
         parts, order = [*parts, CHUNK], [*order, POSITION]
-    else:
-        order = [*order, stored]
     so_far = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     seen = rows.withColumn("_found", F.last(stored, ignorenulls=True).over(so_far))
     if chunked is not None:

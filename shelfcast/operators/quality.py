@@ -189,6 +189,19 @@ def validate(df: DataFrame, rules: Sequence[dict[str, Any]]) -> ValidationResult
     return run_checks(df, configured_checks(df, rules))
 
 
+def validate_records(spark: SparkSession, data: Any, rules: Sequence[dict[str, Any]]) -> ValidationResult:
+    """Validate a frame, one record, or a list of records; anything else is an error result."""
+    if isinstance(data, DataFrame):
+        return validate(data, rules)
+    records = [data] if isinstance(data, dict) else data
+    if not isinstance(records, list) or not all(isinstance(r, dict) for r in records):
+        result = ValidationResult()
+        result.fail(f"Invalid data type: {type(data)}")
+        return result
+    df = spark.createDataFrame(records) if records else spark.createDataFrame([], T.StructType([]))
+    return validate(df, rules)
+
+
 def validate_sales(df: DataFrame, **options) -> ValidationResult:
     return run_checks(df, sales_checks(df, **options))
 

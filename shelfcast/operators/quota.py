@@ -19,12 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfcast.operators.requestlog import LIMIT, WINDOW_SECONDS, number_in_window
+from shelfcast.operators.requestlog import LIMIT, UNKNOWN_CLIENT, WINDOW_SECONDS, number_in_window
 from shelfcast.operators.skew import MAX_GROUP_ROWS, broadcast_if_small
 from shelfcast.session import materialise
 
-# Fixed value: requests without a client share one quota.
-UNKNOWN_CLIENT = "unknown"
 FAN_IN = 64  # blocks composed into one of the next level
 NO_WINDOW = np.iinfo(np.int64).min
 EPOCH = "1970-01-01 00:00:00"
@@ -201,8 +199,7 @@ def quota_anchored(
     max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Quota state of every request in anchored windows; requests over the limit still count."""
-    windows = anchored_windows(log, seconds, max_rows)
-    return number_in_window(windows, ["client", "window_start"], order, limit)
+    return number_in_window(anchored_windows(log, seconds, max_rows), order, limit, max_rows)
 
 
 def remaining_quota(

@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Quota per client and window.
+from shelfcast.operators.skew import MAX_GROUP_ROWS, number_rows
+
+# Quota per client and window, and the name of requests without a client.
+UNKNOWN_CLIENT = "unknown"
 LIMIT = 100
 WINDOW_SECONDS = 60
 # Latency bucket bounds in seconds.
@@ -76,14 +79,15 @@ def quota_usage(log: DataFrame, limit: int = LIMIT, seconds: int = WINDOW_SECOND
 
 
 def number_in_window(
-    log: DataFrame, by: Sequence[str], order: Sequence[str], limit: int = LIMIT
+    log: DataFrame, order: Sequence[str], limit: int = LIMIT, max_rows: int = MAX_GROUP_ROWS
 ) -> DataFrame:
-    """Rank of each request in its window, what it leaves, and whether it is over the limit.
+    """Rank of each request in its client's ``window_start``, what it leaves, and if it is over the limit.
 
-    A group is one client in one window, so its size is bound by the client's request rate.
+    ``order`` is a strict order of requests. Requests without a client share one quota.
     """
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return log.withColumn("n", n).withColumns({
+    shared = log.withColumn("_client", F.coalesce(F.col("client").cast("string"), F.lit(UNKNOWN_CLIENT)))
+    numbered = number_rows(shared, ["_client", "window_start"], order, max_rows=max_rows)
+    return numbered.drop("_client").withColumns({
         "remaining": F.greatest(F.lit(0), limit - F.col("n")),
         "over_limit": F.col("n") > limit,
     })
@@ -94,4 +98,4 @@ def quota_aligned(
 ) -> DataFrame:
     """Quota state of every request in windows aligned to the clock."""
     start = F.window("ts", f"{seconds} seconds")["start"]
-    return number_in_window(log.withColumn("window_start", start), ["client", "window_start"], order, limit)
+    return number_in_window(log.withColumn("window_start", start), order, limit)

@@ -122,6 +122,42 @@ def chunk_hot_groups(
     return Chunked(cold.unionByName(large), unkeyed)
 
 
+def number_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "n",
+    max_rows: int = MAX_GROUP_ROWS, strict: bool = True,
+) -> DataFrame:
+    """Add the 1-based rank of each row in its group; null for rows with a null key."""
+    keys, order = list(keys), list(order)
+    chunked = chunk_hot_groups(df, keys, order, max_rows, strict)
+    if chunked is None:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn(name, F.when(~any_null(keys), rank))
+    # Hot groups already have positions; the window only numbers the others.
+    rank = F.row_number().over(Window.partitionBy(*keys, CHUNK).orderBy(*order, POSITION))
+    n = F.coalesce((F.col(POSITION) + 1).cast("int"), F.when(~any_null(keys), rank))
+    out = chunked.rows.withColumn(name, n).select(*df.columns, name)
+    if chunked.unkeyed is not None:
+        out = out.unionByName(chunked.unkeyed.withColumn(name, F.lit(None).cast("int")))
+    return out
+
+
+def join_stream_per_key(
+    stream: DataFrame, table: DataFrame, rows: int, keys: Sequence[str], salts: int = 16, limit: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Left join of stream rows to a static table of known size with one row per key.
+
+    A table too large to broadcast is shuffled. Adaptive execution does not split skewed keys of a
+    stream, so each entity then has ``salts`` copies and the stream rows spread over them by hash.
+    """
+    keys = list(keys)
+    if rows * row_bytes(table) <= limit:
+        return stream.join(F.broadcast(table), keys, "left")
+    hashable = [f.name for f in stream.schema.fields if "map<" not in f.dataType.simpleString()]
+    salted = stream.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")
+
+
 def over_row_history(
     df: DataFrame,
     keys: Sequence[str],

@@ -14,7 +14,7 @@ from shelfcast.operators.aggregates import add_past_statistics, group_statistics
 from shelfcast.operators.encode import OneHot, StandardScale, categorical_columns
 from shelfcast.operators.history import LAGS, WINDOWS, add_history_features
 from shelfcast.operators.skew import MAX_GROUP_ROWS, join_per_key
-from shelfcast.session import materialise
+from shelfcast.session import store_table
 
 
 @dataclass(frozen=True)
@@ -96,7 +96,7 @@ def fit_features(df: DataFrame, config: FeatureConfig | None = None) -> tuple[Fe
     window shuffle does not run again.
     """
     c = config or FeatureConfig()
-    features = materialise(unscaled_features(df, c))
+    features = store_table(unscaled_features(df, c), "features")
     model = fit_on_features(features, c)
     return model, model.finish(features)
 

@@ -609,7 +609,7 @@ def quota_aligned(spark: SparkSession, d: str) -> DataFrame:
 
 def _anchored(spark: SparkSession, d: str, limit: int, seconds: int, **options) -> DataFrame:
     windows = quota.anchored_windows(requests(spark, d), seconds, **options)
-    log = requestlog.number_in_window(windows, ["client", "window_start"], ["ts", "event_id"], limit)
+    log = requestlog.number_in_window(windows, ["ts", "event_id"], limit)
     return shown(log.select("event_id", "client", "window_start", "n", "remaining", "over_limit"))
 
 

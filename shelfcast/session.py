@@ -49,6 +49,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and read it from reliable storage from then on."""
+    """Compute a narrow or small ``df`` once and read it from reliable storage from then on."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store_table(df: DataFrame, label: str) -> DataFrame:
+    """Write a wide ``df`` once as compressed columns; later reads load only the columns they need."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -48,10 +48,20 @@ def read_split(spark: SparkSession, root: str, dataset: str, split: str = "train
 
 
 def stream_prefix(
-    spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None, glob: str = "*.parquet"
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    files_per_batch: int | None = None,
+    glob: str = "*.parquet",
+    skip_corrupt: bool = False,
 ) -> DataFrame:
-    """Parquet files below a prefix as a stream: each file is read once, remembered by the checkpoint."""
+    """Parquet files below a prefix as a stream: each file is read once, remembered by the checkpoint.
+
+    With ``skip_corrupt`` a file that cannot be read is logged and left out, and the others go on.
+    """
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+    if skip_corrupt:
+        reader = reader.option("ignoreCorruptFiles", True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return with_provenance(reader.parquet(path))

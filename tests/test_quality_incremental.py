@@ -113,6 +113,17 @@ def test_files(spark, tmp_path):
     assert run("none.csv", []).errors[0].startswith("File not found")
 
 
+def test_records(spark):
+    rules = [{"type": "sales"}]
+    record = {"product_id": 1, "sales": -5, "date": "2024-01-01"}
+    assert quality.validate_records(spark, record, rules).errors == ["Found 1 negative sales values"]
+    assert len(quality.validate_records(spark, [record, {"product_id": 2, "sales": -1}], rules).errors) == 1
+    empty = quality.validate_records(spark, [], rules)
+    assert not empty.is_valid and empty.warnings == ["DataFrame is empty"]
+    assert quality.validate_records(spark, "text", rules).errors[0].startswith("Invalid data type")
+    assert quality.validate_records(spark, sales(spark), rules).is_valid
+
+
 def test_null_profile(spark):
     df = spark.createDataFrame([(1, None), (2, float("nan")), (3, 1.0), (4, 1.0)], "a int, b double")
     rows = {r.column: r for r in quality.null_profile(df, 0.5).collect()}

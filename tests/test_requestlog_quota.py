@@ -44,6 +44,20 @@ def test_aligned_quota(spark):
     assert [(r.n, r.remaining, r.over_limit) for r in rows] == [(1, 1, False), (2, 0, False), (3, 0, True), (1, 1, False)]
 
 
+@pytest.mark.parametrize("max_rows", [1000, 5])
+def test_numbers_in_hot_windows(spark, max_rows):
+    df = log(spark, [(i % 13, "ab"[i % 3 == 0], "200", 0.0) for i in range(60)] + [(1, None, "200", 0.0)] * 9)
+    df = df.withColumn("window_start", F.lit(START))
+    got = requestlog.number_in_window(df.repartition(3), ["ts", "id"], 4, max_rows).collect()
+    for client in ("a", "b", None):
+        rows = sorted((r for r in got if r.client == client), key=lambda r: (r.ts, r.id))
+        assert [r.n for r in rows] == list(range(1, len(rows) + 1))
+        assert [r.over_limit for r in rows] == [i > 4 for i in range(1, len(rows) + 1)]
+    late = df.withColumn("window_start", F.when(F.col("client") == "a", F.col("window_start")))
+    kept = requestlog.number_in_window(late, ["ts", "id"], 4, max_rows).collect()
+    assert len(kept) == 69 and all((r.n is None) == (r.client != "a") for r in kept)
+
+
 def walk(rows, width):
     """Window start per (client, second), one request after the other."""
     out, opened = {}, {}

@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from shelfcast.models import score as scoring
 from shelfcast.operators import quota
+from shelfcast.operators.requestlog import request_counts
+from shelfcast.operators.skew import join_stream_per_key
 from shelfcast.sources import files, kafka
 from shelfcast.streaming import jobs
 from shelfcast.streaming.run import run_by_batch, run_to_table, run_totals
-from shelfcast.operators.requestlog import request_counts
 
 START = datetime(2024, 1, 1)
 LOG = "event_id bigint, ts timestamp, client string, method string, endpoint string, status string, latency_s double"
@@ -101,6 +102,24 @@ def test_decode_and_score_a_stream(spark, tmp_path):
     assert [r.product_id for r in decoded.collect()] == ["p1", None]
 
 
+def test_stream_join_without_broadcast(spark, tmp_path):
+    src = str(tmp_path / "in")
+    requests(spark, 50).write.parquet(src)
+    table = spark.createDataFrame([("a", 1), ("c", 3)], "client string, v int")
+    joined = join_stream_per_key(stream(spark, src, requests(spark, 1).schema), table, 2, ["client"], limit=0)
+    rows = run_to_table(joined, "joined").collect()
+    assert len(rows) == 50 and all(r.v == (1 if r.client == "a" else None) for r in rows)
+    assert "_salt" not in joined.columns
+
+
+def test_corrupt_files_can_be_skipped(spark, tmp_path):
+    src = tmp_path / "in"
+    spark.range(5).coalesce(1).write.parquet(str(src))
+    (src / "bad.parquet").write_bytes(b"PAR1 this is no parquet file")
+    df = files.stream_prefix(spark, str(src), spark.range(1).schema, skip_corrupt=True)
+    assert run_to_table(df, "skip").count() == 5
+
+
 def test_batches_are_handed_over(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     requests(spark, 7).write.parquet(src)
