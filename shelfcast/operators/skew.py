@@ -162,19 +162,19 @@ def over_row_history(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    windows: Callable[[WindowSpec], dict[str, Column]],
+    add_columns: Callable[[DataFrame, WindowSpec], DataFrame],
     lookback: int,
-    results: dict[str, Column] | None = None,
+    results: dict[str, Column],
     max_rows: int | None = MAX_GROUP_ROWS,
     strict: bool = True,
 ) -> DataFrame:
-    """Add window columns whose frames reach at most ``lookback`` rows back.
+    """Add ``results`` that depend on at most ``lookback`` earlier rows of the group.
 
-    ``results`` are expressions over the window columns that replace them in the output, so that
-    several results can share a window column. One shuffle on the keys serves all columns. Hot groups
-    are cut into chunks, and the last ``lookback`` rows of a chunk are repeated at the head of the next
-    one, so every frame is whole. ``max_rows=None`` states that groups are bounded (one row per key and
-    day) and skips the check. Rows with a null key get null results.
+    ``add_columns`` adds the window columns that ``results`` are made of; all of them use the given
+    window, so one shuffle and one sort serve them. Hot groups are cut into chunks, and the last
+    ``lookback`` rows of a chunk are repeated at the head of the next one, so every frame is whole.
+    ``max_rows=None`` states that groups are bounded (one row per key and day) and skips the check.
+    Rows with a null key get null results.
     """
     keys, order = list(keys), list(order)
     chunked = None
@@ -182,13 +182,11 @@ def over_row_history(
         max_rows = max(max_rows, lookback, 1)
         chunked = chunk_hot_groups(df, keys, order, max_rows, strict)
 
-    def finished(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-        out = results if results is not None else {n: F.col(n) for n in names}
-        return rows.select(*df.columns, *[F.when(~any_null(keys), c).alias(n) for n, c in out.items()])
+    def finished(rows: DataFrame) -> DataFrame:
+        return rows.select(*df.columns, *[F.when(~any_null(keys), c).alias(n) for n, c in results.items()])
 
     if chunked is None:
-        added = windows(Window.partitionBy(*keys).orderBy(*order))
-        return finished(df.withColumns(added), list(added))
+        return finished(add_columns(df, Window.partitionBy(*keys).orderBy(*order)))
 
     # Cold groups have no position and sit in chunk 0 alone.
     tail = F.col(POSITION) % max_rows >= max_rows - lookback
@@ -198,8 +196,8 @@ def over_row_history(
         .withColumn(CHUNK, F.explode(targets))
         .withColumn(OWN, F.col(CHUNK) == F.col("_home"))
     )
-    added = windows(Window.partitionBy(*keys, CHUNK).orderBy(*order, POSITION))
-    out = finished(rows.withColumns(added).filter(OWN), list(added))
+    spec = Window.partitionBy(*keys, CHUNK).orderBy(*order, POSITION)
+    out = finished(add_columns(rows, spec).filter(OWN))
     if chunked.unkeyed is not None:
         empty = {f.name: F.lit(None).cast(f.dataType) for f in out.schema.fields if f.name not in df.columns}
         out = out.unionByName(chunked.unkeyed.withColumns(empty))

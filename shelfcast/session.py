@@ -20,6 +20,11 @@ def build_session(app: str = "shelfcast", master: str = "local[*]", partitions:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Generated methods above this size are never compiled by the JVM; wide projections then run
+        # faster as many small methods.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # Call sites of single column expressions cost more than building the plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

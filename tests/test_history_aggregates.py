@@ -136,10 +136,14 @@ def test_group_statistics(spark):
 def test_join_per_key_with_and_without_broadcast(spark, limit):
     left = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "k string")
     right = spark.createDataFrame([("a", 1), ("c", 2)], "k string, v int")
-    joined = join_per_key(left, right, ["k"], limit=limit)
-    assert sorted((r.k or "", r.v or 0) for r in joined.collect()) == [("", 0), ("a", 1), ("a", 1), ("b", 0)]
-    broadcast = "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
-    assert broadcast == (limit > 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = join_per_key(left, right, ["k"], limit=limit)
+        assert sorted((r.k or "", r.v or 0) for r in joined.collect()) == [("", 0), ("a", 1), ("a", 1), ("b", 0)]
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ("BroadcastHashJoin" in plan) == (limit > 0)
 
 
 @pytest.mark.parametrize("max_rows", [None, 1000, 9])
