@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from shelfcast.session import materialise
+from shelfcast.session import materialise, store_table
 
 # A side is broadcast only up to this many estimated bytes; beyond it the join shuffles and
 # adaptive execution splits skewed partitions.
@@ -52,16 +52,17 @@ def join_per_key(
 def row_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], strict: bool = True) -> DataFrame:
     """Add ``_pos``, the 0-based rank of each row in its group, without a task per group.
 
-    Rows are range-partitioned on keys and order, so a group of any size spreads over many
-    partitions. The ranges are fixed by a checkpoint; the row count of each (group, partition)
-    then turns partition-local numbers into group positions. ``strict=False`` allows rows that tie
-    in ``order``: they are stored first and numbered, which also spreads a large run of copies.
+    The rows are stored once, because finding the ranges reads them twice. They are range-partitioned
+    on keys and order, so a group of any size spreads over many partitions; a checkpoint fixes the
+    ranges. The row count of each (group, partition) then turns partition-local numbers into group
+    positions. ``strict=False`` allows rows that tie in ``order``: their number in the stored table
+    settles the order, and splits a long run of copies over several ranges.
     """
     spark = df.sparkSession
     by = [*keys, *order]
-    source = df
+    source = store_table(df, "ranked")
     if not strict:
-        source = materialise(df).withColumn("_arrival", F.monotonically_increasing_id())
+        source = source.withColumn("_arrival", F.monotonically_increasing_id())
         by = [*by, "_arrival"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     placed = materialise(

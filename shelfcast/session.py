@@ -18,6 +18,7 @@ def build_session(app: str = "shelfcast", master: str = "local[*]", partitions:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.files.openCostInBytes", str(1 << 20))  # small tables still use all threads
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # Generated methods above this size are never compiled by the JVM; wide projections then run
