@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,15 +81,25 @@ class StandardScale:
     moments: dict[str, tuple[float | None, float | None]]
 
     @staticmethod
-    def fit(df: DataFrame, exclude: Sequence[str] = ()) -> StandardScale:
-        """All numeric columns but ``exclude`` in one aggregation; nulls are skipped."""
+    def fit(df: DataFrame, exclude: Sequence[str] = (), columns_per_scan: int | None = None) -> StandardScale:
+        """All numeric columns but ``exclude`` in one aggregation; nulls are skipped.
+
+        For a stored table, ``columns_per_scan`` splits a wide aggregation into narrow ones in the same
+        job, each reading only its own columns.
+        """
         columns = [c for c in numeric_columns(df) if c not in exclude]
         if not columns:
             return StandardScale({})
-        exprs = [e for i, c in enumerate(columns) for e in (
-            F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}"))]
-        row = df.agg(*exprs).first()
-        return StandardScale({c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(columns)})
+        width = columns_per_scan or len(columns)
+
+        def moments(part: list[str]) -> DataFrame:
+            rows = [F.struct(F.lit(c).alias("column"), F.avg(c).cast("double").alias("mean"), F.stddev_pop(c).alias("deviation"))
+                    for c in part]
+            return df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+        scans = [moments(columns[i: i + width]) for i in range(0, len(columns), width)]
+        found = {r["column"]: (r["mean"], r["deviation"]) for r in reduce(DataFrame.unionAll, scans).collect()}
+        return StandardScale({c: found[c] for c in columns})
 
     def transform(self, df: DataFrame) -> DataFrame:
         def scaled(c: str) -> Column:

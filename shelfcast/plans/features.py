@@ -17,6 +17,10 @@ from shelfcast.operators.skew import MAX_GROUP_ROWS, join_per_key
 from shelfcast.session import store_table
 
 
+# Columns of the stored features that one narrow aggregation of the scale fit reads.
+COLUMNS_PER_SCAN = 12
+
+
 @dataclass(frozen=True)
 class FeatureConfig:
     group_by: tuple[str, ...] = ("product_id",)
@@ -109,5 +113,5 @@ def fit_on_features(features: DataFrame, c: FeatureConfig) -> FeatureModel:
     if c.seasonal_first:
         rows = add_seasonal_features(rows, c.date_col)
     encoded = one_hot.transform(rows)
-    scale = StandardScale.fit(encoded, (*c.group_by, *c.scale_exclude)) if c.scale else StandardScale({})
+    scale = StandardScale.fit(encoded, (*c.group_by, *c.scale_exclude), COLUMNS_PER_SCAN) if c.scale else StandardScale({})
     return FeatureModel(c, one_hot, scale)
