@@ -93,8 +93,8 @@ class StandardScale:
         width = columns_per_scan or len(columns)
 
         def moments(part: list[str]) -> DataFrame:
-            rows = [F.struct(F.lit(c).alias("column"), F.avg(c).cast("double").alias("mean"), F.stddev_pop(c).alias("deviation"))
-                    for c in part]
+            rows = [F.struct(F.lit(c).alias("column"), F.avg(c).cast("double").alias("mean"),
+                             F.stddev_pop(c).alias("deviation")) for c in part]
             return df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
         scans = [moments(columns[i: i + width]) for i in range(0, len(columns), width)]

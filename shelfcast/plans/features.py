@@ -113,5 +113,7 @@ def fit_on_features(features: DataFrame, c: FeatureConfig) -> FeatureModel:
     if c.seasonal_first:
         rows = add_seasonal_features(rows, c.date_col)
     encoded = one_hot.transform(rows)
-    scale = StandardScale.fit(encoded, (*c.group_by, *c.scale_exclude), COLUMNS_PER_SCAN) if c.scale else StandardScale({})
+    if not c.scale:
+        return FeatureModel(c, one_hot, StandardScale({}))
+    scale = StandardScale.fit(encoded, (*c.group_by, *c.scale_exclude), COLUMNS_PER_SCAN)
     return FeatureModel(c, one_hot, scale)
