@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import mixing, rules, sharding
+from shelfcast.llm import mixing, neardup, packing, rules, sharding
 from shelfcast.llm.common import count_words
 from shelfcast.llm.oracles import ORACLES
 from shelfcast.plans.tables import table
@@ -41,6 +41,26 @@ def op4_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op5_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 4096 tokens."""
+    import public_tokenizers
+
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", F.expr("octet_length(ids) div 4").alias("length"), F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op6_chosen_path_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of each document under a similarity of 0.85."""
+    rows = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_shingles", F.col("component").alias("component_id"),
+        (F.col("doc_id") == F.col("component")).alias("kept"))
+
+
 @query
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
