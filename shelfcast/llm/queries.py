@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import mixing, neardup, packing, rules, sharding
+from shelfcast.llm import mixing, neardup, packing, rules, sharding, wrappers
 from shelfcast.llm.common import count_words
 from shelfcast.llm.oracles import ORACLES
 from shelfcast.plans.tables import table
@@ -61,6 +61,14 @@ def op6_chosen_path_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
         (F.col("doc_id") == F.col("component")).alias("kept"))
 
 
+@query
+def op9_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    rows = wrappers.extract_main_text(table(spark, sf_dir, "pages"))
+    return rows.select(
+        "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_blocks", "n_template")
+
+
 @query
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
