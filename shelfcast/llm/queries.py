@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import mixing, neardup, packing, rules, sharding, wrappers
+from shelfcast.llm import mixing, neardup, packing, rules, sharding, toxicity, wrappers
 from shelfcast.llm.common import count_words
 from shelfcast.llm.oracles import ORACLES
 from shelfcast.plans.tables import table
@@ -61,6 +61,16 @@ def op6_chosen_path_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
         (F.col("doc_id") == F.col("component")).alias("kept"))
 
 
+@query
+def op8_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a model fitted on the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op9_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
