@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import mixing, neardup, packing, rules, sharding, toxicity, wrappers
+from shelfcast.llm import mixing, neardup, packing, permutation, rules, sharding, surrogates, toxicity, wrappers
 from shelfcast.llm.common import count_words
 from shelfcast.llm.oracles import ORACLES
 from shelfcast.plans.tables import table
@@ -22,6 +22,14 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest neighbours found of every fiftieth vector."""
+    index = permutation.build_index(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    found = permutation.search(index, F.col("key") % 50 == 0, 5)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("key").alias("vec_id"), "score")
+
+
 @query
 def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and the verdict of the strict policy."""
@@ -32,6 +40,12 @@ def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("failed").bitwiseAND(F.lit(base)) != 0).alias("base_failed"), "kept", "failed")
 
 
+@query
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced."""
+    return surrogates.replace_personal_data(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 contiguous shards of near-equal bytes."""

@@ -20,7 +20,9 @@ from shelfcast.session import store_table
 ORDER, SPAN, DECAY = 3, 6, 0.6
 # Matches below this are none; units longer than this are compared in overlapping parts.
 LEAST_MATCH, UNIT_CHARS = 0.35, 32
-LANDMARKS = 96
+LANDMARKS, ALIKE = 128, 0.65
+# Levels of a word's margin at which a document's words are counted.
+LEVELS = (-0.75, -0.25, 0.25)
 # Most labelled documents that the model is fitted on.
 TRAIN_DOCS = 20_000
 KNOWN_WORDS = 400_000
@@ -180,8 +182,8 @@ class SentenceFeatures:
         for word in words:
             self.place[word] = near[_unit(word)]
 
-    def __call__(self, texts: list[str]) -> list[list[np.ndarray]]:
-        """Per text, a vector for each sentence that matches anything."""
+    def __call__(self, texts: list[str]) -> list[tuple[list[np.ndarray], list[np.ndarray], int]]:
+        """Per text, the vectors of the sentences and of the words that match anything, and the count of words."""
         split = [list(sentences(t)) for t in texts]
         new = {w for text in split for words in text for w in words if w not in self.place}
         if new or len(self.place) > KNOWN_WORDS:
@@ -193,13 +195,14 @@ class SentenceFeatures:
         out = []
         place, rows = self.place, self.rows
         for text in split:
-            found = []
+            found, matched, size = [], [], 0
             for words in text:
-                hits = {place[w] for w in words}
-                hits.discard(0)
+                hits = [h for w in words if (h := place[w])]
+                size += len(words)
                 if hits:
-                    found.append(np.max([rows[h] for h in hits], axis=0))
-            out.append(found)
+                    matched += [rows[h] for h in hits]
+                    found.append(np.max(matched[-len(hits):], axis=0))
+            out.append((found, matched, size))
         return out
 
 
@@ -222,13 +225,14 @@ class ToxicityModel:
     landmarks: list[str]
     weights: np.ndarray
     bias: float
-    calibration: np.ndarray  # of largest margin, log count of positive sentences, log of their sum; then the intercept
+    calibration: np.ndarray  # of the document's features, then the intercept
     prior: float
 
-    def document_features(self, found: list[np.ndarray]) -> list[float]:
+    def document_features(self, found: list[np.ndarray], matched: list[np.ndarray], size: int) -> list[float]:
         margins = (np.stack(found) @ self.weights + self.bias) if found else np.array([self.bias])
-        over = margins[margins > 0]
-        return [float(np.clip(margins.max(), -5, 5)), float(np.log1p(len(over))), float(np.log1p(over.sum()))]
+        words = (np.stack(matched) @ self.weights + self.bias) if matched else np.array([self.bias])
+        return [float(np.clip(margins.max(), -3, 3)), *[float(np.log1p((words > v).sum())) for v in LEVELS],
+                float(np.log1p(size))]
 
     def scorer(self) -> Callable[[list[str]], Iterator[list[float]]]:
         features = SentenceFeatures(self.landmarks)
@@ -236,7 +240,7 @@ class ToxicityModel:
         def run(texts: list[str]) -> Iterator[list[float]]:
             for part in _in_parts(texts):
                 for found in features(part):
-                    yield self.document_features(found)
+                    yield self.document_features(*found)
         return run
 
     def probability(self, features: list[float]) -> float:
@@ -273,12 +277,13 @@ def train_toxicity(
 ) -> ToxicityModel:
     """Fit on labelled documents whose key is not held out, about ``most_docs`` of them by a hash of the key.
 
-    1. Landmarks are the words whose presence in documents speaks most for the label.
+    1. Landmarks are the words whose presence in documents speaks most for the label, none much like an earlier one.
     2. Labelled sentences: all sentences of clean documents that match a landmark, and, of a toxic document,
        the one whose words speak most for it.
     3. A sentence's features are its best kernel value with each landmark, whitened by the landmarks' own
        kernel matrix (Nyström); a linear support vector machine is fitted on them.
-    4. A logistic regression maps a document's largest margin and its positive sentences to a probability.
+    4. A logistic regression maps a document's largest sentence margin, the counts of words above some margins,
+       and its length to a probability.
 
     Key, language, source and label are no features. Without both classes the model returns the prior.
     """
@@ -295,7 +300,7 @@ def train_toxicity(
     counts = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0.0))).first()
     total, toxic = int(counts[0]), float(counts[1])
     prior = (toxic + 0.5) / (total + 1)
-    empty = ToxicityModel([], np.zeros(0), 0.0, np.zeros(4), prior)
+    empty = ToxicityModel([], np.zeros(0), 0.0, np.zeros(0), prior)
     if not 0 < toxic < total:
         return empty
 
@@ -308,11 +313,16 @@ def train_toxicity(
         F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).filter("n >= 4")
     odds = F.log((F.col("t") + 0.5) / toxic) - F.log((F.col("n") - F.col("t") + 0.5) / (total - toxic))
     best = (seen.withColumn("odds", odds).filter("odds > 1")
-            .orderBy((F.col("t") * F.col("odds")).desc(), "unit").limit(n_landmarks).collect())
+            .orderBy((F.col("t") * F.col("odds")).desc(), "unit").limit(8 * n_landmarks).collect())
     if not best:
         return empty
-    landmarks = [r["unit"] for r in best]
-    evidence = np.array([r["odds"] for r in best], dtype=np.float32)
+    alike = StringKernel([r["unit"] for r in best])([r["unit"] for r in best])
+    kept: list[int] = []
+    for i in range(len(best)):
+        if len(kept) < n_landmarks and (not kept or alike[i, kept].max() < ALIKE):
+            kept.append(i)
+    landmarks = [best[i]["unit"] for i in kept]
+    evidence = np.array([best[i]["odds"] for i in kept], dtype=np.float32)
     own = StringKernel(landmarks)(landmarks).astype(np.float64)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
@@ -320,7 +330,7 @@ def train_toxicity(
     def labelled_sentences(batch: pa.RecordBatch) -> Iterator[dict]:
         features = SentenceFeatures(landmarks)
         marks = batch.column("toxic").to_pylist()
-        for mark, found in zip(marks, features(batch.column("text").to_pylist()), strict=True):
+        for mark, (found, _, _) in zip(marks, features(batch.column("text").to_pylist()), strict=True):
             if mark > 0:
                 found = sorted(found, key=lambda z: -float((z * evidence).max()))[:1]
             else:
@@ -338,7 +348,7 @@ def train_toxicity(
     machine = LinearSVC(maxIter=60, regParam=1e-3, weightCol="weight", standardization=False).fit(
         instances.withColumn("weight", balance))
     model = ToxicityModel(landmarks, whiten @ machine.coefficients.toArray(), float(machine.intercept),
-                          np.zeros(4), prior)
+                          np.zeros(0), prior)
 
     def document_rows(batch: pa.RecordBatch) -> Iterator[dict]:
         run = model.scorer()
