@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import mixing, neardup, packing, permutation, rules, sharding, surrogates, toxicity, wrappers
+from shelfcast.llm import lines, mixing, neardup, packing, permutation, rules, sharding, surrogates, toxicity, wrappers
 from shelfcast.llm.common import count_words
 from shelfcast.llm.oracles import ORACLES
 from shelfcast.plans.tables import table
@@ -75,6 +75,12 @@ def op6_chosen_path_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
         (F.col("doc_id") == F.col("component")).alias("kept"))
 
 
+@query
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with one occurrence of each group of alike lines."""
+    return lines.deduplicate_lines(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by a model fitted on the labels that are not held out."""
