@@ -99,7 +99,7 @@ def mix(
         targets.join(quotas, "rank", "left").fillna(0, ["blocks"])
         .join(starts, targets["source"].eqNullSafe(starts["source"])).drop(starts["source"])
         .withColumn("run", F.least(F.col("blocks") * block, F.col("source_size") * epochs).cast("bigint"))
-        .withColumn("passes", F.coalesce(F.expr("run div source_size"), F.lit(0)))
+        .withColumn("passes", F.when(F.col("source_size") > 0, F.expr("run div source_size")).otherwise(F.lit(0)))
         .withColumn("rest", F.col("run") - F.col("passes") * F.col("source_size")))
     plan = materialise(plan.withColumnRenamed("source", "own"))
     joined = placed.join(plan, placed["source"].eqNullSafe(plan["own"]))
