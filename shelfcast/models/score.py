@@ -108,12 +108,12 @@ def score_requests(
     scorer: Scorer,
     features: Sequence[str],
     model_version: str,
-    keys: Sequence[str] = ("product_id",),
+    keys: Sequence[str] = ("product_id", "store_id"),
     ts: str = "date",
     use_request_features: bool = False,
     stamp: bool = True,
 ) -> DataFrame:
-    """Response rows for requests: latest features, prediction, band and stamps.
+    """Response rows for requests: latest features of the product in the store, prediction, band and stamps.
 
     The request side may be a stream; the store side is reduced to one row per entity, counted, and
     broadcast when small. Unknown entities get 0 for every feature. ``use_request_features`` lets the values

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from shelfcast.models.train import FEATURES, LABEL, assembler, importance_frame
-from shelfcast.session import checkpoint_root
+from shelfcast.session import checkpoint_root, materialise, store_table
 
 # Number of features kept, forest size and seed.
 NUM_FEATURES = 50
 TREES = 100
 SEED = 42
+# Depth of the selection forests: the deepest that MLlib grows.
+DEPTH = 30
 METHODS = ("importance", "rfe", "correlation")
 
 
@@ -35,41 +37,44 @@ def _importances(df: DataFrame, features: list[str], trees: int, depth: int) ->
         vectors.unpersist()
 
 
-def _labelled(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    return df.filter(F.col(target).isNotNull()).select(
+def _labelled(df: DataFrame, features: Sequence[str], target: str, fit_rows: int | None = None) -> DataFrame:
+    """Stored matrix in a fixed row order, since seeded bagging depends on it."""
+    rows = store_table(df.filter(F.col(target).isNotNull()).select(
         *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features],
-        F.col(target).cast("double").alias(LABEL))
+        F.col(target).cast("double").alias(LABEL)), "selection-rows")
+    if fit_rows:
+        share = min(1.0, fit_rows / max(1, rows.count()))
+        rows = rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    return materialise(rows.sortWithinPartitions(LABEL, *features))
 
 
 def select_by_importance(
-    df: DataFrame, features: Sequence[str], target: str, k: int = NUM_FEATURES, trees: int = TREES, depth: int = 10
+    df: DataFrame, features: Sequence[str], target: str, k: int = NUM_FEATURES, trees: int = TREES, depth: int = DEPTH,
+    fit_rows: int | None = None,
 ) -> DataFrame:
     """The ``k`` features with the highest forest importance, ranked."""
     checkpoint_root(df.sparkSession)
-    table = _importances(_labelled(df, features, target), list(features), trees, depth)
+    table = _importances(_labelled(df, features, target, fit_rows), list(features), trees, depth)
     rank = F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature"))  # one row per feature
     return table.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def eliminate_features(
     df: DataFrame, features: Sequence[str], target: str, k: int = NUM_FEATURES, step: int = 1,
-    trees: int = TREES, depth: int = 10,
+    trees: int = TREES, depth: int = DEPTH, fit_rows: int | None = None,
 ) -> list[str]:
     """Drop the ``step`` weakest features per round until ``k`` are left, in the original order.
 
-    The matrix is cached once and read by all rounds.
+    The matrix is stored once and read by all rounds; ``fit_rows`` bounds its rows, drawn by a hash.
     """
     checkpoint_root(df.sparkSession)
     left = list(features)
-    matrix = _labelled(df, left, target).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        while len(left) > k:
-            rows = _importances(matrix, left, trees, depth).collect()  # one row per feature
-            weakest = sorted(rows, key=lambda r: (r["importance"], -left.index(r["feature"])))
-            gone = {r["feature"] for r in weakest[: min(step, len(left) - k)]}
-            left = [f for f in left if f not in gone]
-    finally:
-        matrix.unpersist()
+    matrix = _labelled(df, left, target, fit_rows)
+    while len(left) > k:
+        rows = _importances(matrix, left, trees, depth).collect()  # one row per feature
+        weakest = sorted(rows, key=lambda r: (r["importance"], -left.index(r["feature"])))
+        gone = {r["feature"] for r in weakest[: min(step, len(left) - k)]}
+        left = [f for f in left if f not in gone]
     return left
 
 

@@ -47,9 +47,10 @@ def load_model(spark: SparkSession, path: str) -> TrainedModel:
 
 
 def production_versions(registry: DataFrame, by: Sequence[str] = ("model_name",), stage: str = PRODUCTION) -> DataFrame:
-    """Newest version in the stage, per model name."""
+    """Newest version in the stage, per model name. Versions given as text compare as numbers, others follow as text."""
     rest = [c for c in registry.columns if c not in by]
-    newest = F.max_by(F.struct(*rest), "version").alias("r")
+    text = F.col("version").cast("string")
+    newest = F.max_by(F.struct(*rest), F.struct(text.try_cast("decimal(38,9)"), text)).alias("r")
     return registry.filter(F.col("stage") == stage).groupBy(*by).agg(newest).select(*by, "r.*")
 
 

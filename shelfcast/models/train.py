@@ -18,7 +18,8 @@ from shelfcast.functions.numeric import numeric_columns, string_columns
 from shelfcast.operators.encode import LabelCodes
 from shelfcast.operators.metrics import long_metrics, regression_metrics
 from shelfcast.operators.split import time_split
-from shelfcast.session import checkpoint_root, materialise
+from shelfcast.session import checkpoint_root, materialise, store_table
+from shelfcast.sources.sinks import log_run
 
 log = logging.getLogger(__name__)
 
@@ -83,20 +84,12 @@ class TrainedModel:
         return importance_frame(self.model, self.features)
 
 
-def importance_values(model: Model, features: list[str]) -> list[float]:
-    if hasattr(model, "featureImportances"):
-        values = [float(v) for v in model.featureImportances.toArray()]
-    elif hasattr(model, "coefficients"):
-        values = [abs(float(v)) for v in model.coefficients.toArray()]
-    else:
-        raise ValueError(f"Model {type(model).__name__} does not support feature importance")
-    values = values[: len(features)]
-    return values + [0.0] * (len(features) - len(values))
-
-
 def importance_frame(model: Model, features: list[str]) -> DataFrame:
-    rows = list(zip(features, importance_values(model, features), strict=True))
-    return SparkSession.active().createDataFrame(rows, "feature string, importance double")
+    """One row per input of a fitted tree ensemble or linear model."""
+    scores = getattr(model, "featureImportances", None)
+    scores = model.coefficients if scores is None else scores
+    return SparkSession.active().createDataFrame(
+        [(name, abs(float(scores[i]))) for i, name in enumerate(features)], "feature string, importance double")
 
 
 @dataclass
@@ -106,17 +99,22 @@ class Trainer:
     date_col: str = "date"
     hyperparameters: dict[str, Any] = field(default_factory=dict)
     tie_break: tuple[str, ...] = ()
+    log_root: str | None = None
+    fit_rows: int | None = None  # about the most rows that are fitted on, drawn by a hash; None takes all
 
-    def train(self, df: DataFrame, strict: bool = True) -> TrainedModel:
+    def train(self, df: DataFrame, strict: bool = False) -> TrainedModel:
         """Split by date, fit on the first part, evaluate on all three.
 
-        The label stays a column of the frame and is never a feature. The encoded matrix is stored
-        once: splitting, every boosting round and the evaluation read it.
+        The label stays a column of the frame and is never a feature. The labelled rows are stored once,
+        so that splitting does not compute them again, and so is the encoded matrix, which every boosting
+        round and the evaluation read. Only fitting is bounded by ``fit_rows``; split and evaluation see
+        all rows. ``log_root`` names a folder for the run log; a log that cannot be
+        written is a warning.
         """
         spark = df.sparkSession
         checkpoint_root(spark)  # boosting cuts its lineage there
         make_estimator(self.model_type, self.hyperparameters)  # reject an unknown type before any job
-        labelled = df.filter(F.col(self.target).isNotNull())
+        labelled = store_table(df.filter(F.col(self.target).isNotNull()), "training-rows")
         if self.date_col in df.columns:
             labelled = time_split(labelled, self.date_col, self.tie_break, strict=strict)
         else:
@@ -133,15 +131,28 @@ class Trainer:
             *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
         # Bagging is seeded per partition: fixed partitions and row order make training repeatable.
         ordered = matrix.sortWithinPartitions("split", LABEL, *features)
-        vectors = materialise(assembler(features).transform(ordered).select("split", LABEL, FEATURES))
+        draw = F.pmod(F.xxhash64(LABEL, *features), F.lit(1_000_000)).alias("_draw")
+        vectors = materialise(assembler(features).transform(ordered).select("split", LABEL, FEATURES, draw))
         estimator = make_estimator(self.model_type, self.hyperparameters)
-        train_rows = vectors.filter(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
+        train_rows = vectors.filter(F.col("split") == "train")
+        if self.fit_rows:
+            share = min(1.0, self.fit_rows / max(1, train_rows.count()))
+            train_rows = train_rows.filter(F.col("_draw") < F.lit(int(share * 1_000_000)))
+        train_rows = train_rows.select(LABEL, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             model = estimator.fit(train_rows)
         finally:
             train_rows.unpersist()
         metrics = regression_metrics(model.transform(vectors), LABEL, PREDICTION)
-        return TrainedModel(model, features, codes, metrics)
+        trained = TrainedModel(model, features, codes, metrics)
+        if self.log_root:
+            params = {"model_type": self.model_type, **DEFAULTS[self.model_type], **self.hyperparameters,
+                      "features": features}
+            try:
+                log_run(spark, self.log_root, trained.run_id, params, metrics_table(trained))
+            except Exception as problem:  # the model is there; only its record is not
+                log.warning("run %s was not logged: %s", trained.run_id, problem)
+        return trained
 
 
 def metrics_table(trained: TrainedModel) -> DataFrame:

@@ -19,6 +19,11 @@ UNKNOWN = "unknown"
 MAX_CATEGORIES = 1000
 
 
+def quoted(name: str) -> Column:
+    """A column by its name, which may hold dots or quotes."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def categorical_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     """String columns other than group keys and the date."""
     return [c for c in string_columns(df) if c not in exclude]
@@ -27,7 +32,7 @@ def categorical_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct (column, value) pairs of several columns in one pass, combined before the shuffle."""
     pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns
+        F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("value")) for c in columns
     ]))
     return df.select(pairs.alias("p")).select("p.*").distinct()
 
@@ -54,17 +59,30 @@ class OneHot:
             values[row["column"]].append(row["value"])
         return OneHot({c: sorted(v, key=lambda x: (x is None, x or "")) for c, v in values.items()})
 
+    def outputs(self) -> list[tuple[str, str | None, str]]:
+        """Column, category and name of each indicator; a missing value beside the text ``None`` is told apart."""
+        found: list[tuple[str, str | None, str]] = []
+        taken: set[str] = set()
+        for c, values in self.categories.items():
+            for v in values:
+                name = f"{c}_{v}"
+                while name.lower() in taken:
+                    name += "_missing" if v is None else "_"
+                taken.add(name.lower())
+                found.append((c, v, name))
+        return found
+
     def names(self) -> list[str]:
-        return [f"{c}_{v}" for c, values in self.categories.items() for v in values]
+        return [name for _, _, name in self.outputs()]
 
     def transform(self, df: DataFrame) -> DataFrame:
         """One 0/1 column per category, in place of the original; unseen values give all zeros."""
-        def indicator(c: str, v: str | None) -> Column:
-            same = F.col(c).isNull() if v is None else F.col(c) == F.lit(v)
-            return F.when(same, 1.0).otherwise(0.0).alias(f"{c}_{v}")
+        def indicator(c: str, v: str | None, name: str) -> Column:
+            same = quoted(c).isNull() if v is None else quoted(c) == F.lit(v)
+            return F.when(same, 1.0).otherwise(0.0).alias(name)
 
-        kept = [F.col(c) for c in df.columns if c not in self.categories]
-        return df.select(*kept, *[indicator(c, v) for c, vs in self.categories.items() for v in vs])
+        kept = [quoted(c) for c in df.columns if c not in self.categories]
+        return df.select(*kept, *[indicator(*x) for x in self.outputs()])
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -93,8 +111,8 @@ class StandardScale:
         width = columns_per_scan or len(columns)
 
         def moments(part: list[str]) -> DataFrame:
-            rows = [F.struct(F.lit(c).alias("column"), F.avg(c).cast("double").alias("mean"),
-                             F.stddev_pop(c).alias("deviation")) for c in part]
+            rows = [F.struct(F.lit(c).alias("column"), F.avg(quoted(c)).cast("double").alias("mean"),
+                             F.stddev_pop(quoted(c)).alias("deviation")) for c in part]
             return df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
         scans = [moments(columns[i: i + width]) for i in range(0, len(columns), width)]
@@ -106,9 +124,9 @@ class StandardScale:
             mean, deviation = self.moments[c]
             if mean is None:
                 return F.lit(None).cast("double").alias(c)
-            return ((F.col(c) - F.lit(mean)) / F.lit(deviation or 1.0)).alias(c)
+            return ((quoted(c) - F.lit(mean)) / F.lit(deviation or 1.0)).alias(c)
 
-        return df.select(*[scaled(c) if c in self.moments else F.col(c) for c in df.columns])
+        return df.select(*[scaled(c) if c in self.moments else quoted(c) for c in df.columns])
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -154,9 +172,10 @@ def prepare_matrix(df: DataFrame, date_col: str = "date", codes: LabelCodes | No
     plain = df.drop(date_col)
     if codes is not None:
         plain = codes.transform(plain)
-    return plain.select(*numeric_columns(plain)).na.fill(0)
+    return plain.select(*[F.coalesce(quoted(c), F.lit(0)).cast(plain.schema[c].dataType).alias(c)
+                          for c in numeric_columns(plain)])
 
 
 def align_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exactly ``columns`` in that order: absent ones are 0, others are dropped."""
-    return df.select(*[F.col(c) if c in df.columns else F.lit(0).alias(c) for c in columns])
+    return df.select(*[quoted(c) if c in df.columns else F.lit(0).alias(c) for c in columns])

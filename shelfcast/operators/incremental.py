@@ -60,7 +60,9 @@ def unseen(
     if not dedupe_within_batch:
         return rows.drop(text)
     whole = F.struct(*df.columns)
-    rank = whole if newest_by is None else F.struct(F.col(newest_by), whole)
+    # Maps have no order; rows that hold one are ordered by their JSON text.
+    order = F.to_json(whole) if "map<" in df.schema.simpleString() else whole
+    rank = order if newest_by is None else F.struct(F.col(newest_by), order)
     picked = rows.filter(F.col(text).isNotNull()).groupBy(text).agg(F.max_by(whole, rank).alias("r"))
     without_id = rows.filter(F.col(text).isNull()).drop(text)
     return picked.select("r.*").unionByName(without_id)
@@ -71,6 +73,9 @@ def trim_ledger(
 ) -> DataFrame:
     """The newest ``keep`` entries if there are more than ``above``, else all of them.
 
+    No load calls this: ids that are cut off would be loaded again if they came back. Ledgers grow until
+    their owner trims them, behind the mark below which the source sends nothing.
+
     Positions come from a range-partitioned sort, so the ledger never meets in one task.
     """
     total = ledger.count()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -61,6 +61,11 @@ class Check:
         return self.message.format(n=n)
 
 
+# Column that holds the type of each value of a record, and the types that count as another one.
+RECORD_TYPES = "_record_types"
+RECORD_ACCEPTS = {"int": ("int", "bool"), "float": ("float",)}
+
+
 def _is_type(df: DataFrame, column: str, expected: str) -> bool:
     return isinstance(df.schema[column].dataType, TYPE_CLASSES[expected])
 
@@ -69,7 +74,15 @@ def type_checks(df: DataFrame, types: dict[str, str], rule: str = "data_type") -
     """Columns must hold the expected type. String columns pass if every value converts."""
     checks = []
     for column, expected in types.items():
-        if column not in df.columns or _is_type(df, column, expected):
+        if column not in df.columns or expected not in TYPE_CLASSES:
+            continue
+        if RECORD_TYPES in df.columns:
+            # Records tell the type of each of their values.
+            known = F.col(RECORD_TYPES)[column]
+            bad = F.coalesce(~known.isin(*RECORD_ACCEPTS.get(expected, (expected,))), F.lit(False))
+            checks.append(Check(rule, column, f"Expected type {expected} in {column}, got {{n}} other values", bad))
+            continue
+        if _is_type(df, column, expected):
             continue
         actual = df.schema[column].dataType.simpleString()
         if actual == "string" and expected in CAST_TYPES:
@@ -82,6 +95,8 @@ def type_checks(df: DataFrame, types: dict[str, str], rule: str = "data_type") -
 
 def range_checks(df: DataFrame, column: str, low: float | None = None, high: float | None = None) -> list[Check]:
     """Inclusive bounds, either of them optional."""
+    if column not in df.columns:
+        return [Check("range", column, f"Cannot validate range of missing column: {column}")]
     kind = df.schema[column].dataType
     if not isinstance(kind, (T.NumericType, T.BooleanType)):
         return [Check("range", column, f"Cannot validate range for non-numeric data: {kind.simpleString()}")]
@@ -136,22 +151,22 @@ def forecast_checks(df: DataFrame, reject_null: bool = False) -> list[Check]:
 
 def configured_checks(df: DataFrame, rules: Sequence[dict[str, Any]]) -> list[Check]:
     """Checks of a rule list in order; rules of an unknown type are ignored."""
-    checks: list[Check] = []
-    for rule in rules:
-        kind = rule.get("type")
-        if kind == "data_type":
-            checks += type_checks(df, rule.get("types", {}))
-        elif kind == "range":
-            checks += range_checks(df, rule["column"], rule.get("min"), rule.get("max"))
-        elif kind == "schema":
-            schema = rule.get("schema", {})
-            checks += required_checks(df, schema.get("required", []))
-            checks += type_checks(df, schema.get("types", {}), rule="schema")
-        elif kind == "sales":
-            checks += sales_checks(df, rule.get("required_columns", SALES_COLUMNS), rule.get("reject_null", False))
-        elif kind == "forecast":
-            checks += forecast_checks(df, rule.get("reject_null", False))
-    return checks
+    built = [BUILDERS[rule["type"]](df, rule) for rule in rules if rule.get("type") in BUILDERS]
+    return [check for checks in built for check in checks]
+
+
+def _schema_rule(df: DataFrame, rule: dict[str, Any]) -> list[Check]:
+    schema = rule.get("schema") or {}
+    return required_checks(df, schema.get("required") or []) + type_checks(df, schema.get("types") or {}, rule="schema")
+
+
+BUILDERS: dict[str, Callable[[DataFrame, dict[str, Any]], list[Check]]] = {
+    "sales": lambda df, r: sales_checks(df, r.get("required_columns", SALES_COLUMNS), r.get("reject_null", False)),
+    "forecast": lambda df, r: forecast_checks(df, r.get("reject_null", False)),
+    "range": lambda df, r: range_checks(df, r["column"], r.get("min"), r.get("max")) if r.get("column") else [],
+    "data_type": lambda df, r: type_checks(df, r.get("types") or {}),
+    "schema": _schema_rule,
+}
 
 
 def count_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
@@ -198,8 +213,24 @@ def validate_records(spark: SparkSession, data: Any, rules: Sequence[dict[str, A
         result = ValidationResult()
         result.fail(f"Invalid data type: {type(data)}")
         return result
-    df = spark.createDataFrame(records) if records else spark.createDataFrame([], T.StructType([]))
-    return validate(df, rules)
+    return validate(_record_frame(spark, records), rules)
+
+
+def _record_frame(spark: SparkSession, records: list[dict[str, Any]]) -> DataFrame:
+    """Records as rows: numbers where all values of a field are numbers, else text, and the type of each value."""
+    names = list(dict.fromkeys(name for record in records for name in record))
+    numeric = {n for n in names if all(isinstance(r.get(n), (int, float, type(None))) for r in records)}
+
+    def cell(name: str, value: Any) -> Any:
+        if value is None:
+            return None
+        return float(value) if name in numeric else str(value)
+
+    schema = T.StructType([*[T.StructField(n, T.DoubleType() if n in numeric else T.StringType()) for n in names],
+                           T.StructField(RECORD_TYPES, T.MapType(T.StringType(), T.StringType()))])
+    rows = [(*[cell(n, r.get(n)) for n in names],
+             {n: type(v).__name__ for n, v in r.items() if v is not None}) for r in records]
+    return spark.createDataFrame(rows, schema)
 
 
 def validate_sales(df: DataFrame, **options) -> ValidationResult:

@@ -49,14 +49,16 @@ def active_requests(log: DataFrame, grain: str = "second") -> DataFrame:
     """Open requests after each second in which one starts or ends.
 
     Starts and ends shrink to one change per second, then to one per day. The running sum goes over
-    days (one row each) and inside each day, so no task sees the whole time line.
+    days (one row each) and inside each day, so no task sees the whole time line. A request without a
+    latency has started and not ended; one without a time is left out.
     """
     end = F.timestamp_add("MICROSECOND", F.round(F.col("latency_s") * 1_000_000).cast("bigint"), F.col("ts"))
     edge = F.explode(F.array(
         F.struct(F.col("ts").alias("at"), F.lit(1).alias("change")),
         F.struct(end.alias("at"), F.lit(-1).alias("change")),
     )).alias("e")
-    edges = log.select(edge).select(F.date_trunc(grain, "e.at").alias("at"), "e.change")
+    edges = log.filter(F.col("ts").isNotNull()).select(edge).filter("e.at is not null").select(
+        F.date_trunc(grain, "e.at").alias("at"), "e.change")
     changes = edges.groupBy("at").agg(F.sum("change").alias("change")).withColumn("day", F.to_date("at"))
     days = changes.groupBy("day").agg(F.sum("change").alias("change"))
     before_day = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)

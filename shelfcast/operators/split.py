@@ -23,15 +23,16 @@ def time_split(
     tie_break: Sequence[str] = (),
     train: float = TRAIN_SHARE,
     validation: float = VALIDATION_SHARE,
-    strict: bool = True,
+    strict: bool = False,
 ) -> DataFrame:
     """Add ``split``: the first ``int(train·n)`` rows by date, the next ``int(validation·n)``, the rest.
 
     Rows per day tell which day holds each cut; only the rows of those one or two days are ranked, over
     many partitions, to find the row at the cut. Every row is then labelled by comparing it with the
     two cut rows, so the frame itself is neither sorted nor shuffled. Rows without a date come last.
-    ``strict`` states that date and ``tie_break`` are a strict order; otherwise copies that straddle a
-    cut are told apart by their position.
+    Rows that tie at a cut are told apart by their position, so the shares are always exact; ``strict``
+    states that date and ``tie_break`` are a strict order and saves that work. The frame is read several
+    times: store one that is costly to compute.
     """
     day = F.to_date(date_col)
     days = materialise(df.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n")))

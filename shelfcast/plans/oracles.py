@@ -377,11 +377,14 @@ ORACLES["registry_latest"] = """SELECT p_type AS model_name, max(p_partkey) AS v
 
 
 def responses(price: str) -> str:
-    return f"""WITH {DAILY}, last AS (
-  SELECT product_id, arg_max(quantity, date) AS quantity, arg_max(price, date) AS price FROM daily GROUP BY product_id),
+    return f"""WITH daily AS (
+  SELECT l_partkey AS product_id, l_suppkey AS store_id, l_shipdate AS date, sum(l_quantity) AS quantity,
+    sum(l_extendedprice) / nullif(sum(l_quantity), 0) AS price FROM lineitem GROUP BY ALL),
+last AS (SELECT product_id, store_id, arg_max(quantity, date) AS quantity, arg_max(price, date) AS price
+  FROM daily GROUP BY product_id, store_id),
 scored AS (SELECT l_partkey, l_suppkey, l_shipdate, l_orderkey, l_linenumber,
     0.0::DOUBLE + coalesce(quantity, 0) * 0.5::DOUBLE + {price} * 0.01::DOUBLE AS p
-  FROM lineitem LEFT JOIN last ON l_partkey = product_id)
+  FROM lineitem LEFT JOIN last ON l_partkey = product_id AND l_suppkey = store_id)
 SELECT CAST(l_partkey AS VARCHAR) AS product_id, floor((p) * 1e4 + 0.5) / 1e4 AS predicted_quantity,
   floor((p * 0.85::DOUBLE) * 1e4 + 0.5) / 1e4 AS confidence_lower, floor((p * 1.15::DOUBLE) * 1e4 + 0.5) / 1e4 AS confidence_upper,
   '1.0.0' AS model_version, CAST(l_suppkey AS VARCHAR) AS store_id, {day('l_shipdate')} AS date,
@@ -479,10 +482,8 @@ FROM events WHERE event_type NOT IN ('error', 'view')"""
 ORACLES["date_parsing"] = f"""SELECT o_orderkey, {stamp("date_trunc('day', o_orderdate)")} AS date,
   CAST(NULL AS VARCHAR) AS created_at FROM orders"""
 ORACLES["csv_source"] = ORACLES["json_source"] = "SELECT * FROM customer"
-ORACLES["paged_api_source"] = f"""SELECT CAST(o_orderkey AS VARCHAR) AS id, {stamp('o_orderdate')} AS date,
-  floor((o_totalprice) * 1e4 + 0.5) / 1e4 AS amount FROM orders"""
-ORACLES["new_files"] = " UNION ALL ".join(
-    f"SELECT '{t}.parquet' AS path, count(*) AS rows FROM {t}" for t in ("customer", "orders", "supplier"))
+ORACLES["new_files"] = """SELECT unnest(['region', 'nation', 'customer', 'supplier', 'orders', 'lineitem', 'events',
+  'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) || '.parquet' AS path"""
 ORACLES["feature_view"] = """SELECT l_partkey AS product_id, floor((avg(l_quantity)) * 1e4 + 0.5) / 1e4 AS quantity_mean,
   floor((stddev_samp(l_quantity)) * 1e4 + 0.5) / 1e4 AS quantity_std, min(l_quantity) AS quantity_min, max(l_quantity) AS quantity_max,
   sum(l_quantity) AS quantity_sum, count(l_quantity) AS quantity_count FROM lineitem GROUP BY l_partkey"""
@@ -490,14 +491,25 @@ ORACLES["feature_view"] = """SELECT l_partkey AS product_id, floor((avg(l_quanti
 ORACLES["stream_file_ingest"] = f"""SELECT o_orderkey, o_custkey, o_orderstatus, floor((o_totalprice) * 1e4 + 0.5) / 1e4 AS o_totalprice,
   {stamp('o_orderdate')} AS o_orderdate, o_orderpriority, 'orders.parquet' AS _source_file FROM orders"""
 ORACLES["stream_dedup"] = "SELECT DISTINCT l_orderkey FROM lineitem"
-CLOSED = "{0} + INTERVAL {1} <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
 ORACLES["stream_request_counts"] = f"""WITH {REQUESTS}, counts AS (
   SELECT method, endpoint, status, count(*) AS requests, date_trunc('hour', ts) AS hour
   FROM requests GROUP BY method, endpoint, status, date_trunc('hour', ts))
-SELECT method, endpoint, status, requests, {stamp('hour')} AS hour FROM counts
-WHERE {CLOSED.format('hour', '1 HOUR')}"""
+SELECT method, endpoint, status, requests, {stamp('hour')} AS hour FROM counts"""
 ORACLES["stream_quota"] = f"""WITH {REQUESTS}, usage AS (
   SELECT client, date_trunc('day', ts) AS window_start, count(*) AS requests FROM requests
   GROUP BY client, date_trunc('day', ts))
 SELECT client, {stamp('window_start')} AS window_start, requests, greatest(0, 3 - requests) AS remaining,
-  greatest(0, requests - 3) AS rejected FROM usage WHERE {CLOSED.format('window_start', '1 DAY')}"""
+  greatest(0, requests - 3) AS rejected FROM usage"""
+
+# Models: what the data determine whatever the trees are.
+TRAINING_ROWS = "SELECT DISTINCT l_partkey AS product_id, l_shipdate AS date FROM lineitem"
+ORACLES["train_gbt"] = ORACLES["train_rf"] = f"""WITH n AS (SELECT count(*) AS n FROM ({TRAINING_ROWS}))
+SELECT 'train' AS split, CAST(floor(n * 0.7::DOUBLE) AS BIGINT) AS rows, 1 AS explains, CAST(3 AS BIGINT) AS logged FROM n
+UNION ALL SELECT 'val', CAST(floor(n * 0.15::DOUBLE) AS BIGINT), NULL, 3 FROM n
+UNION ALL SELECT 'test', CAST(n - floor(n * 0.7::DOUBLE) - floor(n * 0.15::DOUBLE) AS BIGINT), NULL, 3 FROM n"""
+ORACLES["feature_importance"] = """SELECT unnest(['product_id', 'quantity_lag_1', 'quantity_lag_7',
+  'quantity_roll_mean_7', 'price']) AS feature, 1 AS valid, 1.0::DOUBLE AS total"""
+ORACLES["importance_select"] = "SELECT CAST(range AS INTEGER) AS rank, 1 AS ordered FROM range(1, 5)"
+ORACLES["rfe_select"] = "SELECT 'copy' AS feature"
+ORACLES["batch_scoring"] = f"""SELECT product_id, {stamp('date')} AS date, 1 AS confidence_lower, 1 AS confidence_upper
+FROM ({TRAINING_ROWS})"""

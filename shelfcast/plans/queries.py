@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,10 +31,10 @@ from shelfcast.plans.tables import (
     sales_rows,
     table,
 )
-from shelfcast.session import materialise, scratch_path
-from shelfcast.sources import collect, files, kafka, paged_api, sinks
+from shelfcast.session import materialise, scratch_path, store_table
+from shelfcast.sources import collect, files, kafka, sinks
 from shelfcast.streaming import jobs
-from shelfcast.streaming.run import run_to_table
+from shelfcast.streaming.run import run_to_table, run_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,9 +46,8 @@ DAY_SECONDS = 86_400
 DAY_LIMIT = 3
 # A low cut so that the chunked path runs on the test tables.
 SMALL_GROUP = 200
-# Model sizes of the registered runs.
-BOOSTED = {"n_estimators": 5, "max_depth": 4}
-FOREST = {"n_estimators": 10, "max_depth": 6}
+# Models have their full sizes; only the rows that one fit sees are bounded.
+FIT_ROWS, SELECT_ROWS = 20_000, 500
 MODEL_FEATURES = ("quantity_lag_1", "quantity_lag_7", "quantity_roll_mean_7", "price")
 SCORE_WEIGHTS = {"quantity": 0.5, "price": 0.01}
 
@@ -297,7 +296,7 @@ def correlation_select(spark: SparkSession, d: str) -> DataFrame:
 @query
 def time_split_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = sales_rows(spark, d).drop("price")
-    split = time_split(rows, tie_break=["product_id", "store_id", *ROW_ORDER], strict=False)
+    split = time_split(rows, tie_break=["product_id", "store_id", *ROW_ORDER])
     return shown(split.select("l_orderkey", "l_linenumber", "product_id", "date", "split"))
 
 
@@ -307,7 +306,7 @@ def _naive(spark: SparkSession, d: str, lag: int = 7) -> DataFrame:
 
 @query
 def split_metrics(spark: SparkSession, d: str) -> DataFrame:
-    rows = time_split(_naive(spark, d), tie_break=["product_id"])
+    rows = time_split(store_table(_naive(spark, d), "naive"), tie_break=["product_id"])
     return shown(metrics.regression_metrics(rows, "quantity", "forecast"))
 
 
@@ -523,9 +522,16 @@ def _requests(lines: DataFrame) -> DataFrame:
         "l_orderkey", "l_linenumber")
 
 
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """Daily sales of each product in each store."""
+    return sales_rows(spark, d).groupBy("product_id", "store_id", "date").agg(
+        F.sum("quantity").alias("quantity"),
+        F.try_divide(F.sum("l_extendedprice"), F.sum("quantity")).alias("price"))
+
+
 def _responses(spark: SparkSession, d: str, lines: DataFrame, own: bool) -> DataFrame:
     return scoring.score_requests(
-        _requests(lines), sales_daily(spark, d), scoring.linear_scorer(SCORE_WEIGHTS), list(SCORE_WEIGHTS), "1.0.0",
+        _requests(lines), _stored(spark, d), scoring.linear_scorer(SCORE_WEIGHTS), list(SCORE_WEIGHTS), "1.0.0",
         use_request_features=own, stamp=False)
 
 
@@ -543,7 +549,7 @@ def request_scoring_overrides(spark: SparkSession, d: str) -> DataFrame:
 def request_stamps(spark: SparkSession, d: str) -> DataFrame:
     """Stamped responses, reduced to what does not change between runs."""
     stamped = scoring.score_requests(
-        _requests(table(spark, d, "lineitem")), sales_daily(spark, d), scoring.linear_scorer(SCORE_WEIGHTS),
+        _requests(table(spark, d, "lineitem")), _stored(spark, d), scoring.linear_scorer(SCORE_WEIGHTS),
         list(SCORE_WEIGHTS), "1.0.0")
     return stamped.groupBy("model_version").agg(
         F.count(F.lit(1)).alias("responses"), F.count_distinct("request_id").alias("ids"),
@@ -689,51 +695,11 @@ def json_source(spark: SparkSession, d: str) -> DataFrame:
     return files.read_json(spark, path, customers.schema, lines=True)
 
 
-class OrderPages:
-    """Stand-in for a sales API: pages of the orders table in order of date and key."""
-
-    def __init__(self, path: str):
-        self.path = path
-        self.slices: dict = {}
-
-    def __call__(self, start: str, end: str, limit: int, offset: int) -> dict:
-        if (start, end) not in self.slices:
-            self.slices[start, end] = self.between(start, end)
-        rows = self.slices[start, end]
-        data = [{"id": r["o_orderkey"], "date": r["o_orderdate"].isoformat(), "amount": r["o_totalprice"]}
-                for r in rows.slice(offset, limit).to_pylist()]
-        return {"data": data, "has_more": offset + limit < rows.num_rows}
-
-    def between(self, start: str, end: str):
-        import pyarrow.compute as pc
-        import pyarrow.parquet as pq
-
-        day = pc.strftime(pc.field("o_orderdate"), format="%Y-%m-%d")
-        rows = pq.read_table(self.path, columns=["o_orderkey", "o_orderdate", "o_totalprice"],
-                             filters=(day >= start) & (day <= end))
-        return rows.sort_by([("o_orderdate", "ascending"), ("o_orderkey", "ascending")])
-
-
-PAGE_SCHEMA = T.StructType([
-    T.StructField("id", T.StringType()), T.StructField("date", T.TimestampNTZType()),
-    T.StructField("amount", T.DoubleType())])
-
-
-@query
-def paged_api_source(spark: SparkSession, d: str) -> DataFrame:
-    span = table(spark, d, "orders").agg(
-        F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b")).first()
-    first, last = span["a"] or date(1995, 1, 1), span["b"] or date(1995, 1, 1)
-    return shown(paged_api.read_pages(
-        spark, OrderPages(f"{d}/orders.parquet"), PAGE_SCHEMA, first, last, page_size=500, slice_days=366, stripes=2))
-
-
 @query
 def new_files(spark: SparkSession, d: str) -> DataFrame:
-    """Row counts of the files that the ledger does not hold yet."""
-    names = ("customer", "orders", "part", "supplier")
-    rows = spark.read.option("mergeSchema", True).parquet(*[f"{d}/{n}.parquet" for n in names])
-    listing = rows.groupBy(F.col("_metadata.file_name").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+    """Files of the folder that the ledger does not hold yet."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(d)
+    listing = found.select(F.element_at(F.split("path", "/"), -1).alias("path"))
     ledger = listing.select("path").filter(F.col("path").startswith("part"))
     return incremental.new_files(listing, ledger)
 
@@ -778,13 +744,13 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 def stream_request_counts(spark: SparkSession, d: str) -> DataFrame:
     counts = jobs.windowed_counts(request_columns(_event_stream(spark, d)), "1 hour")
     flat = counts.withColumn("hour", F.col("window.start")).drop("window")
-    return shown(run_to_table(flat, "counts"))
+    return shown(run_totals(flat, "counts", ["method", "endpoint", "status", "hour"]))
 
 
 @query
 def stream_quota(spark: SparkSession, d: str) -> DataFrame:
     usage = jobs.windowed_quota(request_columns(_event_stream(spark, d)), DAY_LIMIT, DAY_SECONDS)
-    return shown(run_to_table(usage, "quota"))
+    return shown(run_totals(usage, "quota", ["client", "window_start"]))
 
 
 ROCKS_KEY = "spark.sql.streaming.stateStore.providerClass"
@@ -818,55 +784,67 @@ def _training_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("product_id", "date", "quantity", *MODEL_FEATURES)
 
 
-def _train(spark: SparkSession, d: str, model_type: str, sizes: dict) -> DataFrame:
-    trainer = Trainer(model_type, hyperparameters=sizes, tie_break=("product_id",))
-    trained = trainer.train(_training_rows(spark, d))
+def _train(spark: SparkSession, d: str, model_type: str) -> DataFrame:
+    """Rows per part, whether the fit explains its own part, and what the run log holds."""
     path = scratch_path(spark, "runs")
-    params = {"model_type": model_type, **sizes, "features": trained.features}
-    sinks.log_run(spark, path, trained.run_id, params, metrics_table(trained))
-    return spark.read.parquet(f"{path}/run_metrics").drop("run_id")
-
-
-@query
-def train_xgboost(spark: SparkSession, d: str) -> DataFrame:
-    return _train(spark, d, "xgboost", BOOSTED)
+    trained = Trainer(model_type, tie_break=("product_id",), fit_rows=FIT_ROWS, log_root=path).train(
+        _training_rows(spark, d))
+    logged = spark.read.parquet(f"{path}/run_metrics").filter(F.col("run_id") == trained.run_id)
+    explains = F.when(F.col("split") == "train", (F.col("r2") > 0).cast("int"))
+    rows = trained.metrics.select("split", F.col("n").alias("rows"), explains.alias("explains"))
+    return rows.join(logged.groupBy("split").agg(F.count(F.lit(1)).alias("logged")), "split")
 
 
 @query
 def train_gbt(spark: SparkSession, d: str) -> DataFrame:
-    return _train(spark, d, "gradient_boosting", BOOSTED)
+    return _train(spark, d, "gradient_boosting")
 
 
 @query
 def train_rf(spark: SparkSession, d: str) -> DataFrame:
-    return _train(spark, d, "random_forest", FOREST)
+    return _train(spark, d, "random_forest")
 
 
 @query
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
-    trainer = Trainer("random_forest", hyperparameters=FOREST, tie_break=("product_id",))
-    return trainer.train(_training_rows(spark, d)).importances()
+    """Every feature with a share of an importance of one."""
+    trainer = Trainer("random_forest", tie_break=("product_id",), fit_rows=FIT_ROWS)
+    rows = trainer.train(_training_rows(spark, d)).importances()
+    total = F.round(F.sum("importance").over(Window.partitionBy()), 6)
+    return rows.select("feature", (F.col("importance") >= 0).cast("int").alias("valid"), total.alias("total"))
 
 
 @query
 def importance_select(spark: SparkSession, d: str) -> DataFrame:
-    return select_by_importance(_training_rows(spark, d), MODEL_FEATURES, "quantity", 2, trees=10, depth=5)
+    """Ranks of all features, and whether the order follows the importance."""
+    rows = select_by_importance(
+        _training_rows(spark, d), MODEL_FEATURES, "quantity", len(MODEL_FEATURES), fit_rows=SELECT_ROWS)
+    before = F.lag("importance").over(Window.orderBy("rank"))
+    return rows.withColumn("ordered", F.coalesce(before >= F.col("importance"), F.lit(True)).cast("int")).select(
+        "rank", "ordered")
 
 
 @query
 def rfe_select(spark: SparkSession, d: str) -> DataFrame:
-    names = eliminate_features(_training_rows(spark, d), MODEL_FEATURES, "quantity", 2, trees=5, depth=5)
-    return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "position int, feature string")
+    """A feature that repeats the target outlives the others."""
+    rows = _training_rows(spark, d).withColumn("copy", F.col("quantity"))
+    names = eliminate_features(rows, ("quantity_lag_1", "copy", "price"), "quantity", 1, fit_rows=SELECT_ROWS)
+    return rows.limit(1).select(F.lit(names[0]).alias("feature"))
 
 
 @query
 def batch_scoring(spark: SparkSession, d: str) -> DataFrame:
-    """Train, save, load and score every row with the loaded model."""
-    rows = materialise(_training_rows(spark, d))
-    trained = Trainer("random_forest", hyperparameters=FOREST, tie_break=("product_id",)).train(rows)
+    """Train, save, load and score every row with the loaded model; the band is a share of the prediction."""
+    rows = store_table(_training_rows(spark, d), "scoring-rows")
+    trained = Trainer("random_forest", tie_break=("product_id",), fit_rows=FIT_ROWS).train(rows)
     path = scratch_path(spark, "model")
     save_model(trained, path)
     loaded = load_model(spark, path)
     filled = rows.na.fill(0.0, [c for c in numeric_columns(rows) if c in MODEL_FEATURES])
-    return scoring.score(filled, loaded).select(
-        "product_id", "date", "prediction", "confidence_lower", "confidence_upper")
+    scored = scoring.score(filled, loaded)
+
+    def equal(name: str, share: float) -> Column:
+        return (F.abs(F.col(name) - share * F.col("prediction")) < 1e-9).cast("int").alias(name)
+
+    return shown(scored.select(
+        "product_id", "date", equal("confidence_lower", 0.85), equal("confidence_upper", 1.15)))

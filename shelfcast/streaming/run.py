@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +41,8 @@ def run_by_batch(stream: DataFrame, each: Callable[[DataFrame, int], None], chec
     query.awaitTermination()
 
 
-def run_totals(stream: DataFrame, label: str) -> DataFrame:
-    """Final state of an aggregation without event-time windows.
+def run_totals(stream: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
+    """Final state of an aggregation with the given keys, windows that are still open included.
 
     Each batch writes the rows that changed; the last batch that wrote a group holds its total.
     """
@@ -57,8 +57,6 @@ def run_totals(stream: DataFrame, label: str) -> DataFrame:
         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    numbers = {f.name for f in stream.schema.fields if f.dataType.simpleString() in ("bigint", "int", "double")}
-    keys = [c for c in stream.columns if c not in numbers]
     rows = spark.read.parquet(f"{base}/data")
-    values = F.struct(*[c for c in stream.columns if c in numbers])
+    values = F.struct(*[c for c in stream.columns if c not in keys])
     return rows.groupBy(*keys).agg(F.max_by(values, "batch").alias("v")).select(*keys, "v.*")

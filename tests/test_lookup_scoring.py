@@ -107,11 +107,12 @@ def test_request_scoring(spark):
     requests = spark.createDataFrame(
         [("p1", "s1", "2024-01-01", {"f1": 7.0}), ("zz", "s1", "2024-01-01", {})], scoring.REQUEST_SCHEMA)
     scorer = scoring.linear_scorer({"f1": 2.0}, 1.0)
-    plain = scoring.score_requests(requests, store(spark), scorer, ["f1"], "3", ts="ts")
+    plain = scoring.score_requests(requests, store(spark), scorer, ["f1"], "3", ("product_id",), ts="ts")
     assert tuple(plain.columns[:7]) == scoring.RESPONSE_COLUMNS
     rows = {r.product_id: r for r in plain.collect()}
     assert rows["p1"].predicted_quantity == 5.0 and rows["p1"].confidence_lower == 4.25
     assert rows["zz"].predicted_quantity == 1.0 and rows["zz"].model_version == "3"
     assert len({r.request_id for r in rows.values()}) == 2 and rows["p1"].timestamp is not None
-    own = scoring.score_requests(requests, store(spark), scorer, ["f1"], "3", ts="ts", use_request_features=True)
+    own = scoring.score_requests(requests, store(spark), scorer, ["f1"], "3", ("product_id",), ts="ts",
+                                 use_request_features=True)
     assert {r.product_id: r.predicted_quantity for r in own.collect()} == {"p1": 15.0, "zz": 1.0}

@@ -12,7 +12,7 @@ from shelfcast.models.select import (
     select_features,
 )
 from shelfcast.models.store import load_model, load_production, production_versions, save_model
-from shelfcast.models.train import DEFAULTS, Trainer, importance_values, make_estimator, metrics_table
+from shelfcast.models.train import DEFAULTS, Trainer, make_estimator, metrics_table
 
 SMALL = {"n_estimators": 4, "max_depth": 3}
 
@@ -62,8 +62,6 @@ def test_importances(forest):
     table = {r.feature: r.importance for r in forest.importances().collect()}
     assert list(table) == forest.features and sum(table.values()) == pytest.approx(1)
     assert max(table, key=table.get) == "f2"
-    padded = importance_values(forest.model, [*forest.features, "extra"])
-    assert padded[-1] == 0.0 and len(importance_values(forest.model, ["one"])) == 1
 
 
 def test_predict_encodes_aligns_and_keeps_columns(spark, forest):

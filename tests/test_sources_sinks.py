@@ -84,7 +84,9 @@ def test_messages(spark):
         "value", F.col("value").cast("binary"))
     schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
     got = kafka.decode_messages(df, schema).orderBy("_offset").collect()
-    assert [tuple(r) for r in got] == [(1, "x", 0, 5), (2, None, 1, 8)]
+    assert [tuple(r) for r in got] == [(1, "x", 0, 5), (2, None, 1, 8), (None, None, 1, 9)]
+    rejects = kafka.rejected_messages(df).orderBy("_offset").collect()
+    assert [(r.reason, r._offset) for r in rejects] == [("no value", 6), ("not JSON", 7)]
 
 
 def test_file_readers(spark, tmp_path):

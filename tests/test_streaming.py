@@ -62,7 +62,8 @@ def test_running_totals_equal_the_batch(spark, tmp_path):
     src = str(tmp_path / "in")
     for i in range(3):
         requests(spark, 20, i).write.mode("append").parquet(src)
-    totals = run_totals(request_counts(stream(spark, src, requests(spark, 1).schema)), "totals")
+    totals = run_totals(request_counts(stream(spark, src, requests(spark, 1).schema)), "totals",
+                        ["method", "endpoint", "status"])
     assert [r.requests for r in totals.collect()] == [60]
 
 
@@ -93,7 +94,7 @@ def test_decode_and_score_a_stream(spark, tmp_path):
     parsed = scoring.parse_requests(stream(spark, src, schema))
     accepted, rejects = scoring.split_rejects(parsed)
     scored = scoring.score_requests(accepted, store, scoring.linear_scorer({"f": 1.0}), ["f"], "1",
-                                    use_request_features=True)
+                                    ("product_id",), use_request_features=True)
     rows = run_to_table(scored, "scored").collect()
     assert [(r.product_id, r.predicted_quantity, r.offset) for r in rows] == [("p1", 2.0, 1)]
     assert [r.offset for r in run_to_table(rejects, "rejects").collect()] == [2]
