@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfcast.session import materialise, store_table
 
@@ -24,16 +25,33 @@ def any_null(columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns], F.lit(False))
 
 
-def row_bytes(df: DataFrame) -> int:
-    """Rough width of one row; strings and nested values count as 64 bytes."""
-    widths = {"boolean": 1, "int": 4, "bigint": 8, "double": 8, "float": 4, "date": 4,
-              "timestamp": 8, "timestamp_ntz": 8}
-    return 16 + sum(widths.get(f.dataType.simpleString(), 64) for f in df.schema.fields)
+FIXED_BYTES = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "double": 8, "float": 4, "date": 4,
+               "timestamp": 8, "timestamp_ntz": 8, "void": 0}
+
+
+def _fixed_bytes(kind: T.DataType) -> int | None:
+    """Width of a value of a type; None where values differ in length."""
+    if isinstance(kind, T.StructType):
+        widths = [_fixed_bytes(f.dataType) for f in kind.fields]
+        return None if None in widths else 8 + sum(widths)
+    if isinstance(kind, T.DecimalType):
+        return 16
+    return FIXED_BYTES.get(kind.simpleString())
+
+
+def table_bytes(df: DataFrame, rows: int) -> int:
+    """Size of a (stored) table of known row count: fixed widths by type, all others by the length of their values."""
+    widths = {f.name: _fixed_bytes(f.dataType) for f in df.schema.fields}
+    size = rows * (16 + sum(w for w in widths.values() if w is not None))
+    varying = [F.col(f"`{n}`") for n, w in widths.items() if w is None]
+    if varying and rows and size <= BROADCAST_BYTES:
+        size += df.agg(F.sum(F.length(F.to_json(F.struct(*varying))).cast("bigint"))).first()[0] or 0
+    return size
 
 
 def broadcast_if_small(side: DataFrame, rows: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a side of known row count for broadcast when it fits the limit."""
-    return F.broadcast(side) if rows * row_bytes(side) <= limit else side
+    """Mark a side of known row count for broadcast when its measured size fits the limit."""
+    return F.broadcast(side) if table_bytes(side, rows) <= limit else side
 
 
 def join_per_key(
@@ -151,7 +169,7 @@ def join_stream_per_key(
     stream, so each entity then has ``salts`` copies and the stream rows spread over them by hash.
     """
     keys = list(keys)
-    if rows * row_bytes(table) <= limit:
+    if table_bytes(table, rows) <= limit:
         return stream.join(F.broadcast(table), keys, "left")
     hashable = [f.name for f in stream.schema.fields if "map<" not in f.dataType.simpleString()]
     salted = stream.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int"))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import logging
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+log = logging.getLogger(__name__)
+
+
 def build_session(app: str = "shelfcast", master: str = "local[*]", partitions: int = 8) -> SparkSession:
     """Local session for tests and the bench; a cluster brings its own session."""
     return (
@@ -41,6 +47,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured and configured.startswith("file:") and not sc.master.startswith("local"):
+        log.warning("%s must be a mount that the driver and all executors share", configured)
     if not configured:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
@@ -49,9 +57,29 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_folders: set[str] = set()
+
+
+def _remove_at_exit(spark: SparkSession, folder: str) -> None:
+    """Delete this application's tables when the driver ends; a driver that is killed leaves them behind."""
+    if folder in _folders:
+        return
+    _folders.add(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):
+            path.getFileSystem(hadoop).delete(path, True)
+
+    atexit.register(remove)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused folder below the checkpoint folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
+    """A new, unused folder of this application below the checkpoint folder, deleted when the driver ends."""
+    folder = f"{checkpoint_root(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+    _remove_at_exit(spark, folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:

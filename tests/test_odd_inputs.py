@@ -10,6 +10,7 @@ from shelfcast.models.store import production_versions
 from shelfcast.models.train import Trainer
 from shelfcast.operators import incremental, quality, requestlog
 from shelfcast.operators.encode import OneHot, StandardScale
+from shelfcast.operators.skew import BROADCAST_BYTES, table_bytes
 from shelfcast.operators.split import time_split
 
 START = datetime(2024, 1, 1)
@@ -95,3 +96,11 @@ def test_rules_without_column_or_types_give_results(spark):
     assert result.errors == ["Cannot validate range of missing column: absent"]
     needed = [{"type": "schema", "schema": {"required": ["x", "y"], "types": {"x": "int"}}}]
     assert len(quality.validate_records(spark, [{"x": 1}, {"x": None}], needed).errors) == 2
+
+
+def test_wide_tables_are_not_broadcast(spark):
+    wide = spark.range(10).select("id", F.struct(*[F.lit(1.0).alias(f"f{i}") for i in range(1000)]).alias("_stored"))
+    assert table_bytes(wide, 10) >= 10 * 8000
+    assert table_bytes(wide, 100_000) > BROADCAST_BYTES
+    texts = spark.range(10).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+    assert table_bytes(texts, 10) >= 10 * 10_000
