@@ -21,6 +21,8 @@ ORDER, SPAN, DECAY = 3, 6, 0.6
 # Matches below this are none; units longer than this are compared in overlapping parts.
 LEAST_MATCH, UNIT_CHARS = 0.35, 32
 LANDMARKS, ALIKE = 128, 0.65
+# Sentences of a clean document that the machine is fitted on: those that most resemble toxic ones.
+HARD_SENTENCES = 3
 # Levels of a word's margin at which a document's words are counted.
 LEVELS = (-0.75, -0.25, 0.25)
 # Most labelled documents that the model is fitted on.
@@ -278,8 +280,8 @@ def train_toxicity(
     """Fit on labelled documents whose key is not held out, about ``most_docs`` of them by a hash of the key.
 
     1. Landmarks are the words whose presence in documents speaks most for the label, none much like an earlier one.
-    2. Labelled sentences: all sentences of clean documents that match a landmark, and, of a toxic document,
-       the one whose words speak most for it.
+    2. Labelled sentences: of a clean document the three whose words speak most for the label, and an empty
+       one; of a toxic document the one whose words do.
     3. A sentence's features are its best kernel value with each landmark, whitened by the landmarks' own
        kernel matrix (Nyström); a linear support vector machine is fitted on them.
     4. A logistic regression maps a document's largest sentence margin, the counts of words above some margins,
@@ -331,10 +333,8 @@ def train_toxicity(
         features = SentenceFeatures(landmarks)
         marks = batch.column("toxic").to_pylist()
         for mark, (found, _, _) in zip(marks, features(batch.column("text").to_pylist()), strict=True):
-            if mark > 0:
-                found = sorted(found, key=lambda z: -float((z * evidence).max()))[:1]
-            else:
-                found = [*found, np.zeros(len(landmarks))]
+            ranked = sorted(found, key=lambda z: -float((z * evidence).max()))
+            found = ranked[:1] if mark > 0 else [*ranked[:HARD_SENTENCES], np.zeros(len(landmarks))]
             for z in found:
                 yield {"label": mark, "features": (z @ whiten).tolist()}
 
