@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections import defaultdict
 from collections.abc import Iterator
@@ -19,8 +20,8 @@ END_ID = 2
 # Open windows that a lane keeps at most, and lanes whose last windows are joined in one group.
 OPEN_WINDOWS = 1024
 LANES_PER_GROUP = 64
-# Characters that go through the tokenizer at once; longer texts are cut between words.
-TEXT_CHARS = 200_000
+# Characters of the texts taken at once, and different runs between spaces that a task remembers.
+TEXT_CHARS, KNOWN_RUNS = 2_000_000, 300_000
 
 PIECES = ("key {key}, start long, ids binary, doc_tokens long, lane long, sequence long, offset long, "
           "open boolean")
@@ -136,48 +137,65 @@ def _rows(windows: list[list[Piece]], lane: int, first: int, is_open: bool, key:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=PIECE_NAMES)
 
 
-def _parts(text: str, chars: int) -> list[str]:
-    """The text cut at white space into parts of about ``chars`` characters; words stay whole."""
-    parts, at = [], 0
-    while len(text) - at > chars:
-        cut = text.find(" ", at + chars)
-        if cut < 0:
-            break
-        parts.append(text[at:cut])
-        at = cut
-    return [*parts, text[at:]]
-
-
-def _tokens(tokenizer, texts: list[str], chars: int, end_id: int) -> Iterator[np.ndarray]:
-    """Ids of each text with the end id. A bounded number of characters is encoded at a time."""
-    end = np.array([end_id], dtype="<u4")
-    waiting: list[str] = []
-    owners: list[int] = []
-    done: list[np.ndarray] = []
-
-    def encode() -> list[np.ndarray]:
-        found = tokenizer.encode_batch_fast(waiting, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4") for e in found]
-
-    def gather(parts: list[np.ndarray]) -> Iterator[np.ndarray]:
-        for part, last in zip(parts, owners, strict=True):
-            done.append(part)
-            if last:
-                yield np.concatenate([*done, end])
-                done.clear()
-
-    held = 0
+class WordEncoder:
+    """Ids of texts by a tokenizer that drops white space: each run between spaces is encoded once and kept.
+
+    Texts are then put together from the ids of their runs, so the tokenizer sees a run once per
+    ``KNOWN_RUNS`` different ones instead of each time it occurs.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.starts = np.empty(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+
+    def _learn(self, runs: list[str]) -> None:
+        found = [self.ids]
+        lengths = []
+        for at in range(0, len(runs), 8192):
+            encoded = self.tokenizer.encode_batch_fast(runs[at:at + 8192], add_special_tokens=False)
+            ids = [e.ids for e in encoded]
+            lengths += map(len, ids)
+            found.append(np.fromiter(itertools.chain.from_iterable(ids), dtype="<u4"))
+        for run in runs:
+            self.place[run] = len(self.place)
+        self.ids = np.concatenate(found)
+        self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum(lengths, dtype=np.int64)]
+
+    def __call__(self, texts: list[str], end_id: int) -> Iterator[np.ndarray]:
+        """Ids of each text, then the end id."""
+        split = [t.split(" ") for t in texts]
+        new = {r for runs in split for r in runs}.difference(self.place)
+        if len(self.place) + len(new) > KNOWN_RUNS:
+            self._forget()
+            new = {r for runs in split for r in runs}
+        if new:
+            self._learn(sorted(new))
+        place = self.place
+        for runs in split:
+            rows = np.fromiter((place[r] for r in runs), dtype=np.int64, count=len(runs))
+            first = self.starts[rows]
+            lengths = self.starts[rows + 1] - first
+            ends = np.cumsum(lengths)
+            out = np.empty(int(ends[-1]) + 1, dtype="<u4")
+            out[:-1] = self.ids[np.repeat(first - ends + lengths, lengths) + np.arange(int(ends[-1]))]
+            out[-1] = end_id
+            yield out
+
+
+def _in_parts(texts: list[str], chars: int) -> Iterator[list[str]]:
+    part, held = [], 0
     for text in texts:
-        pieces = _parts(text, chars)
-        for i, part in enumerate(pieces):
-            waiting.append(part)
-            owners.append(i + 1 == len(pieces))
-            held += len(part)
-            if held >= chars:
-                yield from gather(encode())
-                waiting, owners, held = [], [], 0
-    if waiting:
-        yield from gather(encode())
+        part.append(text)
+        held += len(text)
+        if held >= chars:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
 
 
 def pack(
@@ -191,20 +209,23 @@ def pack(
     lanes in groups of 64 and is cut once more. Documents above the window are cut into windows and a rest.
     A null text is an empty document of one end token. Keys may be null or repeat; other columns are
     ignored. The stored result of a lane is read by all later steps, so a lost task changes nothing.
+
+    The tokenizer must drop white space, as one with word ends does: texts are encoded in runs between
+    spaces, each different run once.
     """
 
     def lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = None
+        encoder = None
         number, first, lane, key_type = TaskContext.get().partitionId(), 0, Lane(window, open_windows), pa.null()
         for batch in batches:
-            tokenizer = tokenizer or Tokenizer.from_file(tokenizer_path)
+            encoder = encoder or WordEncoder(Tokenizer.from_file(tokenizer_path))
             key_type = batch.schema.field("key").type
             texts = [t or "" for t in batch.column("text").to_pylist()]
             held = 0
-            tokens = _tokens(tokenizer, texts, TEXT_CHARS, end_id)
+            tokens = itertools.chain.from_iterable(encoder(part, end_id) for part in _in_parts(texts, TEXT_CHARS))
             for row_key, ids in zip(batch.column("key").to_pylist(), tokens, strict=True):
                 lane.add(Piece(row_key, 0, ids, len(ids)))
                 held += len(ids)
@@ -212,7 +233,7 @@ def pack(
                     yield _rows(lane.full, number, first, False, key_type)
                     first += len(lane.full)
                     lane.full, held = [], 0
-        if tokenizer:
+        if encoder:
             rest = lane.finish()
             yield _rows(lane.full, number, first, False, key_type)
             yield _rows(rest, number, first + len(lane.full), True, key_type)
