@@ -69,12 +69,16 @@ def forecast_kpis(
 
 
 def weekly_degradation(
-    df: DataFrame, actual: str, predicted: str, date_col: str, baseline_mae: float, limit: float = MAX_DEGRADATION
+    df: DataFrame, actual: str, predicted: str, date_col: str, baseline_mae: float | None, limit: float = MAX_DEGRADATION
 ) -> DataFrame:
-    """MAE per week against a baseline, with a flag for weeks that call for retraining."""
+    """MAE per week against a baseline, with a flag for weeks that call for retraining.
+
+    Without a baseline, or with one of 0, there is no change to speak of: both are null.
+    """
+    base = F.lit(baseline_mae).cast("double")
     week = F.date_trunc("week", F.col(date_col))
     weekly = regression_metrics(df.withColumn("week", F.to_date(week)), actual, predicted, ["week"])
-    change = F.try_divide(F.col("mae") - baseline_mae, F.lit(baseline_mae))
+    change = F.try_divide(F.col("mae") - base, base)
     return weekly.select("week", "n", "mae", change.alias("degradation"),
                          (change > limit).alias("retrain"))
 

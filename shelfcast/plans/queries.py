@@ -336,7 +336,7 @@ def weekly_degradation(spark: SparkSession, d: str) -> DataFrame:
     error = F.abs(F.col("quantity") - F.col("forecast"))
     baseline = rows.filter(F.col("date") < cut).agg(F.avg(error)).first()[0]
     later = rows.filter(F.col("date") >= cut)
-    return shown(metrics.weekly_degradation(later, "quantity", "forecast", "date", baseline or 1.0))
+    return shown(metrics.weekly_degradation(later, "quantity", "forecast", "date", baseline))
 
 
 @query
