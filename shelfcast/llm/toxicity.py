@@ -59,21 +59,24 @@ class StringKernel:
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
         self.shapes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        # For each subsequence of a landmark its row; a row lists the landmarks that have it, with their shares.
         self.row_of = np.full(_LETTERS ** ORDER, -1, dtype=np.int32)
-        self.table = np.zeros((0, len(landmarks)), dtype=np.float32)
-        rows: list[np.ndarray] = []
+        rows: list[dict[int, float]] = []
         for number, unit in enumerate(landmarks):
-            codes, weights, norm = self._subsequences(np.array([_codes(unit)], dtype=np.int32))
+            codes, weights = self._subsequences(np.array([_codes(unit)], dtype=np.int32))
+            norm = _norms(codes, weights)
             for code, weight in zip(codes[0], weights, strict=True):
                 if self.row_of[code] < 0:
                     self.row_of[code] = len(rows)
-                    rows.append(np.zeros(len(landmarks), dtype=np.float32))
-                rows[self.row_of[code]][number] += weight / norm[0]
-        if rows:
-            self.table = np.stack(rows)
-
-    def _subsequences(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes of all subsequences of units of one length, their weights, and the units' norms."""
+                    rows.append({})
+                row = rows[self.row_of[code]]
+                row[number] = row.get(number, 0.0) + weight / norm[0]
+        self.starts = np.cumsum([0, *map(len, rows)])
+        self.owners = np.array([n for row in rows for n in row], dtype=np.int64)
+        self.shares = np.array([v for row in rows for v in row.values()], dtype=np.float64)
+
+    def _subsequences(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all subsequences of units of one length, and their weights."""
         length = units.shape[1]
         if length not in self.shapes:
             self.shapes[length] = _triples(length)
@@ -81,17 +84,10 @@ class StringKernel:
         codes = units[:, index[:, 0]]
         for j in range(1, ORDER):
             codes = codes * _LETTERS + units[:, index[:, j]]
-        order = np.argsort(codes, axis=1, kind="stable")
-        ordered = np.take_along_axis(codes, order, axis=1)
-        first = np.ones(codes.shape, dtype=bool)
-        first[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
-        sums = np.add.reduceat(weights[order].ravel(), np.flatnonzero(first.ravel()))
-        owners = np.nonzero(first)[0]
-        norm = np.sqrt(np.bincount(owners, weights=sums.astype(np.float64) ** 2, minlength=len(units)))
-        return codes, weights, norm
-
-    def __call__(self, units: list[str]) -> np.ndarray:
-        """One row per unit; the best part of a long unit counts."""
+        return codes, weights
+
+    def __call__(self, units: list[str], least: float = 0.0) -> np.ndarray:
+        """One row per unit; the best part of a long unit counts. Rows without a value from ``least`` on are 0."""
         out = np.zeros((len(units), len(self.landmarks)), dtype=np.float32)
         by_length: dict[int, list[tuple[int, list[int]]]] = {}
         for i, unit in enumerate(units):
@@ -108,19 +104,36 @@ class StringKernel:
                 continue
             for at in range(0, len(rows), 2048):
                 some = rows[at:at + 2048]
-                codes, weights, norm = self._subsequences(np.array([c for _, c in some], dtype=np.int32))
+                codes, weights = self._subsequences(np.array([c for _, c in some], dtype=np.int32))
                 hits = self.row_of[codes]
                 unit, place = np.nonzero(hits >= 0)
-                if not len(unit):
-                    continue
-                values = self.table[hits[unit, place]] * weights[place][:, None]
-                starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
-                found = unit[starts]
-                similar = np.add.reduceat(values, starts, axis=0) / norm[found][:, None]
-                np.maximum.at(out, [some[f][0] for f in found], similar.astype(np.float32))
+                first = self.starts[hits[unit, place]]
+                lengths = self.starts[hits[unit, place] + 1] - first
+                ends = np.cumsum(lengths)
+                entry = np.repeat(first - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+                cell = np.repeat(unit * len(self.landmarks), lengths) + self.owners[entry]
+                raw = np.bincount(cell, self.shares[entry] * np.repeat(weights[place], lengths),
+                                  minlength=len(some) * len(self.landmarks)).reshape(len(some), -1)
+                # A norm is least when all subsequences differ; units that are too far even so need none.
+                near = np.flatnonzero((raw.max(axis=1, initial=0) > 0) & (
+                    raw.max(axis=1, initial=0) >= least * np.sqrt((weights ** 2).sum()) * (1 - 1e-5)))
+                if len(near):
+                    similar = raw[near] / _norms(codes[near], weights)[:, None]
+                    np.maximum.at(out, [some[f][0] for f in near], similar.astype(np.float32))
         return out
 
 
+def _norms(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Square roots of the kernel of each row of subsequences with itself."""
+    order = np.argsort(codes, axis=1, kind="stable")
+    ordered = np.take_along_axis(codes, order, axis=1)
+    first = np.ones(codes.shape, dtype=bool)
+    first[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    sums = np.add.reduceat(weights[order].ravel(), np.flatnonzero(first.ravel()))
+    owners = np.nonzero(first)[0]
+    return np.sqrt(np.bincount(owners, weights=sums.astype(np.float64) ** 2, minlength=len(codes)))
+
+
 def _unit(word: str) -> str:
     """A word in lower case without the signs around it."""
     at, end = 0, len(word)
@@ -176,7 +189,7 @@ class SentenceFeatures:
             self.place.clear()
             del self.rows[1:]
         units = sorted({_unit(w) for w in words})
-        similar = self.kernel(units)
+        similar = self.kernel(units, LEAST_MATCH)
         near = dict.fromkeys(units, 0)
         for i in np.flatnonzero(similar.max(axis=1, initial=0) >= LEAST_MATCH):
             near[units[i]] = len(self.rows)
@@ -345,7 +358,7 @@ def train_toxicity(
     if len(sizes) < 2:
         return empty
     balance = F.when(F.col("label") > 0, F.lit(sizes[0.0] / sizes[1.0]) ** 0.5).otherwise(F.lit(1.0))
-    machine = LinearSVC(maxIter=60, regParam=1e-3, weightCol="weight", standardization=False).fit(
+    machine = LinearSVC(maxIter=30, regParam=1e-3, weightCol="weight", standardization=False).fit(
         instances.withColumn("weight", balance))
     model = ToxicityModel(landmarks, whiten @ machine.coefficients.toArray(), float(machine.intercept),
                           np.zeros(0), prior)
@@ -357,7 +370,7 @@ def train_toxicity(
 
     rows = store_table(_map(sample, "label double, features array<double>", document_rows).select(
         "label", array_to_vector("features").alias("features")), "toxicity-documents")
-    fitted = LogisticRegression(maxIter=100, regParam=1e-4).fit(rows)
+    fitted = LogisticRegression(maxIter=30, regParam=1e-4).fit(rows)
     model.calibration = np.r_[fitted.coefficients.toArray(), fitted.intercept]
     return model
 
