@@ -21,7 +21,7 @@ END_ID = 2
 OPEN_WINDOWS = 1024
 LANES_PER_GROUP = 64
 # Characters of the texts taken at once, and different runs between spaces that a task remembers.
-TEXT_CHARS, KNOWN_RUNS = 2_000_000, 300_000
+TEXT_CHARS, KNOWN_RUNS = 2_000_000, 600_000
 
 PIECES = ("key {key}, start long, ids binary, doc_tokens long, lane long, sequence long, offset long, "
           "open boolean")
@@ -216,12 +216,17 @@ def pack(
 
     def lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tokenizers
 
+        # This function comes anew with each task; the library's module lives as long as the worker, so
+        # that later tasks of the worker find the runs that earlier ones have encoded.
+        encoders = vars(tokenizers).setdefault("_known_encoders", {})
         encoder = None
         number, first, lane, key_type = TaskContext.get().partitionId(), 0, Lane(window, open_windows), pa.null()
         for batch in batches:
-            encoder = encoder or WordEncoder(Tokenizer.from_file(tokenizer_path))
+            if encoder is None:
+                encoder = encoders.get(tokenizer_path) or WordEncoder(tokenizers.Tokenizer.from_file(tokenizer_path))
+                encoders[tokenizer_path] = encoder
             key_type = batch.schema.field("key").type
             texts = [t or "" for t in batch.column("text").to_pylist()]
             held = 0
@@ -233,7 +238,7 @@ def pack(
                     yield _rows(lane.full, number, first, False, key_type)
                     first += len(lane.full)
                     lane.full, held = [], 0
-        if encoder:
+        if encoder is not None:
             rest = lane.finish()
             yield _rows(lane.full, number, first, False, key_type)
             yield _rows(rest, number, first + len(lane.full), True, key_type)
