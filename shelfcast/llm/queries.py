@@ -78,7 +78,7 @@ def op6_chosen_path_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
 @query
 def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with one occurrence of each group of alike lines."""
-    return lines.deduplicate_lines(table(spark, sf_dir, "documents"))
+    return lines.deduplicate_lines(table(spark, sf_dir, "documents"), candidates="edits")
 
 
 @query
