@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.operators.skew import broadcast_if_small
@@ -44,10 +44,13 @@ PATTERNS = (
     ("secret", r"(?<=[=:]\")[^\"\s]{12,}(?=\")|(?<=[=:] \")[^\"\s]{12,}(?=\")"),
     ("secret", r"\b(?=[0-9A-Fa-f]*\d)(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{24,}\b"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
-    ("ip", r"\b(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}\b"),
+    ("ip", r"\b(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}\b(?!\.\d)"),
     ("card", r"\b\d(?:[ \-]?\d){12,18}\b"),
     ("phone", r"\+\d{1,3}\W{0,6}\(?\d{2,4}\)?(?:\W{1,6}\d{3,4}){2}\b|\(\d{3}\)\W{0,6}\d{3}\W{1,6}\d{4}\b"
-              r"|\b\d{3}[\-.]\d{3}[\-.]\d{4}\b"),
+              r"|\b\d{3}[\-.]\d{3}[\-.]\d{4}\b"
+              # Other groupings: any of an international number, and national ones that begin with a nought.
+              r"|\+[1-9](?:[ \-./()]{0,3}\d){7,14}(?!\d)|\b0\d(?:[ .\-]\d{2}){4}\b"
+              r"|\b0\d{2,4}[ /\-]{1,3}\d{5,8}\b|\b0\d{2,4} \d{3,4} \d{3,4}\b"),
     ("ssn", r"\b\d{3}-\d{2}-\d{4}\b"),
     ("number", r"\b\d{9,12}\b"),
     ("name", r"\b(?:(?i:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r"))\b\.? "
@@ -126,7 +129,10 @@ def _luhn(digits: str) -> int:
 
 
 def surrogate(kind: str, value: str, key: str, attempt: int) -> str:
-    """Canonical surrogate of a canonical value; the attempt changes it after a collision."""
+    """Canonical surrogate of a canonical value; the attempt changes it after a collision.
+
+    Each attempt makes names a syllable and local parts of e-mails a letter longer, so their number has no bound.
+    """
     draw = _stream(key, kind, value, attempt)
     if kind == "email":
         local, _, domain = value.rpartition("@")
@@ -134,7 +140,7 @@ def surrogate(kind: str, value: str, key: str, attempt: int) -> str:
         # Domains keep their coreference: the same domain always becomes the same one.
         of_domain = _stream(key, "domain", domain, 0)
         labels[:-1] = [_like(x, of_domain) for x in labels[:-1]]
-        return f"{_like(local, draw)}@{'.'.join(labels)}"
+        return f"{_like(local + 'a' * attempt, draw)}@{'.'.join(labels)}"
     if kind == "ip":
         return ".".join(str(1 + draw(254)) for _ in range(4))
     if kind == "card":
@@ -151,7 +157,7 @@ def surrogate(kind: str, value: str, key: str, attempt: int) -> str:
         script = "cyrillic" if re.search("[а-яё]", name) else "latin"
         chosen = gender if gender in "mf" else "mf"[draw(2)]
         parts = name.split(" ")
-        family = "".join(SYLLABLES[script][draw(20)] for _ in range(3)) + ENDING[script]
+        family = "".join(SYLLABLES[script][draw(20)] for _ in range(3 + attempt)) + ENDING[script]
         family = (family + (FEMALE_ENDING[script] if chosen == "f" else "")).capitalize()
         names = GIVEN[(script, chosen)]
         return f"{gender} {names[draw(len(names))]} {family}" if len(parts) > 1 else f"{gender} {family}"
@@ -201,18 +207,23 @@ def _again(key: str, attempt: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return run
 
 
+def _plain(value: str) -> Column:
+    """What is compared with real values: of a name the lower case, whatever the gender."""
+    return F.when(F.col("kind") == "name", F.regexp_replace(F.lower(value), "^[mfn] ", "")).otherwise(F.col(value))
+
+
 def resolve(entities: DataFrame, key: str = KEY) -> DataFrame:
     """``kind, value, surrogate, attempt`` with distinct surrogates, none of them a real value.
 
     ``entities`` are distinct (kind, value, surrogate). Of values with one surrogate the smallest keeps it;
     the others, and those whose surrogate is a real value, try again; only they are looked at anew.
     """
-    real = entities.select("kind", F.col("value").alias("surrogate"))
+    real = entities.select("kind", _plain("value").alias("plain")).distinct().withColumn("real", F.lit(True))
     settled = store_table(entities.select("kind", "value", "surrogate", F.lit(0).alias("attempt")), "surrogates-0")
     schema = "kind string, value string, surrogate string, attempt int"
     for attempt in range(1, MAX_ATTEMPTS + 1):
         keeper = settled.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "value")).alias("first"))
-        taken = keeper.join(real.withColumn("real", F.lit(True)), ["kind", "surrogate"], "left")
+        taken = keeper.withColumn("plain", _plain("surrogate")).join(real, ["kind", "plain"], "left").drop("plain")
         judged = settled.join(taken, ["kind", "surrogate"]).withColumn(
             "bad", F.coalesce("real", F.lit(False)) | (F.col("first.value") != F.col("value")))
         losers = judged.filter("bad").select("kind", "value")

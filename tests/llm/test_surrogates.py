@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from shelfcast.llm.surrogates import _luhn, canonical, detect, render, replace_personal_data, resolve, surrogate
+from shelfcast.llm.surrogates import KEY, _luhn, canonical, detect, render, replace_personal_data, resolve, surrogate
 
 TEXT = ('Write to Ann.Lee@mail.example.org or ANN.LEE@MAIL.EXAMPLE.ORG, call +1 (212) 555-0123 or +1-212-555-0123, '
         'card 4111 1111 1111 1111, from 10.1.2.3, token = "2c8ba23e1529b2de52654cb5a51fb5655bd4ec6f". '
@@ -59,3 +59,29 @@ def test_collisions_are_resolved(spark, real):
     assert len(got) == len(rows) == len({(r.kind, r.surrogate) for r in got})
     assert not {(r.kind, r.surrogate) for r in got} & {(r.kind, r.value) for r in got}
     assert {r.value for r in got if r.attempt == 0 and r.surrogate == "same"} == {"v0"}
+
+
+def _resolved(spark, kind, values):
+    rows = [(kind, v, surrogate(kind, v, KEY, 0)) for v in values]
+    made = resolve(spark.createDataFrame(rows, "kind string, value string, surrogate string")).collect()
+    assert sorted(r.value for r in made) == sorted(values)
+    assert all(r.surrogate == surrogate(kind, r.value, KEY, r.attempt) for r in made)
+    return {r.value: r.surrogate for r in made}
+
+
+def test_more_values_than_short_surrogates(spark):
+    # 20 ** 3 names of three syllables, 26 addresses of one letter.
+    assert len(set(_resolved(spark, "name", [f"m n{i}" for i in range(8_500)]).values())) == 8_500
+    assert len(set(_resolved(spark, "email", [f"{c}@a.org" for c in "abcdefghijklmnopqrstuvwxyzäöü"]).values())) == 29
+
+
+def test_no_surrogate_is_a_real_name(spark):
+    first = surrogate("name", "m smith", KEY, 0)
+    real = f"f {first[2:].casefold()}"
+    assert _resolved(spark, "name", ["m smith", real])["m smith"][2:].casefold() != real[2:]
+
+
+def test_phone_groupings():
+    for phone in ("+33 1 42 68 53 00", "01 42 68 53 00", "01.42.68.53.00", "+49 30 12345678", "030 12345678",
+                  "0171/1234567", "020 7946 0958", "+44 20 7946 0958", "+15551234567"):
+        assert [(k, s) for _, _, k, s in detect(f"Call {phone}, please")] == [("phone", phone)]
