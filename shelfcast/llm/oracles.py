@@ -94,3 +94,63 @@ SELECT doc_id, size, source_size, target, source, blocks,
   (CASE WHEN source_size > 0 THEN run // source_size * size
      + greatest(0, least(run % source_size - ahead, size)) ELSE 0 END)::BIGINT AS taken
 FROM placed"""
+
+
+def _levels(name: str, leaves: str, depth: int) -> str:
+    """Tables name0, name1, ... of ``g, i, h``: the nodes of each level; a lone node goes up unchanged."""
+    found = [f"{name}0 AS (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS n FROM {leaves})"]
+    for k in range(depth):
+        found.append(f"""{name}{k + 1} AS (
+  SELECT *, count(*) OVER (PARTITION BY g) AS n FROM (
+    SELECT g, CASE WHEN n > 1 THEN i // 8 ELSE 0 END AS i,
+      CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h
+    FROM (SELECT g, i AS i, h, n FROM {name}{k}) GROUP BY g, CASE WHEN n > 1 THEN i // 8 ELSE 0 END))""")
+    return ",\n".join(found)
+
+
+def _folds(name: str, start: str, depth: int) -> str:
+    """Tables fold_name0, ...: each row's own node replaced by ``cur``, and the siblings passed so far."""
+    found = [f"fold_{name}0 AS ({start})"]
+    for k in range(depth):
+        found.append(f"""fold_{name}{k + 1} AS (
+  SELECT f.id, any_value(f.g) AS g, any_value(CASE WHEN m.n > 1 THEN f.i // 8 ELSE 0 END) AS i,
+    CASE WHEN any_value(m.n) > 1 THEN sha256(string_agg(CASE WHEN m.i = f.i THEN f.cur ELSE m.h END, '' ORDER BY m.i))
+      ELSE any_value(f.cur) END AS cur,
+    any_value(f.proof) || coalesce(string_agg(m.h, '' ORDER BY m.i) FILTER (m.i <> f.i), '') AS proof
+  FROM fold_{name}{k} f JOIN {name}{k} m ON m.g = f.g AND m.i // 8 = f.i // 8 GROUP BY f.id)""")
+    return ",\n".join(found)
+
+
+# Trees of up to 8**8 leaves in a language and 8**4 languages. The checksum is made as above.
+ORACLES["op13_merkle_manifest"] = f"""
+WITH bits AS (
+  SELECT list_reduce([i::BIGINT] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+    lambda c, x: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS entry, i
+  FROM range(256) t(i)),
+codes AS (SELECT list(entry ORDER BY i) AS crc_table FROM bits),
+changed AS (
+  SELECT d.*, CASE WHEN doc_id IS NOT NULL AND xor(list_reduce([4294967295::BIGINT] ||
+      list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT),
+      lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295) % 3 = 0
+    THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other
+  FROM documents d, codes),
+parts AS (
+  SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-')
+      || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head
+  FROM changed),
+hashed AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS h,
+    sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS cur
+  FROM parts),
+leaves AS (
+  SELECT *, row_number() OVER () AS id,
+    row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM hashed),
+{_levels("node", "leaves", 8)},
+heads AS (SELECT '' AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS i, h, g AS lang FROM node8),
+{_levels("top", "heads", 4)},
+{_folds("node", "SELECT id, g, i, cur, '' AS proof FROM leaves", 8)},
+{_folds("top", "SELECT f.id, '' AS g, s.i, f.cur, f.proof FROM fold_node8 f JOIN heads s ON s.lang = f.g", 4)}
+SELECT l.doc_id, l.h AS leaf, s.h AS subroot, t.h AS root, sha256(f.proof) AS proof_sha256, f.cur AS folded_root,
+  f.cur = t.h AS verified
+FROM leaves l JOIN heads s ON s.lang = l.g JOIN fold_top4 f USING (id) CROSS JOIN top4 t"""

@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import lines, mixing, neardup, packing, permutation, rules, sharding, surrogates, toxicity, wrappers
+from shelfcast.llm import (
+    lines,
+    merkle,
+    mixing,
+    neardup,
+    packing,
+    permutation,
+    rules,
+    sharding,
+    surrogates,
+    toxicity,
+    wrappers,
+)
 from shelfcast.llm.common import count_words
 from shelfcast.llm.oracles import ORACLES
 from shelfcast.plans.tables import table
@@ -104,3 +116,12 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     rows = mixing.mix(table(spark, sf_dir, "documents"), count_words(F.col("text")))
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "blocks")
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents; a third of them is folded with a text in lower case."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    tampered = F.when(third, F.translate("text", upper, upper.lower())).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered)
