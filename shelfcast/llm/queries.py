@@ -17,12 +17,14 @@ from shelfcast.llm import (
     rules,
     sharding,
     surrogates,
+    tokenfiles,
     toxicity,
     wrappers,
 )
 from shelfcast.llm.common import count_words
 from shelfcast.llm.oracles import ORACLES
 from shelfcast.plans.tables import table
+from shelfcast.session import scratch_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -118,6 +120,15 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "blocks")
 
 
+@query
+def op12_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, read back from the files they were written to."""
+    import public_tokenizers
+
+    return tokenfiles.token_digests(
+        table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs of all documents; a third of them is folded with a text in lower case."""
