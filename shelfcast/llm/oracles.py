@@ -154,3 +154,36 @@ heads AS (SELECT '' AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS i, h, g
 SELECT l.doc_id, l.h AS leaf, s.h AS subroot, t.h AS root, sha256(f.proof) AS proof_sha256, f.cur AS folded_root,
   f.cur = t.h AS verified
 FROM leaves l JOIN heads s ON s.lang = l.g JOIN fold_top4 f USING (id) CROSS JOIN top4 t"""
+
+ORACLES["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+grams AS (
+  SELECT lang, size, list_slice(w, i, i + size - 1) AS g
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM worded, range(1, 5) t(size))),
+counted AS (SELECT lang, size, array_to_string(g, ' ') AS phrase, count(*) AS f FROM grams GROUP BY ALL),
+frequent AS (SELECT *, string_split(phrase, ' ') AS w FROM counted WHERE f >= 30),
+cuts AS (
+  SELECT lang, size, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM frequent WHERE size > 1)),
+scored AS (
+  SELECT c.*, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score
+  FROM cuts c JOIN frequent x ON x.lang = c.lang AND x.phrase = head JOIN frequent y ON y.lang = c.lang AND y.phrase = rest),
+best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, array_to_string(w[i:i + len - 1], ' ') AS phrase, max(f) AS most
+  FROM (SELECT lang, w, f, len, unnest(range(1, size - len + 2)) AS i
+        FROM (SELECT *, unnest(range(2, size)) AS len FROM frequent WHERE size > 2))
+  GROUP BY ALL),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN longer o USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a)
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang)
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase))
+QUALIFY rank <= 2000"""

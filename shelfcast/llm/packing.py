@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-import os
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -13,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfcast.llm.encoder import worker_encoder
 from shelfcast.session import store_table
 
 WINDOW = 4096
@@ -20,8 +19,6 @@ END_ID = 2
 # Open windows that a lane keeps at most, and lanes whose last windows are joined in one group.
 OPEN_WINDOWS = 1024
 LANES_PER_GROUP = 64
-# Characters of the texts taken at once, and different runs between spaces that a task remembers.
-TEXT_CHARS, KNOWN_RUNS = 2_000_000, 600_000
 
 PIECES = ("key {key}, start long, ids binary, doc_tokens long, lane long, sequence long, offset long, "
           "open boolean")
@@ -137,67 +134,6 @@ def _rows(windows: list[list[Piece]], lane: int, first: int, is_open: bool, key:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=PIECE_NAMES)
 
 
-class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space: each run between spaces is encoded once and kept.
-
-    Texts are then put together from the ids of their runs, so the tokenizer sees a run once per
-    ``KNOWN_RUNS`` different ones instead of each time it occurs.
-    """
-
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-        self._forget()
-
-    def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.starts = np.empty(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
-
-    def _learn(self, runs: list[str]) -> None:
-        found = [self.ids]
-        lengths = []
-        for at in range(0, len(runs), 8192):
-            encoded = self.tokenizer.encode_batch_fast(runs[at:at + 8192], add_special_tokens=False)
-            ids = [e.ids for e in encoded]
-            lengths += map(len, ids)
-            found.append(np.fromiter(itertools.chain.from_iterable(ids), dtype="<u4"))
-        for run in runs:
-            self.place[run] = len(self.place)
-        self.ids = np.concatenate(found)
-        self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum(lengths, dtype=np.int64)]
-
-    def __call__(self, texts: list[str], end_id: int) -> Iterator[np.ndarray]:
-        """Ids of each text, then the end id."""
-        split = [t.split(" ") for t in texts]
-        new = {r for runs in split for r in runs}.difference(self.place)
-        if len(self.place) + len(new) > KNOWN_RUNS:
-            self._forget()
-            new = {r for runs in split for r in runs}
-        if new:
-            self._learn(sorted(new))
-        place = self.place
-        for runs in split:
-            rows = np.fromiter((place[r] for r in runs), dtype=np.int64, count=len(runs))
-            first = self.starts[rows]
-            lengths = self.starts[rows + 1] - first
-            ends = np.cumsum(lengths)
-            out = np.empty(int(ends[-1]) + 1, dtype="<u4")
-            out[:-1] = self.ids[np.repeat(first - ends + lengths, lengths) + np.arange(int(ends[-1]))]
-            out[-1] = end_id
-            yield out
-
-
-def _in_parts(texts: list[str], chars: int) -> Iterator[list[str]]:
-    part, held = [], 0
-    for text in texts:
-        part.append(text)
-        held += len(text)
-        if held >= chars:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
-
-
 def pack(
     docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", window: int = WINDOW,
     end_id: int = END_ID, open_windows: int = OPEN_WINDOWS,
@@ -210,28 +146,18 @@ def pack(
     A null text is an empty document of one end token. Keys may be null or repeat; other columns are
     ignored. The stored result of a lane is read by all later steps, so a lost task changes nothing.
 
-    The tokenizer must drop white space, as one with word ends does: texts are encoded in runs between
-    spaces, each different run once.
+    The tokenizer must drop white space, as one with word ends does: each different word is encoded once.
     """
 
     def lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tokenizers
-
-        # This function comes anew with each task; the library's module lives as long as the worker, so
-        # that later tasks of the worker find the runs that earlier ones have encoded.
-        encoders = vars(tokenizers).setdefault("_known_encoders", {})
         encoder = None
         number, first, lane, key_type = TaskContext.get().partitionId(), 0, Lane(window, open_windows), pa.null()
         for batch in batches:
-            if encoder is None:
-                encoder = encoders.get(tokenizer_path) or WordEncoder(tokenizers.Tokenizer.from_file(tokenizer_path))
-                encoders[tokenizer_path] = encoder
+            encoder = encoder or worker_encoder(tokenizer_path)
             key_type = batch.schema.field("key").type
             texts = [t or "" for t in batch.column("text").to_pylist()]
             held = 0
-            tokens = itertools.chain.from_iterable(encoder(part, end_id) for part in _in_parts(texts, TEXT_CHARS))
-            for row_key, ids in zip(batch.column("key").to_pylist(), tokens, strict=True):
+            for row_key, ids in zip(batch.column("key").to_pylist(), encoder(texts, end_id), strict=True):
                 lane.add(Piece(row_key, 0, ids, len(ids)))
                 held += len(ids)
                 if held > BATCH_TOKENS:

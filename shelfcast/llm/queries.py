@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.llm import (
+    collocations,
     lines,
     merkle,
     mixing,
@@ -120,6 +121,12 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "blocks")
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two to four words of each language."""
+    return collocations.mine_phrases(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, read back from the files they were written to."""

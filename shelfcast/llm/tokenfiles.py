@@ -18,8 +18,6 @@ exception. An id is found by its number alone: block ``number // 256``, through
 
 from __future__ import annotations
 
-import sys
-import types
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -30,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm.common import running_totals
-from shelfcast.llm.encoder import TEXT_CHARS, WordEncoder, in_parts
+from shelfcast.llm.encoder import TEXT_CHARS, in_parts, worker_encoder
 from shelfcast.session import store_table
 
 MAGIC = b"PFORIDS1"
@@ -213,18 +211,6 @@ class FileReader:
 # --- jobs -------------------------------------------------------------------------------------
 
 
-def worker_encoder(path: str) -> WordEncoder:
-    """The encoder of this Python worker, which later tasks of the worker find again with all it remembers.
-
-    Functions of this package come to a worker anew with each task, its modules stay.
-    """
-    module = sys.modules.setdefault("shelfcast_worker_memory", types.ModuleType("shelfcast_worker_memory"))
-    encoders = vars(module).setdefault("encoders", {})
-    if path not in encoders:
-        encoders[path] = WordEncoder(path)
-    return encoders[path]
-
-
 def write_token_files(
     docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID,
     file_ids: int = FILE_IDS,
