@@ -114,6 +114,7 @@ def search(index: DataFrame, queries: Column, k: int, share: float = CANDIDATE_S
             norms = np.linalg.norm(points, axis=1)
             keys, places = rows.column("key").to_pylist(), rows.column("row").to_numpy()
             prefixes = np.stack([np.frombuffer(p, dtype=np.int16) for p in rows.column("prefix").to_pylist()])
+            wanted = wanted.rename_columns([n.removeprefix("q_") for n in wanted.column_names])
             files = InvertedFiles(prefixes, int(prefixes.max()) + 1)
             asked_points = _scaled(_matrix(wanted.column("vector").chunk(0)))
             small_first = np.array(sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i])))
@@ -133,15 +134,19 @@ def search(index: DataFrame, queries: Column, k: int, share: float = CANDIDATE_S
                             wanted.column("key")[q].as_py(), wanted.column("row")[q].as_py(),
                             keys[some[i]], int(places[some[i]]), float(score[i])), strict=True):
                         column.append(value)
-        kinds = (wanted.schema.field("key").type, pa.int64(), wanted.schema.field("key").type, pa.int64(), pa.float64())
+        key_type = rows.schema.field("key").type
+        kinds = (key_type, pa.int64(), key_type, pa.int64(), pa.float64())
         return pa.table([pa.array(c, t) for c, t in zip(found, kinds, strict=True)],
                         names=["query", "query_row", "key", "row", "score"])
 
     placed = index.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).withColumn(
         "group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    dealt = asked.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = placed.groupBy("block", "group").cogroup(dealt.groupBy("block", "group")).applyInArrow(
+    # Both sides read the same stored table: the queries' columns get names of their own, as otherwise the
+    # planner takes them for the index's and prunes one with the other.
+    own = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("row", "key", "vector", "prefix")])
+    dealt = own.withColumn("q_group", F.pmod(F.xxhash64("q_row"), F.lit(groups)).cast("int")).withColumn(
+        "q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    found = placed.groupBy("block", "group").cogroup(dealt.groupBy("q_block", "q_group")).applyInArrow(
         near, f"query {kind}, query_row long, key {kind}, row long, score double")
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), F.col("key").asc_nulls_last(), "row")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(

@@ -45,6 +45,16 @@ def test_few_rows_and_empty(spark):
     assert search(empty, F.col("key") % 5 == 0, 5).collect() == []
 
 
+def test_result_can_be_counted_aggregated_and_written(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    index = build_index(table(spark, [(i, rng.normal(size=4).tolist()) for i in range(40)]), "vec_id", "embedding")
+    found = search(index, F.col("key") % 10 == 0, 3)
+    assert found.count() == found.select("rank").count() == 12
+    assert found.agg(F.sum("score")).first()[0] == pytest.approx(sum(r["score"] for r in found.collect()))
+    found.write.parquet(str(tmp_path / "found"))
+    assert spark.read.parquet(str(tmp_path / "found")).count() == 12
+
+
 def test_recall(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(10, 32))
