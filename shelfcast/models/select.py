@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from shelfcast.models.train import FEATURES, LABEL, assembler, importance_frame
+from shelfcast.models.train import FEATURES, LABEL, assembler, importance_frame, in_fixed_order
 from shelfcast.session import checkpoint_root, materialise, store_table
 
 # Number of features kept, forest size and seed.
@@ -45,7 +45,7 @@ def _labelled(df: DataFrame, features: Sequence[str], target: str, fit_rows: int
     if fit_rows:
         share = min(1.0, fit_rows / max(1, rows.count()))
         rows = rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    return materialise(rows.sortWithinPartitions(LABEL, *features))
+    return materialise(in_fixed_order(rows, [LABEL, *features]))
 
 
 def select_by_importance(

@@ -23,6 +23,10 @@ from shelfcast.sources.sinks import log_run
 
 log = logging.getLogger(__name__)
 
+# Rows of a partition of a training matrix.
+PARTITION_ROWS = 1_000_000
+FIT_PARTITIONS = 8
+
 # Hyperparameters used where none are given.
 DEFAULTS: dict[str, dict[str, Any]] = {
     "xgboost": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6, "random_state": 42},
@@ -53,6 +57,16 @@ def make_estimator(model_type: str, hyperparameters: dict[str, Any] | None = Non
         maxDepth=p["max_depth"], seed=p["random_state"], checkpointInterval=10)
 
 
+def in_fixed_order(matrix: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows in partitions and an order that depend on nothing but their values.
+
+    Seeded bagging draws per partition, so a fit repeats only if the same rows share a partition in the same
+    order, whatever files they were read from. Rows equal in all columns are interchangeable.
+    """
+    parts = max(FIT_PARTITIONS, -(-matrix.count() // PARTITION_ROWS))
+    return matrix.repartition(parts, F.xxhash64(*columns)).sortWithinPartitions(*columns)
+
+
 def assembler(columns: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=columns, outputCol=FEATURES, handleInvalid="keep")
 
@@ -129,8 +143,7 @@ class Trainer:
         matrix = encoded.select(
             "_keep.split", f"_keep.{LABEL}",
             *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
-        # Bagging is seeded per partition: fixed partitions and row order make training repeatable.
-        ordered = matrix.sortWithinPartitions("split", LABEL, *features)
+        ordered = in_fixed_order(matrix, ["split", LABEL, *features])
         draw = F.pmod(F.xxhash64(LABEL, *features), F.lit(1_000_000)).alias("_draw")
         vectors = materialise(assembler(features).transform(ordered).select("split", LABEL, FEATURES, draw))
         estimator = make_estimator(self.model_type, self.hyperparameters)
