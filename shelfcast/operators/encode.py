@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.functions.numeric import numeric_columns, string_columns
@@ -51,7 +52,7 @@ class OneHot:
         wide = found.groupBy("column").count().filter(F.col("count") > max_categories).first()
         if wide:
             raise ValueError(
-                f"Column {wide['column']} has {wide['count']} categories; encode it with LabelCodes"
+                f"Column {wide['column']} has {wide['count']} categories; encode it with SparseOneHot or LabelCodes"
             )
         values: dict[str, list[str | None]] = {c: [] for c in columns}
         # At most max_categories values per column reach the driver.
@@ -167,6 +168,81 @@ class LabelCodes:
         return out.select(*[c for c in df.columns if c not in unknown])
 
 
+@dataclass(frozen=True)
+class SparseOneHot:
+    """Dictionary table ``(column, value, index)`` of any number of categories, one index for each.
+
+    Columns follow each other in the given order, each with its sorted values, a missing value last. The
+    dictionary is a table from its fit on: it is neither collected nor broadcast beyond a measured size.
+    """
+
+    table: DataFrame
+    columns: tuple[str, ...]
+    size: int
+
+    @staticmethod
+    def fit(df: DataFrame, columns: Sequence[str]) -> SparseOneHot:
+        from shelfcast.operators.skew import row_positions
+
+        found = distinct_values(df, columns).withColumn("missing", F.col("value").isNull())
+        ranked = row_positions(found, ["column"], ["missing", "value"])
+        sizes = {r["column"]: r["n"] for r in ranked.groupBy("column").agg(
+            F.count(F.lit(1)).alias("n")).collect()}  # one row per column
+        first, firsts = 0, []
+        for c in columns:
+            firsts.append(F.when(F.col("column") == c, F.lit(first)))
+            first += sizes.get(c, 0)
+        index = (F.col("_pos") + F.coalesce(*firsts)).cast("int")
+        return SparseOneHot(materialise(ranked.select("column", "value", index.alias("index"))), tuple(columns), first)
+
+    def transform(self, df: DataFrame, prefix: str = "one_hot") -> DataFrame:
+        """Two columns in place of the encoded ones: ``<prefix>_indices``, ascending, and ``<prefix>_values``.
+
+        A row has one index per encoded column; values that the fit has not seen have none.
+        """
+        rows, out, places = self.table.count(), df, []
+        for i, c in enumerate(c for c in self.columns if c in df.columns):
+            codes = self.table.filter(F.col("column") == c).select(
+                F.col("value").alias(f"_value{i}"), F.col("index").alias(f"_index{i}"))
+            out = out.join(broadcast_if_small(codes, rows), quoted(c).cast("string").eqNullSafe(F.col(f"_value{i}")), "left")
+            places.append(F.col(f"_index{i}"))
+        indices = F.array_sort(F.array_compact(F.array(*places))) if places else F.array().cast("array<int>")
+        kept = [quoted(c) for c in df.columns if c not in self.columns]
+        return out.select(*kept, indices.alias(f"{prefix}_indices"),
+                          F.transform(indices, lambda _: F.lit(1.0)).alias(f"{prefix}_values"))
+
+    def vectors(self, df: DataFrame, name: str = "one_hot") -> DataFrame:
+        """The same as one sparse vector column for MLlib, a block of the vector per encoded column."""
+        coded = self.transform(df, name)
+        size = self.size
+
+        @F.udf(VectorUDT())
+        def sparse(indices, values):
+            return SparseVector(size, indices, values)
+
+        return coded.withColumn(name, sparse(f"{name}_indices", f"{name}_values")).drop(
+            f"{name}_indices", f"{name}_values")
+
+    def save(self, path: str) -> None:
+        self.table.write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, columns: Sequence[str]) -> SparseOneHot:
+        table = spark.read.parquet(path)
+        return SparseOneHot(table, tuple(columns), (table.agg(F.max("index")).first()[0] or -1) + 1)
+
+
+def split_by_width(
+    df: DataFrame, columns: Sequence[str], max_categories: int = MAX_CATEGORIES
+) -> tuple[list[str], list[str]]:
+    """Columns of few categories, which get an indicator each, and wide ones, for a sparse encoding."""
+    if not columns:
+        return [], []
+    sizes = {r["column"]: r["count"] for r in distinct_values(df, columns).groupBy("column").count().collect()}
+    wide = [c for c in columns if sizes.get(c, 0) > max_categories]
+    return [c for c in columns if c not in wide], wide
+
+
 def prepare_matrix(df: DataFrame, date_col: str = "date", codes: LabelCodes | None = None) -> DataFrame:
     """Drop the date, encode strings if codes are given, keep numbers, fill gaps with 0."""
     plain = df.drop(date_col)

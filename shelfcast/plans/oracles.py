@@ -509,7 +509,47 @@ UNION ALL SELECT 'val', CAST(floor(n * 0.15::DOUBLE) AS BIGINT), NULL, 3 FROM n
 UNION ALL SELECT 'test', CAST(n - floor(n * 0.7::DOUBLE) - floor(n * 0.15::DOUBLE) AS BIGINT), NULL, 3 FROM n"""
 ORACLES["feature_importance"] = """SELECT unnest(['product_id', 'quantity_lag_1', 'quantity_lag_7',
   'quantity_roll_mean_7', 'price']) AS feature, 1 AS valid, 1.0::DOUBLE AS total"""
-ORACLES["importance_select"] = "SELECT CAST(range AS INTEGER) AS rank, 1 AS ordered FROM range(1, 5)"
-ORACLES["rfe_select"] = "SELECT 'copy' AS feature"
-ORACLES["batch_scoring"] = f"""SELECT product_id, {stamp('date')} AS date, 1 AS confidence_lower, 1 AS confidence_upper
-FROM ({TRAINING_ROWS})"""
+# Which features an amount depends on, without trees: the one whose bins leave the least variance of the
+# amount, then the one that leaves the least within the bins of the first.
+AMOUNT_RANKS = """WITH binned AS (
+  SELECT row_number() OVER () AS id, l_extendedprice AS y, [ntile(20) OVER (ORDER BY l_discount),
+    ntile(20) OVER (ORDER BY l_quantity), ntile(20) OVER (ORDER BY l_tax), ntile(20) OVER (ORDER BY l_extendedprice / l_quantity),
+    ntile(20) OVER (ORDER BY l_linenumber), ntile(20) OVER (ORDER BY l_partkey), ntile(20) OVER (ORDER BY l_suppkey)] AS bins
+  FROM lineitem),
+long AS (
+  SELECT id, y, unnest(bins) AS bin, unnest(range(1, 8)) AS spot,
+    unnest(['l_discount', 'l_quantity', 'l_tax', 'price', 'l_linenumber', 'l_partkey', 'l_suppkey']) AS feature FROM binned),
+alone AS (
+  SELECT feature, spot, sum(n * v) AS left_over
+  FROM (SELECT feature, spot, bin, count(*) AS n, var_pop(y) AS v FROM long GROUP BY ALL) GROUP BY ALL),
+head AS (SELECT feature, spot FROM alone ORDER BY left_over LIMIT 1),
+joint AS (
+  SELECT feature, spot, sum(n * v) AS left_over
+  FROM (SELECT l.feature, l.spot, l.bin, f.bin AS own, count(*) AS n, var_pop(l.y) AS v
+        FROM long l JOIN long f ON f.id = l.id JOIN head h ON h.feature = f.feature WHERE l.feature <> h.feature GROUP BY ALL)
+  GROUP BY ALL),
+best AS (SELECT 1 AS rank, feature, spot FROM head
+  UNION ALL SELECT * FROM (SELECT 2, feature, spot FROM joint ORDER BY left_over LIMIT 1))"""
+ORACLES["importance_select"] = f"{AMOUNT_RANKS} SELECT rank, feature FROM best"
+ORACLES["rfe_select"] = f"""{AMOUNT_RANKS}
+SELECT CAST(row_number() OVER (ORDER BY spot) AS INTEGER) AS place, feature FROM best"""
+ORACLES["batch_scoring"] = f"""SELECT product_id, {stamp('date')} AS date, 1 AS prediction, 1 AS confidence_lower,
+  1 AS confidence_upper, 1 AS better_than_mean FROM ({TRAINING_ROWS})"""
+
+ORACLES["one_hot_sparse"] = """WITH rows AS (
+  SELECT c_custkey, c_name, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS c_mktsegment FROM customer),
+names AS (SELECT c_name, row_number() OVER (ORDER BY c_name NULLS LAST) - 1 AS at FROM (SELECT DISTINCT c_name FROM rows)),
+segments AS (
+  SELECT c_mktsegment, (SELECT count(*) FROM names) + row_number() OVER (ORDER BY c_mktsegment NULLS LAST) - 1 AS at
+  FROM (SELECT DISTINCT c_mktsegment FROM rows))
+SELECT c_custkey, n.at || ',' || s.at AS indices, '1.0,1.0' AS values
+FROM rows JOIN names n ON n.c_name IS NOT DISTINCT FROM rows.c_name
+JOIN segments s ON s.c_mktsegment IS NOT DISTINCT FROM rows.c_mktsegment"""
+# The last part that holds a customer wins; within it the newest order.
+ORACLES["feature_view_upsert"] = f"""SELECT o_custkey, o_orderkey, {stamp('o_orderdate')} AS o_orderdate,
+  floor((o_totalprice) * 1e4 + 0.5) / 1e4 AS o_totalprice FROM orders
+QUALIFY row_number() OVER (PARTITION BY o_custkey
+  ORDER BY o_orderdate >= TIMESTAMP '1996-01-01' DESC, o_orderdate DESC, o_orderkey DESC, o_totalprice DESC) = 1"""
+ORACLES["isolated_files"] = "SELECT *, 1 AS left_out FROM customer"
+ORACLES["stream_quota_expiring"] = ORACLES["stream_quota_anchored"]
+ORACLES["stream_once_per_id"] = "SELECT DISTINCT l_orderkey, 1 AS in_ledger FROM lineitem"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 from collections.abc import Callable
 from datetime import datetime
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +20,14 @@ from shelfcast.models.store import load_model, production_versions, save_model
 from shelfcast.models.train import Trainer, metrics_table
 from shelfcast.operators import incremental, lookup, metrics, quality, quota, requestlog
 from shelfcast.operators.aggregates import add_group_statistics, add_past_statistics, group_statistics
-from shelfcast.operators.encode import LabelCodes, OneHot, StandardScale, align_columns, prepare_matrix
+from shelfcast.operators.encode import (
+    LabelCodes,
+    OneHot,
+    SparseOneHot,
+    StandardScale,
+    align_columns,
+    prepare_matrix,
+)
 from shelfcast.operators.history import add_history_features
 from shelfcast.operators.horizon import horizon_frame
 from shelfcast.operators.split import time_split
@@ -33,7 +42,9 @@ from shelfcast.plans.tables import (
 )
 from shelfcast.session import materialise, scratch_path, store_table
 from shelfcast.sources import collect, files, kafka, sinks
+from shelfcast.sources.isolate import list_files, read_isolated
 from shelfcast.streaming import jobs
+from shelfcast.streaming.exactly_once import LedgerSink, run_once_per_id
 from shelfcast.streaming.run import run_to_table, run_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,7 +58,7 @@ DAY_LIMIT = 3
 # A low cut so that the chunked path runs on the test tables.
 SMALL_GROUP = 200
 # Models have their full sizes; only the rows that one fit sees are bounded.
-FIT_ROWS, SELECT_ROWS = 20_000, 500
+FIT_ROWS = 20_000
 MODEL_FEATURES = ("quantity_lag_1", "quantity_lag_7", "quantity_roll_mean_7", "price")
 SCORE_WEIGHTS = {"quantity": 0.5, "price": 0.01}
 
@@ -253,6 +264,15 @@ def one_hot(spark: SparkSession, d: str) -> DataFrame:
     return OneHot.fit(orders, ["o_orderstatus", "o_orderpriority"]).transform(orders)
 
 
+@query
+def one_hot_sparse(spark: SparkSession, d: str) -> DataFrame:
+    """Names and segments of customers: as many categories as customers, as indices and values."""
+    rows = table(spark, d, "customer").select(
+        "c_custkey", "c_name", F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    out = SparseOneHot.fit(rows, ["c_name", "c_mktsegment"]).transform(rows)
+    return out.select("c_custkey", *[F.array_join(f"one_hot_{x}", ",").alias(x) for x in ("indices", "values")])
+
+
 @query
 def standard_scale(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select(
@@ -716,6 +736,32 @@ def feature_view(spark: SparkSession, d: str) -> DataFrame:
     return shown(rows.drop("_written_at"))
 
 
+@query
+def feature_view_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Newest order of each customer, written in two overlapping parts; a third part has expired."""
+    path = scratch_path(spark, "live")
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    cut, later = F.lit("1998-01-01").cast("timestamp_ntz"), F.lit("1996-01-01").cast("timestamp_ntz")
+    early, late = orders.filter(F.col("o_orderdate") < cut), orders.filter(F.col("o_orderdate") >= later)
+    order = ["o_orderdate", "o_orderkey", "o_totalprice"]
+    old = early.withColumn("o_custkey", -1 - F.col("o_custkey"))
+    for part, at in ((old, datetime(2024, 1, 1)), (early, datetime(2024, 1, 3, 23)), (late, datetime(2024, 1, 4, 1))):
+        sinks.upsert_feature_view(part, path, "orders", ["o_custkey"], F.lit(at), newest_by=order)
+    rows = sinks.read_live_view(spark, path, "orders", ttl=4 * 3600, now=datetime(2024, 1, 4, 2))
+    return shown(rows.drop("_written_at"))
+
+
+@query
+def isolated_files(spark: SparkSession, d: str) -> DataFrame:
+    """Customers from several files, one of which is no table, and how many files were left out."""
+    path = scratch_path(spark, "mixed")
+    customers = table(spark, d, "customer")
+    customers.repartition(4, "c_custkey").write.parquet(path)
+    customers.select(F.to_json(F.struct("*"))).coalesce(1).write.mode("append").text(path)
+    rows, broken = read_isolated(spark, list_files(spark, path), customers.schema)
+    return rows.drop("_source_file").withColumn("left_out", F.lit(broken.count()))
+
+
 # --- streams ----------------------------------------------------------------------------------
 
 
@@ -757,18 +803,62 @@ ROCKS_KEY = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-@query
-def stream_quota_anchored(spark: SparkSession, d: str) -> DataFrame:
+def _anchored_stream(spark: SparkSession, events: DataFrame, **options) -> DataFrame:
     before = spark.conf.get(ROCKS_KEY, None)
     spark.conf.set(ROCKS_KEY, ROCKS)
     try:
-        log = request_columns(_event_stream(spark, d))
-        rows = run_to_table(jobs.anchored_quota_stream(log, "event_id", DAY_LIMIT, DAY_SECONDS), "anchored")
+        log = request_columns(events)
+        rows = run_to_table(jobs.anchored_quota_stream(log, "event_id", DAY_LIMIT, DAY_SECONDS, **options), "anchored")
     finally:
         spark.conf.unset(ROCKS_KEY) if before is None else spark.conf.set(ROCKS_KEY, before)
     return shown(rows.withColumnRenamed("request_id", "event_id"))
 
 
+@query
+def stream_quota_anchored(spark: SparkSession, d: str) -> DataFrame:
+    return _anchored_stream(spark, _event_stream(spark, d))
+
+
+def _in_time_order(spark: SparkSession, d: str, parts: int = 4) -> DataFrame:
+    """Events as a stream of files, each later than the one before, a batch each."""
+    path = scratch_path(spark, "events")
+    events = table(spark, d, "events")
+    edges = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).agg(
+        F.min("t").alias("a"), F.max("t").alias("b")).first()
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(edges["a"])) * parts
+    part = F.floor(at / F.lit(max(1, edges["b"] - edges["a"] + 1)))
+    # Files are read by age, and one write after the other makes the age follow the time.
+    for i in range(parts):
+        events.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query
+def stream_quota_expiring(spark: SparkSession, d: str) -> DataFrame:
+    """The same windows over several batches, with state that ends when its window has ended."""
+    return _anchored_stream(spark, _in_time_order(spark, d), lateness="1 hour")
+
+
+@query
+def stream_once_per_id(spark: SparkSession, d: str) -> DataFrame:
+    """Order keys of line items in several batches, one of them killed between its rows and its ledger."""
+    path, root = scratch_path(spark, "lines"), scratch_path(spark, "once")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    lines.repartition(4, "l_shipdate").write.parquet(path)
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+    def stop(step: str, batch: int) -> None:
+        if (step, batch) == ("rows", 1):
+            raise InterruptedError("killed on purpose")
+
+    with contextlib.suppress(StreamingQueryException):
+        run_once_per_id(stream, LedgerSink(root, "l_orderkey", after=stop))
+    sink = LedgerSink(root, "l_orderkey")
+    run_once_per_id(stream, sink)
+    held = sink.ledger(spark).select(F.col("id").cast("long").alias("l_orderkey"), F.lit(1).alias("in_ledger"))
+    return sink.rows(spark, lines.schema).select("l_orderkey").join(held, "l_orderkey", "full")
+
+
 @query
 def stream_scoring(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "lineitem").schema
@@ -814,37 +904,50 @@ def feature_importance(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("feature", (F.col("importance") >= 0).cast("int").alias("valid"), total.alias("total"))
 
 
+# An amount is quantity times price; the other columns say nothing about it.
+AMOUNT_FEATURES = ("l_discount", "l_quantity", "l_tax", "price", "l_linenumber", "l_partkey", "l_suppkey")
+# The size of the forests that selection grows here; their rows are those of a fit.
+SELECT_FOREST = {"trees": 20, "depth": 8, "fit_rows": FIT_ROWS}
+
+
+def _amounts(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").withColumn("price", F.try_divide("l_extendedprice", "l_quantity"))
+    return lines.select("l_extendedprice", *AMOUNT_FEATURES)
+
+
 @query
 def importance_select(spark: SparkSession, d: str) -> DataFrame:
-    """Ranks of all features, and whether the order follows the importance."""
-    rows = select_by_importance(
-        _training_rows(spark, d), MODEL_FEATURES, "quantity", len(MODEL_FEATURES), fit_rows=SELECT_ROWS)
-    before = F.lag("importance").over(Window.orderBy("rank"))
-    return rows.withColumn("ordered", F.coalesce(before >= F.col("importance"), F.lit(True)).cast("int")).select(
-        "rank", "ordered")
+    """The two features of seven that an amount depends on, the stronger first."""
+    rows = select_by_importance(_amounts(spark, d), AMOUNT_FEATURES, "l_extendedprice", 2, **SELECT_FOREST)
+    return rows.select("rank", "feature")
 
 
 @query
 def rfe_select(spark: SparkSession, d: str) -> DataFrame:
-    """A feature that repeats the target outlives the others."""
-    rows = _training_rows(spark, d).withColumn("copy", F.col("quantity"))
-    names = eliminate_features(rows, ("quantity_lag_1", "copy", "price"), "quantity", 1, fit_rows=SELECT_ROWS)
-    return rows.limit(1).select(F.lit(names[0]).alias("feature"))
+    """The two features left when the weakest go one by one, with their place in the original order."""
+    rows = _amounts(spark, d)
+    names = eliminate_features(rows, AMOUNT_FEATURES, "l_extendedprice", 2, **SELECT_FOREST)
+    return spark.createDataFrame(list(enumerate(names, start=1)), "place int, feature string")
 
 
 @query
 def batch_scoring(spark: SparkSession, d: str) -> DataFrame:
-    """Train, save, load and score every row with the loaded model; the band is a share of the prediction."""
+    """Train, save, load and score every row with the loaded model: whether it predicts what the trained one does,
+    the band as a share of the prediction, and whether all predictions err less than the mean would."""
     rows = store_table(_training_rows(spark, d), "scoring-rows")
     trained = Trainer("random_forest", tie_break=("product_id",), fit_rows=FIT_ROWS).train(rows)
     path = scratch_path(spark, "model")
     save_model(trained, path)
     loaded = load_model(spark, path)
     filled = rows.na.fill(0.0, [c for c in numeric_columns(rows) if c in MODEL_FEATURES])
-    scored = scoring.score(filled, loaded)
+    scored = store_table(scoring.score(filled, loaded), "scored")
+    own = trained.predict(filled).select("product_id", "date", F.col("prediction").alias("own"))
 
-    def equal(name: str, share: float) -> Column:
-        return (F.abs(F.col(name) - share * F.col("prediction")) < 1e-9).cast("int").alias(name)
+    def equal(name: str, value: Column) -> Column:
+        return (F.abs(F.col(name) - value) < 1e-9).cast("int").alias(name)
 
-    return shown(scored.select(
-        "product_id", "date", equal("confidence_lower", 0.85), equal("confidence_upper", 1.15)))
+    error = scored.agg((F.avg((F.col("quantity") - F.col("prediction")) ** 2) < F.var_pop("quantity")).cast("int")).first()[0]
+    return shown(scored.join(own, ["product_id", "date"]).select(
+        "product_id", "date", equal("prediction", F.col("own")),
+        equal("confidence_lower", 0.85 * F.col("prediction")), equal("confidence_upper", 1.15 * F.col("prediction")),
+        F.lit(error).alias("better_than_mean")))

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.functions.calendar import parse_dates
+from shelfcast.session import store_table
 from shelfcast.sources import files, kafka, paged_api
+from shelfcast.sources.isolate import list_files, read_isolated
 
 log = logging.getLogger(__name__)
 
@@ -45,11 +47,16 @@ def collect_sources(
     sources: list[dict[str, Any]],
     strict: bool = False,
     readers: dict[str, Reader] | None = None,
+    isolate: bool = False,
 ) -> tuple[DataFrame | None, DataFrame]:
     """All sources by name under a ``_source`` column, and a table of the ones that failed.
 
     Building a frame resolves its files and schema, so a missing path or bad setting is caught here.
     Sources of an unknown type are skipped, or raise with ``strict``.
+
+    With ``isolate`` each source is read and stored here, so that one that fails while it is read is listed and
+    does not fail the union. File sources with a schema then lose only the files that cannot be read, each a
+    row of the table of failures.
     """
     known = {**READERS, **(readers or {})}
     frames: list[DataFrame] = []
@@ -61,7 +68,16 @@ def collect_sources(
                 raise ValueError(f"Unknown source type: {kind}")
             continue
         try:
-            frames.append(parse_dates(known[kind](spark, source)).withColumn("_source", F.lit(name)))
+            if isolate and kind == "s3" and source.get("schema") is not None:
+                folder = f"{source['bucket'].rstrip('/')}/{source['prefix'].lstrip('/')}"
+                rows, broken = read_isolated(
+                    spark, list_files(spark, folder, source.get("glob", "*.parquet")), source["schema"])
+                failed += [(name, kind, f"{r['file']}: {r['error']}") for r in broken.collect()]
+                rows = rows.withColumn("_ingestion_timestamp", F.current_timestamp())
+            else:
+                rows = known[kind](spark, source)
+                rows = store_table(rows, f"source-{name}") if isolate else rows
+            frames.append(parse_dates(rows).withColumn("_source", F.lit(name)))
         except Exception as problem:
             log.error("source %s failed: %s", name, problem)
             failed.append((name, kind, str(problem).split("\n")[0]))

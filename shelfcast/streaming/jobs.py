@@ -49,14 +49,18 @@ class AnchoredQuota(StatefulProcessor):
     """Open window of each client: its start and the requests counted so far.
 
     The state is two numbers per client. A micro-batch is bounded by the source's rate setting, and
-    its rows arrive in chunks that are sorted by time before they are counted.
+    its rows arrive in chunks that are sorted by time before they are counted. With ``expire`` a timer stands
+    at the end of the open window; once the watermark has passed it, no request can fall into the window and
+    the client's state is dropped, as the next request opens a new window anyway.
     """
 
-    def __init__(self, limit: int, seconds: int):
+    def __init__(self, limit: int, seconds: int, expire: bool = False):
         self.limit = limit
         self.width = seconds * 1_000_000
+        self.expire = expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.open = handle.getValueState("open", "start bigint, used bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -74,30 +78,51 @@ class AnchoredQuota(StatefulProcessor):
             used += end - at
             at = end
         self.open.update((int(start), int(used)))
+        if self.expire:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            # Timers have milliseconds: the first one not before the window's end.
+            self.handle.registerTimer(-(-(int(start) + self.width) // 1000))
         yield pd.DataFrame({
             "client": key[0], "request_id": pdf["request_id"].to_numpy(), "ts_us": ts,
             "window_start_us": starts, "n": numbers, "over_limit": numbers > self.limit,
         })
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.open.exists():
+            start, _ = self.open.get()
+            # A window opened since has a timer of its own.
+            if expiredTimerInfo.getExpiryTimeInMs() * 1000 >= start + self.width:
+                self.open.clear()
+        yield pd.DataFrame({f.name: [] for f in QUOTA_OUTPUT.fields}).astype(EMPTY_TYPES)
+
     def close(self) -> None:
         pass
 
 
+EMPTY_TYPES = {"client": "object", "request_id": "int64", "ts_us": "int64", "window_start_us": "int64", "n": "int64",
+               "over_limit": "bool"}
+
+
 def anchored_quota_stream(
-    log: DataFrame, request_id: str, limit: int = LIMIT, seconds: int = WINDOW_SECONDS
+    log: DataFrame, request_id: str, limit: int = LIMIT, seconds: int = WINDOW_SECONDS, lateness: str | None = None
 ) -> DataFrame:
     """Anchored quota windows over a stream whose batches are in time order.
 
-    Needs ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB provider.
+    Needs ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB provider. With ``lateness`` the
+    state of a client ends with its window: timers on event time drop it once the watermark, which trails
+    the newest request by that much, has passed. Requests later than that are not counted.
     """
-    rows = log.select(
+    timed = log if lateness is None else event_time(log).withWatermark("ts", lateness)
+    rows = timed.select(
         F.col("client").cast("string").alias("client"),
         F.col(request_id).cast("bigint").alias("request_id"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+        *([] if lateness is None else ["ts"]),
     )
     return rows.groupBy("client").transformWithStateInPandas(
-        statefulProcessor=AnchoredQuota(limit, seconds),
+        statefulProcessor=AnchoredQuota(limit, seconds, lateness is not None),
         outputStructType=QUOTA_OUTPUT,
         outputMode="Append",
-        timeMode="None",
+        timeMode="None" if lateness is None else "EventTime",
     )
