@@ -31,3 +31,22 @@ def horizon_frame(
         *[F.col(f"last.{c}").alias(f"last_{c}") for c in known],
         F.datediff(F.date_add(F.lit(last_day), F.col("horizon")), F.col(f"last.{date_col}")).alias("days_since_last"),
     )
+
+
+def horizon_training(
+    df: DataFrame, keys: Sequence[str], date_col: str = "date", target: str = "quantity",
+    known: Sequence[str] = ("quantity",), days: int = HORIZON_DAYS,
+) -> DataFrame:
+    """Rows to fit a model of all horizons on: for each row and horizon, its known values and the target that
+    many days later.
+
+    The input has one row per key and day. A row is kept for the horizons whose day the key has, so gaps give no
+    labels. Each target row is sent to the days before it: one equi-join, no range join.
+    """
+    days_of = df.withColumn("_day", F.to_date(date_col))
+    labels = days_of.select(*keys, F.col("_day").alias("_target_day"), F.col(target).alias("label")).withColumn(
+        "horizon", F.explode(F.sequence(F.lit(1), F.lit(days)))).withColumn(
+        "_day", F.date_sub(F.col("_target_day"), F.col("horizon")))
+    joined = days_of.select(*keys, "_day", *[F.col(c).alias(f"last_{c}") for c in known]).join(labels, [*keys, "_day"])
+    return joined.select(*keys, "horizon", F.col("_target_day").alias(date_col),
+                         *[f"last_{c}" for c in known], F.col("horizon").alias("days_since_last"), "label")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfcast.operators.incremental import latest_per_key
@@ -20,6 +21,7 @@ from shelfcast.operators.skew import (
 from shelfcast.session import materialise
 
 DEFAULT_VALUE = 0.0
+STORE_BUCKETS = 32
 
 
 def latest_features(store: DataFrame, keys: Sequence[str], ts: str, features: Sequence[str]) -> DataFrame:
@@ -43,6 +45,49 @@ def online_features(
     return joined.select(*rows.columns, *[c.alias(f) for f, c in _or_default(joined, features, default).items()])
 
 
+@dataclass(frozen=True)
+class BucketedStore:
+    """A feature table stored in buckets of its entity, each sorted by entity and time.
+
+    Joins and newest-row aggregations on the entity read the buckets as they are: only the other side is
+    shuffled, to as many partitions.
+    """
+
+    name: str
+    keys: tuple[str, ...]
+    ts: str
+    buckets: int
+
+    @staticmethod
+    def write(
+        store: DataFrame, name: str, keys: Sequence[str], ts: str, buckets: int = STORE_BUCKETS, path: str | None = None
+    ) -> BucketedStore:
+        """Store ``store`` as the table ``name``, at ``path`` if given; rows without an entity are left out.
+
+        Rows go to their bucket before they are written, so that there is one file per bucket and task.
+        """
+        rows = store.filter(~any_null(keys)).repartition(buckets, *keys)
+        writer = rows.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys, ts)
+        (writer.option("path", path) if path else writer).saveAsTable(name)
+        return BucketedStore(name, tuple(keys), ts, buckets)
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        return spark.table(self.name)
+
+    def latest(self, spark: SparkSession, features: Sequence[str]) -> DataFrame:
+        return latest_features(self.rows(spark), self.keys, self.ts, features)
+
+    def online(self, entities: DataFrame, features: Sequence[str], default: float = DEFAULT_VALUE) -> DataFrame:
+        """What :func:`online_features` gives, without a shuffle of the store."""
+        rows = entities.drop(*[f for f in features if f in entities.columns])
+        latest = self.latest(entities.sparkSession, features).hint("merge")
+        joined = rows.join(latest, list(self.keys), "left")
+        return joined.select(*rows.columns, *[c.alias(f) for f, c in _or_default(joined, features, default).items()])
+
+    def drop(self, spark: SparkSession) -> None:
+        spark.sql(f"DROP TABLE IF EXISTS `{self.name}`")
+
+
 def historical_features(
     entities: DataFrame,
     store: DataFrame,

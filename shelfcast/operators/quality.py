@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -183,6 +184,21 @@ def count_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     return df.agg(*counted).select(F.explode(F.array(*items)).alias("x")).select("x.*")
 
 
+def write_counted(df: DataFrame, checks: Sequence[Check], path: str, mode: str = "errorifexists") -> DataFrame:
+    """Write the rows as Parquet and return the counters of the checks, in the form of :func:`count_checks`.
+
+    The counters are gathered as observed metrics while the rows pass to the files: the input is read once, and
+    no job beside the write runs. They speak of exactly the rows written.
+    """
+    observation = Observation(f"checks-{uuid.uuid4().hex}")
+    counted = [F.count(F.lit(1)).alias("rows")] + [
+        F.count_if(c.offending).alias(f"c{i}") for i, c in enumerate(checks) if c.offending is not None]
+    df.observe(observation, *counted).write.mode(mode).parquet(path)
+    found = observation.get
+    rows = [(c.rule, c.column, found.get(f"c{i}"), found["rows"]) for i, c in enumerate(checks)]
+    return df.sparkSession.createDataFrame(rows, "rule string, column string, offending long, rows long")
+
+
 def run_checks(df: DataFrame, checks: Sequence[Check], warn_empty: bool = True) -> ValidationResult:
     """Evaluate all checks in one pass; an empty frame is a warning, not an error."""
     result = ValidationResult()

@@ -45,21 +45,26 @@ def latency_histogram(log: DataFrame, buckets: Sequence[float] = LATENCY_BUCKETS
     )
 
 
-def active_requests(log: DataFrame, grain: str = "second") -> DataFrame:
-    """Open requests after each second in which one starts or ends.
+def request_edges(log: DataFrame, grain: str = "second") -> DataFrame:
+    """``at, change``: one more open request at each start, one less at each end; batch or streaming.
 
-    Starts and ends shrink to one change per second, then to one per day. The running sum goes over
-    days (one row each) and inside each day, so no task sees the whole time line. A request without a
-    latency has started and not ended; one without a time is left out.
+    A request without a latency has started and not ended; one without a time is left out.
     """
     end = F.timestamp_add("MICROSECOND", F.round(F.col("latency_s") * 1_000_000).cast("bigint"), F.col("ts"))
     edge = F.explode(F.array(
         F.struct(F.col("ts").alias("at"), F.lit(1).alias("change")),
         F.struct(end.alias("at"), F.lit(-1).alias("change")),
     )).alias("e")
-    edges = log.filter(F.col("ts").isNotNull()).select(edge).filter("e.at is not null").select(
-        F.date_trunc(grain, "e.at").alias("at"), "e.change")
-    changes = edges.groupBy("at").agg(F.sum("change").alias("change")).withColumn("day", F.to_date("at"))
+    edges = log.filter(F.col("ts").isNotNull()).select(edge).filter("e.at is not null")
+    return edges.select(F.date_trunc(grain, "e.at").alias("at"), "e.change")
+
+
+def running_gauge(changes: DataFrame) -> DataFrame:
+    """``at, change, active`` from the change at each time.
+
+    The running sum goes over days (one row each) and inside each day, so no task sees the whole time line.
+    """
+    changes = changes.withColumn("day", F.to_date("at"))
     days = changes.groupBy("day").agg(F.sum("change").alias("change"))
     before_day = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.select("day", F.coalesce(F.sum("change").over(before_day), F.lit(0)).alias("before"))
@@ -68,6 +73,12 @@ def active_requests(log: DataFrame, grain: str = "second") -> DataFrame:
     return running.join(days, "day").select("at", "change", (F.col("before") + F.col("running")).alias("active"))
 
 
+def active_requests(log: DataFrame, grain: str = "second") -> DataFrame:
+    """Open requests after each second in which one starts or ends; starts and ends first shrink to one change
+    per second."""
+    return running_gauge(request_edges(log, grain).groupBy("at").agg(F.sum("change").alias("change")))
+
+
 def quota_usage(log: DataFrame, limit: int = LIMIT, seconds: int = WINDOW_SECONDS) -> DataFrame:
     """Requests per client and aligned window, with the remaining quota; batch or streaming."""
     counts = log.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "client").agg(

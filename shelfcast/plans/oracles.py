@@ -553,3 +553,29 @@ QUALIFY row_number() OVER (PARTITION BY o_custkey
 ORACLES["isolated_files"] = "SELECT *, 1 AS left_out FROM customer"
 ORACLES["stream_quota_expiring"] = ORACLES["stream_quota_anchored"]
 ORACLES["stream_once_per_id"] = "SELECT DISTINCT l_orderkey, 1 AS in_ledger FROM lineitem"
+ORACLES["quality_counts_at_load"] = ORACLES["quality_counts"]
+ORACLES["daily_latency_quantiles"] = f"""WITH {REQUESTS}
+SELECT endpoint, {day("ts::DATE")} AS day, count(*) AS n, floor((min(latency_s)) * 1e6 + 0.5) / 1e6 AS least,
+  floor((max(latency_s)) * 1e6 + 0.5) / 1e6 AS most, 1 AS p50_in_bound, 1 AS p95_in_bound
+FROM requests GROUP BY endpoint, ts::DATE"""
+ORACLES["rolling_distinct_exact"] = f"""WITH days AS (
+  SELECT DISTINCT l_partkey AS product_id, l_shipdate::DATE AS date, l_suppkey AS store_id FROM lineitem)
+SELECT a.product_id, {day('a.date')} AS date, count(DISTINCT b.store_id) AS "distinct"
+FROM (SELECT DISTINCT product_id, date FROM days) a
+JOIN days b ON b.product_id = a.product_id AND b.date BETWEEN a.date - 6 AND a.date GROUP BY a.product_id, a.date"""
+ORACLES["rolling_distinct_sketch"] = f"""WITH days AS (
+  SELECT DISTINCT l_linestatus, l_shipdate::DATE AS date, l_partkey FROM lineitem),
+spread AS (SELECT DISTINCT l_linestatus, date + CAST(i AS INTEGER) AS date, l_partkey FROM days, range(0, 7) t(i))
+SELECT l_linestatus, {day('date')} AS date, count(*) AS products, 1 AS in_bound
+FROM spread SEMI JOIN (SELECT DISTINCT l_linestatus, date FROM days) d USING (l_linestatus, date)
+GROUP BY l_linestatus, date"""
+ORACLES["stream_active_requests"] = ORACLES["active_requests"]
+ORACLES["bucketed_lookup"] = ORACLES["online_lookup"]
+ORACLES["horizon_labels"] = f"""WITH {STORE_DAILY}
+SELECT CAST(h AS INTEGER) AS horizon, count(*) AS rows, floor((sum(b.quantity)) * 1e2 + 0.5) / 1e2 AS labels,
+  floor((sum(a.quantity)) * 1e2 + 0.5) / 1e2 AS last
+FROM daily a, range(1, 31) t(h) JOIN daily b ON b.store_id = a.store_id AND b.date = a.date + to_days(CAST(h AS INTEGER))
+GROUP BY h"""
+ORACLES["horizon_model"] = f"""WITH {STORE_DAILY}, {LAST.format(key='store_id')}
+SELECT store_id, CAST(horizon AS INTEGER) AS horizon, {day('d + CAST(horizon AS INTEGER)')} AS date, 1 AS same
+FROM last, steps, final"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -18,7 +19,7 @@ from shelfcast.models import score as scoring
 from shelfcast.models.select import eliminate_features, select_by_correlation, select_by_importance
 from shelfcast.models.store import load_model, production_versions, save_model
 from shelfcast.models.train import Trainer, metrics_table
-from shelfcast.operators import incremental, lookup, metrics, quality, quota, requestlog
+from shelfcast.operators import incremental, lookup, metrics, quality, quota, requestlog, sketches
 from shelfcast.operators.aggregates import add_group_statistics, add_past_statistics, group_statistics
 from shelfcast.operators.encode import (
     LabelCodes,
@@ -29,7 +30,7 @@ from shelfcast.operators.encode import (
     prepare_matrix,
 )
 from shelfcast.operators.history import add_history_features
-from shelfcast.operators.horizon import horizon_frame
+from shelfcast.operators.horizon import horizon_frame, horizon_training
 from shelfcast.operators.split import time_split
 from shelfcast.plans.features import FeatureConfig, fit_features, unscaled_features
 from shelfcast.plans.tables import (
@@ -373,6 +374,32 @@ def horizon_scores(spark: SparkSession, d: str) -> DataFrame:
         "store_id", "horizon", "date", "prediction", "confidence_lower", "confidence_upper"))
 
 
+@query
+def horizon_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and labels of each horizon that a model of all horizons is fitted on."""
+    rows = horizon_training(sales_daily(spark, d, "store_id"), ["store_id"], known=("quantity", "price"))
+    return shown(rows.groupBy("horizon").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("label").alias("labels"), F.sum("last_quantity").alias("last")), 2)
+
+
+@query
+def horizon_model(spark: SparkSession, d: str) -> DataFrame:
+    """All horizons of each store scored by a saved and loaded model: whether the score is the model's own."""
+    daily = store_table(sales_daily(spark, d, "store_id"), "store-days")
+    training = horizon_training(daily, ["store_id"], known=("quantity", "price"))
+    trainer = Trainer("random_forest", target="label", tie_break=("store_id", "horizon"), fit_rows=FIT_ROWS,
+                      hyperparameters={"n_estimators": 10, "max_depth": 5})
+    # A tenth of the days, drawn by their date, is enough to fit the bounded number of rows.
+    trained = trainer.train(training.filter(F.xxhash64("date") % 10 == 0))
+    path = scratch_path(spark, "horizon-model")
+    save_model(trained, path)
+    frame = store_table(horizon_frame(daily, ["store_id"], known=("quantity", "price")), "horizon-frame")
+    scored = scoring.model_scorer(load_model(spark, path))(frame).select("store_id", "horizon", "date", "prediction")
+    own = trained.predict(frame).select("store_id", "horizon", F.col("prediction").alias("own"))
+    same = (F.abs(F.col("prediction") - F.col("own")) < 1e-9).cast("int")
+    return shown(scored.join(own, ["store_id", "horizon"]).select("store_id", "horizon", "date", same.alias("same")))
+
+
 # --- validation -------------------------------------------------------------------------------
 
 CUSTOMER_RULES = [
@@ -415,6 +442,14 @@ def quality_history(spark: SparkSession, d: str) -> DataFrame:
     return newest.select("stage", F.col("metadata")["row_count"].alias("row_count"))
 
 
+@query
+def quality_counts_at_load(spark: SparkSession, d: str) -> DataFrame:
+    """The same counters, gathered while the rows are written."""
+    rows = _accounts(spark, d)
+    checks = quality.configured_checks(rows, CUSTOMER_RULES)
+    return quality.write_counted(rows, checks, scratch_path(spark, "loaded"))
+
+
 @query
 def tagged_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = _accounts(spark, d)
@@ -488,6 +523,18 @@ def ledger_update(spark: SparkSession, d: str) -> DataFrame:
 # --- feature lookup and scoring ---------------------------------------------------------------
 
 
+@query
+def bucketed_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The newest features of all parts from a store in buckets of the product."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), "p_brand")
+    name = f"daily_store_{uuid.uuid4().hex}"
+    store = lookup.BucketedStore.write(
+        sales_daily(spark, d), name, ["product_id"], "date", 8, scratch_path(spark, "bucketed"))
+    found = store_table(store.online(parts, ["quantity", "price", "stock"]), "looked-up")
+    store.drop(spark)
+    return shown(found)
+
+
 @query
 def online_lookup(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), "p_brand")
@@ -657,6 +704,44 @@ def quota_remaining(spark: SparkSession, d: str) -> DataFrame:
     return shown(quota.remaining_quota(log, windows, "2024-01-15 12:00:00", DAY_LIMIT, DAY_SECONDS))
 
 
+@query
+def daily_latency_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Median and 95th percentile per endpoint and day, merged from sketches stored per hour: whether the rank of
+    each among the day's requests is within the stated error."""
+    log = requests(spark, d).withColumn("hour", F.date_trunc("hour", "ts"))
+    hourly = store_table(sketches.quantile_sketches(log, "latency_s", ["endpoint", "hour"]), "hourly")
+    daily = sketches.merged_quantiles(
+        hourly.withColumn("day", F.to_date("hour")), ["endpoint", "day"], {"p50": 0.5, "p95": 0.95})
+    rows = log.select("endpoint", F.to_date("ts").alias("day"), "latency_s").join(daily, ["endpoint", "day"])
+    shares = [("p50", 0.5), ("p95", 0.95)]
+    ranks = rows.groupBy("endpoint", "day", "n", "least", "most").agg(*[
+        F.count_if(c).alias(f"{name}_{p}") for p, _ in shares
+        for name, c in (("below", F.col("latency_s") < F.col(p)), ("upto", F.col("latency_s") <= F.col(p)))])
+    # A value has all the ranks of its ties; a quantile of n values is right within one value.
+    slack = F.lit(sketches.RANK_ERROR) + 1 / F.col("n")
+    return shown(ranks.select("endpoint", "day", "n", "least", "most", *[
+        ((F.col(f"below_{p}") / F.col("n") <= q + slack) & (F.col(f"upto_{p}") / F.col("n") >= q - slack)).cast(
+            "int").alias(f"{p}_in_bound") for p, q in shares]), 6)
+
+
+@query
+def rolling_distinct_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Different stores that sold each product in the seven days up to each of its days."""
+    return shown(sketches.rolling_distinct(sales_rows(spark, d), "store_id", ["product_id"], exact=True))
+
+
+@query
+def rolling_distinct_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """Different products sold in the seven days up to each day, from one sketch per day: whether the estimate is
+    within four standard errors of the exact number."""
+    rows = table(spark, d, "lineitem").select("l_linestatus", "l_partkey", F.col("l_shipdate").alias("date"))
+    exact = sketches.rolling_distinct(rows, "l_partkey", ["l_linestatus"], exact=True, name="products")
+    about = sketches.rolling_distinct(rows, "l_partkey", ["l_linestatus"], name="estimate")
+    bound = 4 * 1.04 / 2 ** (sketches.DISTINCT_BITS / 2)
+    near = (F.abs(F.col("estimate") - F.col("products")) <= bound * F.col("products") + 1).cast("int")
+    return shown(exact.join(about, ["l_linestatus", "date"]).withColumn("in_bound", near).drop("estimate"))
+
+
 @query
 def service_kpis(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.service_kpis(requests(spark, d), "ts", "latency_s", ["endpoint"]))
@@ -793,6 +878,14 @@ def stream_request_counts(spark: SparkSession, d: str) -> DataFrame:
     return shown(run_totals(flat, "counts", ["method", "endpoint", "status", "hour"]))
 
 
+@query
+def stream_active_requests(spark: SparkSession, d: str) -> DataFrame:
+    """The gauge of open requests from changes kept as state, over several batches in time order."""
+    log = request_columns(_in_time_order(spark, d)).withColumn("latency_s", F.col("latency_s") * 10_000)
+    changes = run_totals(jobs.gauge_changes(log, lateness="30 days"), "gauge", ["at"])
+    return shown(requestlog.running_gauge(changes))
+
+
 @query
 def stream_quota(spark: SparkSession, d: str) -> DataFrame:
     usage = jobs.windowed_quota(request_columns(_event_stream(spark, d)), DAY_LIMIT, DAY_SECONDS)

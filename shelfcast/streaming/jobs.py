@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from shelfcast.operators.requestlog import LIMIT, WINDOW_SECONDS, quota_usage, request_counts
+from shelfcast.operators.requestlog import LIMIT, WINDOW_SECONDS, quota_usage, request_counts, request_edges
 
 LATENESS = "1 hour"
 
@@ -31,6 +31,16 @@ def windowed_counts(log: DataFrame, window: str, lateness: str = LATENESS) -> Da
     return request_counts(event_time(log).withWatermark("ts", lateness), window)
 
 
+def gauge_changes(log: DataFrame, grain: str = "second", lateness: str = LATENESS) -> DataFrame:
+    """Change of the number of open requests at each second of event time, kept as state per second.
+
+    A request's end may lie far ahead of the batch that brings it: its second waits in the state until the
+    watermark, which follows starts and ends alike, has passed it. ``running_gauge`` makes the gauge of them.
+    """
+    edges = request_edges(event_time(log), grain).withWatermark("at", lateness)
+    return edges.groupBy("at").agg(F.sum("change").alias("change"))
+
+
 def windowed_quota(log: DataFrame, limit: int, seconds: int, lateness: str = LATENESS) -> DataFrame:
     return quota_usage(event_time(log).withWatermark("ts", lateness), limit, seconds)
 
