@@ -42,6 +42,18 @@ def read_prefix(spark: SparkSession, path: str, schema: T.StructType | None = No
     return with_provenance((reader.schema(schema) if schema else reader).parquet(path))
 
 
+def list_entries(spark: SparkSession, path: str) -> DataFrame:
+    """``path``: names of the files and folders directly below a folder that hold any file.
+
+    A table may be one file or a folder of part files; either way it is one entry.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    below = F.substring_index(F.expr(f"substr(path, {len(root.rstrip('/')) + 2})"), "/", 1)
+    return found.select(below.alias("path")).distinct()
+
+
 def read_split(spark: SparkSession, root: str, dataset: str, split: str = "train", fmt: str = "parquet") -> DataFrame:
     """One split of a sharded dataset laid out as ``root/dataset/split/*``."""
     return spark.read.format(fmt).load(f"{root.rstrip('/')}/{dataset}/{split}")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfcast.operators import incremental, quality
+from shelfcast.plans.queries import QUERIES
 from shelfcast.sources.sinks import append_results, newest_results
 
 
@@ -182,6 +183,16 @@ def test_new_files(spark):
     assert [r.path for r in incremental.new_files(listing, ledger).collect()] == ["b.parquet"]
 
 
+def test_new_files_of_tables_stored_as_folders(spark, tmp_path):
+    rows = spark.range(10).repartition(3)
+    for name in ("part", "orders", "region"):
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    (tmp_path / "lineitem.parquet").write_bytes(b"PAR1")
+    (tmp_path / "notes.txt").write_text("no table")
+    got = QUERIES["new_files"](spark, f"{tmp_path}/").collect()
+    assert sorted(r.path for r in got) == ["lineitem.parquet", "orders.parquet", "region.parquet"]
+
+
 def test_latest_per_key(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, t int, v string")
     assert sorted(r.v for r in incremental.latest_per_key(df, ["k"], ["t"]).collect()) == ["y", "z"]
