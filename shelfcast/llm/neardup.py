@@ -19,8 +19,10 @@ SHINGLE_WORDS = 5
 COORDINATES = 128
 TREES = 10
 DEPTH = 2
-# Nodes above this many sets branch further; after MAX_DEPTH levels they are cut into blocks that share a set.
+# Nodes above this many sets branch further; after MAX_DEPTH levels they are compared in pairs of blocks, which hold
+# BLOCK_NODES times as many sets at most.
 NODE_ROWS = 2048
+BLOCK_NODES = 8
 MAX_DEPTH = 12
 # Standard errors that an estimate may lie below the threshold and still be confirmed.
 MARGIN = 3.5
@@ -256,15 +258,13 @@ def _in_nodes(paths: DataFrame, sketches: DataFrame, need: int, extra: float, li
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
-    # What is still too large after all levels is cut into blocks; the node's first set is in each.
-    blocks = F.ceil(F.col("n") / limit).cast("int")
-    oversize = rows.filter(F.col("n") > limit)
-    heads = oversize.groupBy("path").agg(F.min("node").alias("head"))
-    cut = oversize.join(heads, "path").withColumn("block", F.explode(
-        F.when(F.col("node") == F.col("head"), F.sequence(F.lit(0), blocks - 1))
-        .otherwise(F.array(F.pmod(F.xxhash64("node"), blocks).cast("int")))))
+    # What is still too large after all levels is cut into blocks, and every two blocks are compared.
+    blocks = F.ceil(2 * F.col("n") / (BLOCK_NODES * limit))
+    cut = rows.filter(F.col("n") > limit).withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    pair = F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other"))
     rows = rows.filter(F.col("n") <= limit).select("path", "node").unionByName(
-        cut.select(F.xxhash64("path", "block").alias("path"), "node"))
+        cut.select(pair.alias("path"), "node"))
     placed = rows.join(sketches, "node").select("path", "node", "sketch")
     return placed.repartition(parts, "path").sortWithinPartitions("path").mapInArrow(
         _similar_sketches(need), "a long, b long").distinct()
@@ -284,7 +284,8 @@ def near_duplicates(
     1. Equal sets are found by a 128-bit digest; one set of each stands for all of them.
     2. Each set follows ``trees`` independent paths, ``depth`` levels deep: a node chooses coordinates, and
        the set's minwise token there leads to the child. Pairs above the threshold share a child of each
-       node once on average, others rarely. Nodes with more than ``node_rows`` sets branch on.
+       node once on average, others rarely. Nodes with more than ``node_rows`` sets branch on; those still larger
+       after ``max_depth`` levels are compared whole, in pairs of blocks.
     3. Inside nodes, sketches are compared exhaustively; links with an estimate of at least the threshold
        less 3.5 standard errors join sets into groups.
     4. Inside groups, full sets are compared exhaustively. Groups above the limits are compared in pairs of

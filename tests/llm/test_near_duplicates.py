@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from shelfcast.llm.components import components
-from shelfcast.llm.neardup import drop_near_duplicates, near_duplicates
+from shelfcast.llm.neardup import COORDINATES, _in_nodes, drop_near_duplicates, near_duplicates
 
 
 def sets_of(text):
@@ -61,6 +62,15 @@ def test_components_equal_brute_force(documents, options):
         k for k, r in got.items() if r.component == k}
 
 
+def test_nodes_too_large_at_the_depth_limit_lose_no_link(spark):
+    rng = np.random.default_rng(3)
+    sketches = rng.integers(0, 1 << 16, (150, COORDINATES), dtype=np.uint16).repeat(2, axis=0)  # 150 equal pairs
+    sets = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sketches)], "node long, sketch binary")
+    paths = sets.selectExpr("1L AS path", "node")
+    links = {(r.a, r.b) for r in _in_nodes(paths, sets, 100, 0.2, 3, 0).collect()}
+    assert links == {(i, i + 1) for i in range(0, 300, 2)}
+
+
 def test_null_keys_repeated_rows_and_dropping(documents):
     rows = [(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (4, "other words stand in this row"),
             (6, ""), (6, ""), (7, None)]
