@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfcast.operators.skew import any_null
+
 # Fixed value: stated forecast horizon in days.
 HORIZON_DAYS = 30
 
@@ -41,12 +43,16 @@ def horizon_training(
     many days later.
 
     The input has one row per key and day. A row is kept for the horizons whose day the key has, so gaps give no
-    labels. Each target row is sent to the days before it: one equi-join, no range join.
+    labels. Each row collects the at most ``days`` targets after it from a window of its key: rows are shuffled
+    once, not once per horizon.
     """
-    days_of = df.withColumn("_day", F.to_date(date_col))
-    labels = days_of.select(*keys, F.col("_day").alias("_target_day"), F.col(target).alias("label")).withColumn(
-        "horizon", F.explode(F.sequence(F.lit(1), F.lit(days)))).withColumn(
-        "_day", F.date_sub(F.col("_target_day"), F.col("horizon")))
-    joined = days_of.select(*keys, "_day", *[F.col(c).alias(f"last_{c}") for c in known]).join(labels, [*keys, "_day"])
+    dated = df.withColumn("_day", F.to_date(date_col))
+    dated = dated.filter(~any_null([*keys, "_day"]))
+    following = Window.partitionBy(*keys).orderBy(F.unix_date("_day")).rangeBetween(1, days)
+    targets = F.collect_list(F.struct(F.col("_day").alias("day"), F.col(target).alias("label"))).over(following)
+    rows = dated.select(*keys, "_day", *[F.col(c).alias(f"last_{c}") for c in known], targets.alias("_targets"))
+    joined = rows.withColumn("_target", F.explode("_targets")).select(
+        *keys, *[f"last_{c}" for c in known], F.col("_target.day").alias("_target_day"),
+        F.col("_target.label").alias("label"), F.date_diff("_target.day", "_day").alias("horizon"))
     return joined.select(*keys, "horizon", F.col("_target_day").alias(date_col),
                          *[f"last_{c}" for c in known], F.col("horizon").alias("days_since_last"), "label")

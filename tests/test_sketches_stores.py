@@ -85,6 +85,15 @@ def test_horizon_training_labels(spark):
     assert got == sorted(want)
 
 
+def test_horizon_training_shuffles_rows_once(spark):
+    rows = [(k, datetime(2024, 1, 1) + timedelta(days=3 * d), 1.0) for k in (1, None) for d in range(40)]
+    df = spark.createDataFrame([*rows, (1, None, 5.0)], "k int, date timestamp, quantity double")
+    training = horizon_training(df, ["k"], days=30)
+    plan = training._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan  # no copy per horizon is shuffled
+    assert training.count() == sum(min(10, 39 - d) for d in range(40))
+
+
 def test_streamed_gauge_equals_the_batch(spark, tmp_path):
     begin = datetime(2024, 1, 1)
     rows = [(i, begin + timedelta(minutes=7 * i), None if i % 11 == 0 else 60.0 * (i % 50)) for i in range(400)] + [(999, None, 1.0)]
