@@ -113,6 +113,17 @@ def test_stream_join_without_broadcast(spark, tmp_path):
     assert "_salt" not in joined.columns
 
 
+def test_a_large_table_is_not_copied_for_a_stream(spark, tmp_path):
+    src = str(tmp_path / "in")
+    requests(spark, 50).write.parquet(src)
+    table = spark.createDataFrame([(c, 1) for c in "abcdefgh"], "client string, v int")
+    schema = requests(spark, 1).schema
+    for salts, copies in ((None, 0), (4, 1)):
+        joined = join_stream_per_key(stream(spark, src, schema), table, 8, ["client"], salts, limit=0)
+        assert joined._jdf.queryExecution().analyzed().toString().count("Generate explode") == copies
+        assert run_to_table(joined, "joined").filter("v = 1").count() == 50
+
+
 def test_corrupt_files_can_be_skipped(spark, tmp_path):
     src = tmp_path / "in"
     spark.range(5).coalesce(1).write.parquet(str(src))
