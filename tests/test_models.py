@@ -4,7 +4,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from shelfcast.models import forest as forest_module
 from shelfcast.models import score as scoring
+from shelfcast.models import train as train_module
 from shelfcast.models.select import (
     correlations,
     impute_means,
@@ -12,7 +14,7 @@ from shelfcast.models.select import (
     select_features,
 )
 from shelfcast.models.store import load_model, load_production, production_versions, save_model
-from shelfcast.models.train import DEFAULTS, Trainer, make_estimator, metrics_table
+from shelfcast.models.train import DEFAULTS, Trainer, assembler, make_estimator, metrics_table
 
 SMALL = {"n_estimators": 4, "max_depth": 3}
 
@@ -141,3 +143,32 @@ def test_correlations(spark):
 def test_mean_imputation(spark):
     df = spark.createDataFrame([(1.0, 1), (None, 2), (3.0, None)], "a double, b int")
     assert sorted((r.a, r.b) for r in impute_means(df, ["a", "b"]).collect()) == [(1.0, 1.0), (2.0, 2.0), (3.0, 1.5)]
+
+
+@pytest.mark.parametrize("kind", ["random_forest", "gradient_boosting"])
+def test_trees_over_arrays_predict_what_mllib_does(spark, rows, kind):
+    trained = Trainer(kind, hyperparameters={"n_estimators": 7, "max_depth": 6}).train(rows)
+    edges = [(float(x), float(y), z, 0.0, 0.0) for x, y in zip(trained.forest.thresholds[1:], trained.forest.thresholds[:0:-1])
+             for z in (None, float("nan"), -1.5)]
+    names = [f"_{c}" for c in trained.features]
+    odd = spark.createDataFrame(edges, ", ".join(f"{c} double" for c in names))
+    got = trained.with_prediction(odd, names).select("prediction").collect()
+    want = trained.model.transform(assembler(names).transform(odd)).select("prediction").collect()
+    assert len(got) == len(edges) and len({r.prediction for r in got}) > 5
+    assert [r.prediction for r in got] == pytest.approx([r.prediction for r in want], rel=1e-12)
+
+
+def test_very_deep_trees_are_left_to_mllib(rows):
+    trained = Trainer("random_forest", hyperparameters={"n_estimators": 1, "max_depth": 3}).train(rows)
+    assert trained.forest.leaves[0].size == 8
+    deep = [(0, float(i)) for i in range(14)]
+    assert forest_module._depth([*deep, *[1.0] * 15]) == 14 > forest_module.MAX_DEPTH
+
+
+def test_only_fitted_rows_are_put_in_order(spark, rows, monkeypatch):
+    ordered = []
+    whole = train_module.in_fixed_order
+    monkeypatch.setattr(train_module, "in_fixed_order", lambda m, c: ordered.append(m.count()) or whole(m, c))
+    numbers = rows.drop("product_id")
+    trained = Trainer("random_forest", hyperparameters=SMALL, fit_rows=50).train(numbers)
+    assert 20 < ordered[0] < 90 and trained.metrics.agg(F.sum("n")).first()[0] == 200
