@@ -17,8 +17,9 @@ from shelfcast.operators.skew import (
     broadcast_if_small,
     chunk_hot_groups,
     join_per_key,
+    spread,
 )
-from shelfcast.session import materialise
+from shelfcast.session import materialise, store_table
 
 DEFAULT_VALUE = 0.0
 STORE_BUCKETS = 32
@@ -108,34 +109,42 @@ def historical_features(
     stored, payload = "_stored", "_request"
     values = F.struct(*[F.col(f) for f in features])
     side = "_side"  # store rows come first at equal times
+    kept = [c for c in entities.columns if c not in features]
+    # Keys and time stand in their own columns already, unless both sides have to agree on another type.
+    own = {k: k for k in keys if entities.schema[k].dataType == store.schema[k].dataType and k in kept}
+    if entities.schema[entity_ts].dataType == store.schema[store_ts].dataType:
+        own[entity_ts] = "_ts"
+    carried = [F.lit(True).alias("_is"), *[F.col(c) for c in kept if c not in own]]
     left = entities.select(
-        *keys, F.col(entity_ts).alias("_ts"), F.lit(1).alias(side),
-        F.struct(*entities.columns).alias(payload))
+        *keys, F.col(entity_ts).alias("_ts"), F.lit(1).alias(side), F.struct(*carried).alias(payload))
     right = store.filter(~any_null(keys) & F.col(store_ts).isNotNull()).select(
         *keys, F.col(store_ts).alias("_ts"), F.lit(0).alias(side), values.alias(stored))
-    both = left.unionByName(right, allowMissingColumns=True)
+    # Stored, because group sizes and rows would each compute both sides again.
+    both = store_table(left.unionByName(right, allowMissingColumns=True), "history")
+    n = both.count()
     parts, order = list(keys), ["_ts", side, stored]
     chunked = chunk_hot_groups(both, keys, order, max_rows, strict=False)
     rows = both if chunked is None else chunked.rows
     if chunked is not None:
         parts, order = [*parts, CHUNK], [*order, POSITION]
     so_far = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.withColumn("_found", F.last(stored, ignorenulls=True).over(so_far))
+    seen = spread(rows, n, parts).withColumn("_found", F.last(stored, ignorenulls=True).over(so_far))
     if chunked is not None:
         carry = _last_before_chunk(rows, list(keys), stored)
         seen = seen.join(broadcast_if_small(carry, carry.count()), [*keys, CHUNK], "left")
         seen = seen.withColumn("_found", F.coalesce("_found", "_carried"))
     known = ~any_null(keys) & F.col("_ts").isNotNull()
-    out = seen.filter(F.col(side) == 1).select(payload, F.when(known, F.col("_found")).alias("_found"))
+    whole = list(dict.fromkeys([*own.values(), payload]))
+    out = seen.filter(F.col(side) == 1).select(*whole, F.when(known, F.col("_found")).alias("_found"))
     if chunked is not None and chunked.unkeyed is not None:
-        out = out.unionByName(chunked.unkeyed.select(payload), allowMissingColumns=True)
-    kept = [c for c in entities.columns if c not in features]
+        unkeyed = chunked.unkeyed.filter(F.col(side) == 1)
+        out = out.unionByName(unkeyed.select(*whole), allowMissingColumns=True)
 
     def value(f: str) -> Column:
         c = F.col(f"_found.{f}")
         return (c if default is None else F.coalesce(c, F.lit(default))).alias(f)
 
-    return out.select(*[F.col(f"{payload}.{c}").alias(c) for c in kept], *[value(f) for f in features])
+    return out.select(*[F.col(own.get(c, f"{payload}.{c}")).alias(c) for c in kept], *[value(f) for f in features])
 
 
 def _last_before_chunk(rows: DataFrame, keys: list[str], stored: str) -> DataFrame:

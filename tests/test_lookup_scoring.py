@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfcast.models import score as scoring
+from shelfcast.operators import lookup as lookup_module
+from shelfcast.operators import skew
 from shelfcast.operators.lookup import historical_features, online_features
 
 DAY = datetime(2024, 1, 1)
@@ -116,3 +118,33 @@ def test_request_scoring(spark):
     own = scoring.score_requests(requests, store(spark), scorer, ["f1"], "3", ("product_id",), ts="ts",
                                  use_request_features=True)
     assert {r.product_id: r.predicted_quantity for r in own.collect()} == {"p1": 15.0, "zz": 1.0}
+
+
+def test_lookup_bounds_the_rows_of_a_task(spark, monkeypatch):
+    """The partitions of the ordered window grow with the rows, also where the session has few."""
+    rows = [(i % 50, datetime(2024, 1, 1) + timedelta(hours=i), float(i)) for i in range(400)]
+    store = spark.createDataFrame(rows, "k int, at timestamp, v double")
+    entities = spark.createDataFrame([(k, t + timedelta(minutes=30), i) for i, (k, t, _) in enumerate(rows)],
+                                     "k int, ts timestamp, id int")
+    usual = historical_features(entities, store, ["k"], "ts", "at", ["v"])
+    monkeypatch.setattr(lookup_module, "spread", lambda df, n, by: skew.spread(df, n, by, task_rows=40))
+    got = historical_features(entities, store, ["k"], "ts", "at", ["v"])
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert got.columns == usual.columns == ["k", "ts", "id", "v"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, usual.collect())) and got.filter("v = id").count() == 400
+
+
+def test_chunked_lookup_computes_its_input_once(spark, monkeypatch):
+    rows = [(i % 3, datetime(2024, 1, 1) + timedelta(hours=i), float(i)) for i in range(90)]
+    store = spark.createDataFrame(rows, "k int, at timestamp, v double")
+    seen = []
+    cut = lookup_module.chunk_hot_groups
+
+    def watched(df, *args, **options):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df, *args, **options)
+
+    monkeypatch.setattr(lookup_module, "chunk_hot_groups", watched)
+    got = historical_features(store.drop("v"), store, ["k"], "at", "at", ["v"], max_rows=7)
+    assert "Union" not in seen[0] and seen[0].count("Relation") == 1  # sizes, cold and hot rows read one stored table
+    assert sorted(map(tuple, got.select("k", "at", "v").collect())) == sorted(rows)
