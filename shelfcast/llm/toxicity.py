@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import sys
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -27,7 +28,10 @@ HARD_SENTENCES = 3
 LEVELS = (-0.75, -0.25, 0.25)
 # Most labelled documents that the model is fitted on.
 TRAIN_DOCS = 20_000
-KNOWN_WORDS = 400_000
+# Words, and words that match anything, that a task remembers; beyond, it begins anew.
+KNOWN_WORDS, KNOWN_MATCHES = 200_000, 32_768
+# Units compared with the landmarks at once, and those of one length among them.
+UNITS, ROWS = 8192, 1024
 
 _LETTERS = 64
 _START, _END, _OTHER = 1, 2, 3
@@ -47,6 +51,24 @@ def _codes(unit: str) -> list[int]:
     return out
 
 
+def _code_table() -> np.ndarray:
+    """The number of each character, filled as characters come; 0 where not known yet."""
+    return np.zeros(sys.maxunicode + 1, dtype=np.uint8)
+
+
+def _codes_of(units: list[str], length: int, table: np.ndarray) -> np.ndarray:
+    """The numbers of units of one length, one row each, by a table of those of characters."""
+    points = np.frombuffer("".join(units).encode("utf-32-le"), dtype="<u4").reshape(len(units), length)
+    codes = table[points]
+    if length and not codes.all():
+        for point in np.unique(points[codes == 0]):
+            table[point] = _codes(chr(point))[1]
+        codes = table[points]
+    out = np.empty((len(units), length + 2), dtype=np.int32)
+    out[:, 0], out[:, 1:-1], out[:, -1] = _START, codes, _END
+    return out
+
+
 def _triples(length: int) -> tuple[np.ndarray, np.ndarray]:
     places = [p for p in itertools.combinations(range(length), ORDER) if p[-1] - p[0] < SPAN]
     index = np.array(places, dtype=np.int64).reshape(-1, ORDER)
@@ -74,6 +96,12 @@ class StringKernel:
         self.starts = np.cumsum([0, *map(len, rows)])
         self.owners = np.array([n for row in rows for n in row], dtype=np.int64)
         self.shares = np.array([v for row in rows for v in row.values()], dtype=np.float64)
+        # The largest share of a landmark in each subsequence; rounded up, as it bounds what a unit can reach.
+        self.most = np.zeros(_LETTERS ** ORDER, dtype=np.float32)
+        for code in np.flatnonzero(self.row_of >= 0):
+            row = self.row_of[code]
+            self.most[code] = self.shares[self.starts[row]:self.starts[row + 1]].max() * (1 + 1e-6)
+        self.table = _code_table()
 
     def _subsequences(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all subsequences of units of one length, and their weights."""
@@ -89,39 +117,52 @@ class StringKernel:
     def __call__(self, units: list[str], least: float = 0.0) -> np.ndarray:
         """One row per unit; the best part of a long unit counts. Rows without a value from ``least`` on are 0."""
         out = np.zeros((len(units), len(self.landmarks)), dtype=np.float32)
-        by_length: dict[int, list[tuple[int, list[int]]]] = {}
+        by_length: dict[int, list[int]] = {}
+        parts: list[tuple[int, list[int]]] = []
         for i, unit in enumerate(units):
-            codes = _codes(unit)
-            if len(codes) <= UNIT_CHARS:
-                by_length.setdefault(len(codes), []).append((i, codes))
+            if len(unit) + 2 <= UNIT_CHARS:
+                by_length.setdefault(len(unit), []).append(i)
             else:
-                step = UNIT_CHARS // 2
+                codes, step = _codes(unit), UNIT_CHARS // 2
                 for at in range(0, len(codes) - step, step):
-                    part = codes[max(0, min(at, len(codes) - UNIT_CHARS)):][:UNIT_CHARS]
-                    by_length.setdefault(UNIT_CHARS, []).append((i, part))
+                    parts.append((i, codes[max(0, min(at, len(codes) - UNIT_CHARS)):][:UNIT_CHARS]))
         for length, rows in by_length.items():
-            if length < ORDER:
+            if length + 2 < ORDER:
                 continue
-            for at in range(0, len(rows), 2048):
-                some = rows[at:at + 2048]
-                codes, weights = self._subsequences(np.array([c for _, c in some], dtype=np.int32))
-                hits = self.row_of[codes]
-                unit, place = np.nonzero(hits >= 0)
-                first = self.starts[hits[unit, place]]
-                lengths = self.starts[hits[unit, place] + 1] - first
-                ends = np.cumsum(lengths)
-                entry = np.repeat(first - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
-                cell = np.repeat(unit * len(self.landmarks), lengths) + self.owners[entry]
-                raw = np.bincount(cell, self.shares[entry] * np.repeat(weights[place], lengths),
-                                  minlength=len(some) * len(self.landmarks)).reshape(len(some), -1)
-                # A norm is least when all subsequences differ; units that are too far even so need none.
-                near = np.flatnonzero((raw.max(axis=1, initial=0) > 0) & (
-                    raw.max(axis=1, initial=0) >= least * np.sqrt((weights ** 2).sum()) * (1 - 1e-5)))
-                if len(near):
-                    similar = raw[near] / _norms(codes[near], weights)[:, None]
-                    np.maximum.at(out, [some[f][0] for f in near], similar.astype(np.float32))
+            for at in range(0, len(rows), ROWS):
+                some = rows[at:at + ROWS]
+                near, similar = self._similar(_codes_of([units[i] for i in some], length, self.table), least)
+                out[np.array(some)[near]] = similar
+        for at in range(0, len(parts), ROWS):
+            some = parts[at:at + ROWS]
+            near, similar = self._similar(np.array([c for _, c in some], dtype=np.int32), least)
+            np.maximum.at(out, [some[f][0] for f in near], similar)
         return out
 
+    def _similar(self, units: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of units of one length, given as numbers, those that may reach ``least`` with a landmark, and their values."""
+        codes, weights = self._subsequences(units)
+        # A norm is least when all subsequences differ; units that are too far even so need none.
+        needed = least * np.sqrt((weights ** 2).sum()) * (1 - 1e-5)
+        # Most words are too far even if one landmark had the largest share of each of their subsequences.
+        bound = self.most[codes] @ weights
+        some = np.flatnonzero((bound > 0) & (bound >= needed * (1 - 1e-5)))
+        codes = codes[some]
+        hits = self.row_of[codes]
+        unit, place = np.nonzero(hits >= 0)
+        first = self.starts[hits[unit, place]]
+        lengths = self.starts[hits[unit, place] + 1] - first
+        ends = np.cumsum(lengths)
+        entry = np.repeat(first - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+        cell = np.repeat(unit * len(self.landmarks), lengths) + self.owners[entry]
+        raw = np.bincount(cell, self.shares[entry] * np.repeat(weights[place], lengths),
+                          minlength=len(some) * len(self.landmarks)).reshape(len(some), len(self.landmarks))
+        most = raw.max(axis=1, initial=0)
+        near = np.flatnonzero((most > 0) & (most >= needed))
+        if not len(near):
+            return near, np.empty((0, len(self.landmarks)), dtype=np.float32)
+        return some[near], (raw[near] / _norms(codes[near], weights)[:, None]).astype(np.float32)
+
 
 def _norms(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Square roots of the kernel of each row of subsequences with itself."""
@@ -136,6 +177,8 @@ def _norms(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def _unit(word: str) -> str:
     """A word in lower case without the signs around it."""
+    if word.isascii() and word[:1].isalnum() and word[-1].isalnum():
+        return word.lower()
     at, end = 0, len(word)
     while at < end and not word[at].isalnum():
         at += 1
@@ -176,49 +219,124 @@ def _spelled(words: list[str]) -> list[str]:
     return out
 
 
+@dataclass
+class Matches:
+    """Words of some texts that match anything, as rows of a table of matches, and the sentences they stand in."""
+
+    rows: np.ndarray  # one per match, in order
+    sentence_starts: np.ndarray  # the first match of each sentence that has one
+    sentence_text: np.ndarray  # and its text
+    match_text: np.ndarray  # the text of each match
+    sizes: np.ndarray  # words of each text
+
+
 class SentenceFeatures:
     """For each sentence of a text, the best match of its words with each landmark."""
 
     def __init__(self, landmarks: list[str]):
         self.kernel = StringKernel(landmarks)
+        self.forget()
+
+    def forget(self) -> None:
+        """Begin anew. Row 0 of the matches is that of words that match nothing."""
         self.place: dict[str, int] = {}
-        self.rows = [np.zeros(len(landmarks), dtype=np.float32)]
+        # Of each known word: its row, its length, whether it ends a sentence.
+        self.row, self.chars, self.ends = (np.empty(0, dtype=k) for k in (np.int32, np.int32, bool))
+        self.matches = np.zeros((1, len(self.kernel.landmarks)), dtype=np.float32)
+        self.count = 1
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.place) > KNOWN_WORDS:
-            self.place.clear()
-            del self.rows[1:]
-        units = sorted({_unit(w) for w in words})
-        similar = self.kernel(units, LEAST_MATCH)
+        own = list(map(_unit, words))
+        units = list(dict.fromkeys(own))
         near = dict.fromkeys(units, 0)
-        for i in np.flatnonzero(similar.max(axis=1, initial=0) >= LEAST_MATCH):
-            near[units[i]] = len(self.rows)
-            self.rows.append(np.where(similar[i] >= LEAST_MATCH, similar[i], 0).astype(np.float32))
-        for word in words:
-            self.place[word] = near[_unit(word)]
+        for at in range(0, len(units), UNITS):
+            some = units[at:at + UNITS]
+            similar = self.kernel(some, LEAST_MATCH)
+            found = np.flatnonzero(similar.max(axis=1, initial=0) >= LEAST_MATCH)
+            near.update(zip([some[i] for i in found], range(self.count, self.count + len(found)), strict=True))
+            if self.count + len(found) > len(self.matches):
+                grown = np.zeros((max(2 * len(self.matches), self.count + len(found)), self.matches.shape[1]), np.float32)
+                grown[:self.count] = self.matches[:self.count]
+                self.matches = grown
+            values = similar[found]
+            self.matches[self.count:self.count + len(found)] = np.where(values >= LEAST_MATCH, values, 0)
+            self.count += len(found)
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.row = np.append(self.row, np.fromiter(map(near.__getitem__, own), np.int32, len(words)))
+        self.chars = np.append(self.chars, np.fromiter(map(len, words), np.int32, len(words)))
+        self.ends = np.append(self.ends, np.fromiter((w[-1] in ".!?" for w in words), bool, len(words)))
+
+    def _places(self, words: list[str], keep: bool = False) -> np.ndarray:
+        found = list(map(self.place.get, words))
+        if None in found:
+            new = {w for w, p in zip(words, found, strict=True) if p is None}
+            if not keep and (len(self.place) + len(new) > KNOWN_WORDS or self.count > KNOWN_MATCHES):
+                self.forget()
+                new = set(words)
+            self._learn(list(new))
+            found = list(map(self.place.__getitem__, words))
+        return np.array(found, dtype=np.int64)
+
+    def find(self, texts: list[str]) -> Matches:
+        """The matches of all texts; a sentence ends as ``sentences`` has it, with the words its letters spell."""
+        words: list[str] = []
+        line_ends, text_ends = [0], [0]
+        for text in texts:
+            for line in text.split("\n"):
+                words += line.split()
+                line_ends.append(len(words))
+            text_ends.append(len(words))
+        sizes = np.diff(text_ends)
+        if not words:
+            nothing = np.empty(0, dtype=np.int64)
+            return Matches(nothing, nothing, nothing, nothing, sizes)
+        places = self._places(words)
+        last = self.ends[places]
+        last[np.array(line_ends[1:], dtype=np.int64) - 1] = True
+        stops = np.flatnonzero(last) + 1
+        starts = np.concatenate([[0], stops[:-1]]).astype(np.int64)
+        sentence = np.repeat(np.arange(len(stops)), stops - starts)
+        text_of = np.searchsorted(np.array(text_ends[1:]), starts, side="right")
+        # Sentences that may spell words: of few letters each, or with three single ones in a row.
+        chars = self.chars[places]
+        odd = np.add.reduceat(chars, starts) <= 2 * (stops - starts)
+        single = (chars == 1) & np.append(chars[1:] == 1, False)  # and the next one
+        in_row = np.flatnonzero(single[:-2] & single[1:-1] & (sentence[:-2] == sentence[2:]))
+        odd[sentence[in_row]] = True
+        extra, owners = [], []
+        for s in np.flatnonzero(odd):
+            own = words[starts[s]:stops[s]]
+            spelled = _spelled(own)[len(own):]
+            extra += spelled
+            owners += [s] * len(spelled)
+        rows = self.row[places]
+        if extra:
+            # They go behind the words of their sentences; what is known is kept meanwhile.
+            behind = self._places(extra, keep=True)
+            rows = np.concatenate([rows, self.row[behind]])
+            sentence = np.concatenate([sentence, np.array(owners)])
+            order = np.argsort(sentence, kind="stable")
+            rows, sentence = rows[order], sentence[order]
+            sizes = sizes + np.bincount(text_of[owners], minlength=len(texts))
+        hit = np.flatnonzero(rows)
+        rows, sentence = rows[hit], sentence[hit]
+        firsts = np.flatnonzero(np.diff(sentence, prepend=-1))
+        return Matches(rows, firsts, text_of[sentence[firsts]], text_of[sentence], sizes)
+
+    def vectors(self, found: Matches) -> np.ndarray:
+        """Of each sentence that has a match, the best with each landmark."""
+        if not len(found.rows):
+            return np.empty((0, self.matches.shape[1]), dtype=np.float32)
+        return np.maximum.reduceat(self.matches[found.rows], found.sentence_starts, axis=0)
 
     def __call__(self, texts: list[str]) -> list[tuple[list[np.ndarray], list[np.ndarray], int]]:
         """Per text, the vectors of the sentences and of the words that match anything, and the count of words."""
-        split = [list(sentences(t)) for t in texts]
-        new = {w for text in split for words in text for w in words if w not in self.place}
-        if new or len(self.place) > KNOWN_WORDS:
-            if len(self.place) + len(new) > KNOWN_WORDS:
-                self.place.clear()
-                del self.rows[1:]
-                new = {w for text in split for words in text for w in words}
-            self._learn(list(new))
-        out = []
-        place, rows = self.place, self.rows
-        for text in split:
-            found, matched, size = [], [], 0
-            for words in text:
-                hits = [h for w in words if (h := place[w])]
-                size += len(words)
-                if hits:
-                    matched += [rows[h] for h in hits]
-                    found.append(np.max(matched[-len(hits):], axis=0))
-            out.append((found, matched, size))
-        return out
+        found = self.find(texts)
+        vectors = self.vectors(found)
+        sentence_at = np.searchsorted(found.sentence_text, np.arange(len(texts) + 1))
+        match_at = np.searchsorted(found.match_text, np.arange(len(texts) + 1))
+        return [(list(vectors[a:b]), list(self.matches[found.rows[c:d]]), int(size)) for (a, b), (c, d), size in zip(
+            itertools.pairwise(sentence_at), itertools.pairwise(match_at), found.sizes, strict=True)]
 
 
 def _in_parts(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
@@ -243,19 +361,27 @@ class ToxicityModel:
     calibration: np.ndarray  # of the document's features, then the intercept
     prior: float
 
-    def document_features(self, found: list[np.ndarray], matched: list[np.ndarray], size: int) -> list[float]:
-        margins = (np.stack(found) @ self.weights + self.bias) if found else np.array([self.bias])
-        words = (np.stack(matched) @ self.weights + self.bias) if matched else np.array([self.bias])
-        return [float(np.clip(margins.max(), -3, 3)), *[float(np.log1p((words > v).sum())) for v in LEVELS],
-                float(np.log1p(size))]
+    def document_features(self, features: SentenceFeatures, found: Matches) -> np.ndarray:
+        """One row per text: its largest margin, the counts of its words above the levels, its words."""
+        out = np.empty((len(found.sizes), len(LEVELS) + 2))
+        margin = np.full(len(out), -np.inf)
+        np.maximum.at(margin, found.sentence_text, features.vectors(found) @ self.weights + self.bias)
+        out[:, 0] = np.clip(np.where(np.isinf(margin), self.bias, margin), -3, 3)
+        different, place = np.unique(found.rows, return_inverse=True)
+        words = (features.matches[different] @ self.weights + self.bias)[place]
+        unmatched = np.bincount(found.match_text, minlength=len(out)) == 0
+        for i, level in enumerate(LEVELS, start=1):
+            above = np.bincount(found.match_text[words > level], minlength=len(out))
+            out[:, i] = np.log1p(np.where(unmatched, self.bias > level, above))
+        out[:, -1] = np.log1p(found.sizes)
+        return out
 
     def scorer(self) -> Callable[[list[str]], Iterator[list[float]]]:
         features = SentenceFeatures(self.landmarks)
 
         def run(texts: list[str]) -> Iterator[list[float]]:
             for part in _in_parts(texts):
-                for found in features(part):
-                    yield self.document_features(*found)
+                yield from self.document_features(features, features.find(part)).tolist()
         return run
 
     def probability(self, features: list[float]) -> float:

@@ -83,3 +83,31 @@ def test_without_both_classes_the_prior_is_returned(spark, documents):
     model = toxicity.train_toxicity(docs, labels)
     assert {r.score for r in toxicity.score_toxicity(docs, model).collect()} == {model.prior}
     assert toxicity.score_toxicity(documents([]), model).collect() == []
+
+
+def test_features_equal_sentences_taken_one_by_one(monkeypatch):
+    """Flat arrays give what a walk over the sentences gives, also when the memory is emptied in between."""
+    monkeypatch.setattr(toxicity, "KNOWN_WORDS", 40)
+    monkeypatch.setattr(toxicity, "KNOWN_MATCHES", 5)
+    landmarks = ["idiot", "vermin", "élan"]
+    rows, _ = corpus(40)
+    texts = ["", "\n\n", "i d i o t. you (v e r m i n\nquiet\n\nidiot", "a b c d", "v.e", *[t for _, t in rows], "Idiot! " * 9]
+    features, kernel = SentenceFeatures(landmarks), StringKernel(landmarks)
+    known = {}
+
+    def values(word):
+        if word not in known:
+            best = kernel([toxicity._unit(word)])[0]
+            known[word] = np.where(best >= toxicity.LEAST_MATCH, best, 0)
+        return known[word]
+
+    for at in range(0, len(texts), 9):
+        found = features.find(texts[at:at + 9])
+        vectors = features.vectors(found)
+        for i, text in enumerate(texts[at:at + 9]):
+            words = [[values(w) for w in s] for s in toxicity.sentences(text)]
+            want = [np.max(s, axis=0) for s in words if np.any(s)]
+            got = vectors[found.sentence_text == i]
+            assert len(got) == len(want) and (not want or np.allclose(got, want))
+            assert found.sizes[i] == sum(map(len, words))
+            assert (found.match_text == i).sum() == sum(v.any() for s in words for v in s)
