@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 # Characters of the texts taken at once; bytes, roughly, of the runs and of the words that an encoder remembers.
 TEXT_CHARS = 2_000_000
-KNOWN_BYTES = 96 << 20
+KNOWN_BYTES = 48 << 20
 # What a remembered value takes beside its characters and ids.
 ENTRY_BYTES = 160
 # The letters up to here have one-character lower cases that all Unicode versions share, but for one capital.
@@ -84,7 +84,7 @@ class WordEncoder:
         self.ids, self.starts, self.held = np.empty(0, dtype="<u4"), np.zeros(1, dtype=np.int64), 0
 
     def _word(self, word: str) -> tuple[int, ...]:
-        letters = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
         ids = tuple([t.id for t in self.tokenizer.model.tokenize(letters)])
         if self.words_bytes > self.known_bytes:
             self.words.clear()
@@ -95,8 +95,11 @@ class WordEncoder:
 
     def _is_plain(self, run: str) -> bool:
         """Whether the steps of ``_encode`` give what the whole tokenizer gives."""
-        if self.pattern is None or not run.isprintable() or not self.marks.isdisjoint(run):
+        if self.pattern is None or not run.isprintable():
             return False
+        for mark in self.marks:
+            if mark in run:
+                return False
         return run.isascii() or (
             max(run) <= LAST_PLAIN and ODD_CAPITAL not in run and unicodedata.is_normalized("NFC", run))
 
@@ -128,8 +131,7 @@ class WordEncoder:
     def _learn(self, runs: list[str]) -> None:
         encoded = self._encode(runs)
         lengths = np.fromiter(map(len, encoded), dtype=np.int64, count=len(runs))
-        for run in runs:
-            self.place[run] = len(self.place)
+        self.place.update(zip(runs, range(len(self.place), len(self.place) + len(runs)), strict=True))
         new = np.fromiter(itertools.chain.from_iterable(encoded), dtype="<u4", count=int(lengths.sum()))
         self.ids = np.concatenate([self.ids, new])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
@@ -141,11 +143,12 @@ class WordEncoder:
             self._forget()
         split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
         coded = split.flatten().dictionary_encode()
-        runs = coded.dictionary.to_pylist()
-        new = [r for r in runs if r not in self.place]
-        if new:
-            self._learn(new)
-        rows = np.fromiter(map(self.place.__getitem__, runs), dtype=np.int64, count=len(runs))
+        runs = words_of(coded.dictionary)
+        places = list(map(self.place.get, runs))
+        if None in places:
+            self._learn([r for r, p in zip(runs, places, strict=True) if p is None])
+            places = list(map(self.place.__getitem__, runs))
+        rows = np.array(places, dtype=np.int64)
         rows = rows[coded.indices.to_numpy()] if len(runs) else rows
         first = self.starts[rows]
         lengths = self.starts[rows + 1] - first
@@ -169,6 +172,19 @@ class WordEncoder:
                 yield ids[a:b]
 
 
+def joined(words: pa.Array, end: str = "\n") -> pa.Buffer | bytes:
+    """The bytes of all words with ``end`` between them."""
+    if not len(words):
+        return b""
+    whole = pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words.cast(pa.large_string()))
+    return pc.binary_join(whole, pa.scalar(end, pa.large_string()))[0].as_buffer()
+
+
+def words_of(words: pa.Array) -> list[str]:
+    """The words, none of which has a line end, as a list; many times faster than one by one."""
+    return str(joined(words), "utf-8").split("\n") if len(words) else []
+
+
 def in_parts(texts: list[str], chars: int) -> Iterator[list[str]]:
     part, held = [], 0
     for text in texts:

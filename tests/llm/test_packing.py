@@ -2,10 +2,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from shelfcast.llm.encoder import WordEncoder
+from shelfcast.llm.encoder import WordEncoder, joined, words_of
 from shelfcast.llm.packing import Lane, Piece, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -80,3 +81,10 @@ def test_runs_between_spaces_give_the_same_tokens(known):
     for _ in range(2):
         got = [ids.tolist() for ids in encoder(texts, 2)]
         assert got == [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_runs_are_listed_at_once():
+    words = ["a", "", "ünï", "x y", "😀"]
+    array = pa.array(["no", *words, "no"]).slice(1, len(words))
+    assert words_of(array) == words and words_of(array.cast(pa.large_string())) == words
+    assert words_of(pa.array([], pa.string())) == [] and bytes(joined(array, ".")) == ".".join(words).encode()
