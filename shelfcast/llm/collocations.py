@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.llm.encoder import in_parts
+from shelfcast.llm.encoder import in_parts, joined
 from shelfcast.operators.skew import broadcast_if_small
 from shelfcast.session import store_table
 
@@ -56,13 +56,14 @@ class Words:
     begins: np.ndarray
 
 
-def find_words(texts: list[str], ends: bytes = PIECE_ENDS, spaces: bytes = SPACES) -> Words:
+def find_words(texts: list[str] | pa.Array, ends: bytes = PIECE_ENDS, spaces: bytes = SPACES) -> Words:
     """All words of the texts, A to Z in lower case. No piece spans two texts."""
     kinds, lower = _byte_kinds(ends, spaces)
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
     # A byte that ends pieces stands before, between and behind the texts.
-    end = ends[:1].decode()
-    raw = np.frombuffer((end + end.join(texts) + end).encode(), dtype=np.uint8)
-    sizes = np.fromiter((len(t.encode()) for t in texts), dtype=np.int64, count=len(texts))
+    end = ends[:1]
+    raw = np.frombuffer(b"".join([end, joined(texts, end.decode()), end]), dtype=np.uint8)
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     text_starts = 1 + np.cumsum(sizes + 1) - (sizes + 1)
     kind = kinds[raw]
     inside = (kind == 0).view(np.int8)
@@ -79,8 +80,9 @@ def find_words(texts: list[str], ends: bytes = PIECE_ENDS, spaces: bytes = SPACE
 def _coded(words: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Number of each word among the different ones, those, and their 64-bit hashes."""
     coded = words.dictionary_encode()
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), dtype=np.uint64,
-                         count=len(coded.dictionary))
+    # No word has a line end.
+    different = bytes(joined(coded.dictionary)).split(b"\n") if len(coded.dictionary) else []
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, different), dtype=np.uint64, count=len(different))
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary, hashes
 
 
@@ -173,7 +175,7 @@ def _in_filter(pages: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     return (pages[buckets >> 3] >> (buckets & 7).astype(np.uint8)) & 1 == 1
 
 
-def count_phrases(langs: pa.Array, chunks: list[str], shared: np.ndarray, n: np.ndarray, size: int,
+def count_phrases(langs: pa.Array, chunks: list[str] | pa.Array, shared: np.ndarray, n: np.ndarray, size: int,
                   filters: list[np.ndarray], bits: int) -> pa.Table:
     """``lang, phrase, f`` of the phrases of ``size`` words in some chunks.
 
@@ -200,9 +202,12 @@ def count_phrases(langs: pa.Array, chunks: list[str], shared: np.ndarray, n: np.
     key = lang_codes.indices.to_numpy().astype(np.int64)[found.text[at]]
     for j in range(size):
         # Numbers of phrases so far are below the number of places, so that the products stay small.
-        _, first, key = np.unique(key * width + codes[at + j], return_index=True, return_inverse=True)
-    totals = np.bincount(key, weights=n[found.text[at]], minlength=len(first) if len(at) else 0)
-    picked = at[first] if len(at) else at
+        coded = pa.array(key * width + codes[at + j]).dictionary_encode()
+        key = coded.indices.to_numpy().astype(np.int64)
+    totals = np.bincount(key, weights=n[found.text[at]], minlength=len(coded.dictionary))
+    # The first place of each phrase: the last one written, from the end.
+    picked = np.empty(len(coded.dictionary), dtype=np.int64)
+    picked[key[::-1]] = at[::-1]
     parts = [words.take(pa.array(codes[picked + j])) for j in range(size)]
     phrases = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
     return pa.table({"lang": langs.take(pa.array(found.text[picked])), "phrase": phrases,
@@ -229,7 +234,7 @@ def _phrases_of(chunks: DataFrame, size: int, filters: list[np.ndarray], bits: i
         if not rows.num_rows:
             return []
         langs = rows["lang"].chunk(0)
-        return count_phrases(langs, rows["chunk"].to_pylist(), rows["shared"].to_numpy().astype(np.int64),
+        return count_phrases(langs, rows["chunk"].chunk(0), rows["shared"].to_numpy().astype(np.int64),
                              rows["n"].to_numpy(), size, filters, bits).combine_chunks().to_batches()
 
     narrow = chunks.select("lang", "shared", "chunk", "n")
@@ -246,7 +251,7 @@ def frequency_filter(phrases: DataFrame, size: int, bits: int = FILTER_BITS) ->
     def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = find_words(batch.column("phrase").to_pylist(), b"\n", b" ")
+                found = find_words(batch.column("phrase"), b"\n", b" ")
                 codes, _, hashes = _coded(found.words)
                 rolled = window_hashes(hashes[codes], size)[::size]
                 buckets = _buckets(_lang_hashes(batch.column("lang")), rolled, bits)

@@ -109,3 +109,14 @@ def test_counts_of_large_weights_are_exact():
                                        np.array([2**50 + 1, 3]), 2, [], 26)
     assert sorted(found.to_pylist(), key=str) == [
         {"lang": "en", "phrase": "a b", "f": 2**50 + 4}, {"lang": "en", "phrase": "b c", "f": 3}]
+
+
+def test_words_of_arrow_texts_equal_those_of_lists():
+    """Chunks are counted from the Arrow column itself, a slice of it too."""
+    texts = ["One two, two", "", "ünï ßx.\nthree", "two One"]
+    array = pa.array(["skip", *texts]).slice(1)
+    a, b = collocations.find_words(texts), collocations.find_words(array)
+    assert a.words.equals(b.words) and (a.text == b.text).all() and (a.begins == b.begins).all()
+    langs, none = pa.array(["en"] * 3), np.zeros(3, dtype=np.int64)
+    got = collocations.count_phrases(langs, pa.array(["a b a b", "b a", "a b"]), none, np.array([2, 1, 5]), 2, [], 26)
+    assert sorted(zip(got["phrase"].to_pylist(), got["f"].to_pylist(), strict=True)) == [("a b", 9), ("b a", 3)]
