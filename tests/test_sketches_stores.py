@@ -1,7 +1,9 @@
 """Mergeable sketches, counters gathered at load time, bucketed stores, horizons for a model, the streamed gauge."""
 
 import random
+import time
 from datetime import date, datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from shelfcast.operators import quality, sketches
 from shelfcast.operators.horizon import horizon_training
 from shelfcast.operators.lookup import BucketedStore, online_features
 from shelfcast.operators.requestlog import active_requests, running_gauge
+from shelfcast.session import drop_table, store_table
 from shelfcast.streaming import jobs
 from shelfcast.streaming.run import run_totals
 
@@ -104,3 +107,28 @@ def test_streamed_gauge_equals_the_batch(spark, tmp_path):
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = running_gauge(run_totals(jobs.gauge_changes(stream, lateness="2 days"), "gauge", ["at"]))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, active_requests(log).collect()))
+
+
+def test_stored_tables_leave_no_shuffle_files_and_can_be_dropped(spark, tmp_path):
+    """Shuffles of a stored table go with its write; a dropped table's folder goes, and no other one."""
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def shuffles():
+        return {f.name for d in folders for f in Path(d).glob("*/shuffle_*.data")}
+
+    before = shuffles()
+    wanted = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    table = store_table(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "clean")
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == wanted
+    deadline = time.time() + 20
+    while shuffles() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert table.count() == 7
+    other = str(tmp_path / "mine")
+    spark.range(3).write.parquet(other)
+    folder = Path(table.inputFiles()[0].split(":", 1)[1].replace("//", "/").replace("//", "/")).parent
+    assert folder.exists()
+    drop_table(table)
+    drop_table(spark.read.parquet(other))
+    assert not folder.exists() and Path(other).exists()
