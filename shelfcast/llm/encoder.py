@@ -9,6 +9,7 @@ import re
 import sys
 import types
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +17,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Characters of the texts taken at once; bytes, roughly, of the runs and of the words that an encoder remembers.
-TEXT_CHARS = 2_000_000
+TEXT_CHARS = 500_000
 KNOWN_BYTES = 48 << 20
 # What a remembered value takes beside its characters and ids.
 ENTRY_BYTES = 160
+ID_BYTES = array("I").itemsize
 # The letters up to here have one-character lower cases that all Unicode versions share, but for one capital.
 LAST_PLAIN, ODD_CAPITAL = "ſ", "İ"
 # The end of a word pattern by which letters run together and signs stay apart from them.
@@ -58,8 +60,15 @@ class WordEncoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Characters that added tokens begin with; those stand for themselves wherever they occur.
         self.marks = {c for text in added if text for c in (text[0].lower(), text[0].upper())}
+        # Whether a run of ASCII letters is one word, whatever else the tokenizer does.
+        self.ascii_joins = self.letters_join and not any(
+            c in SIGNS or (c.isascii() and c.isalpha()) for c in self.marks)
+        # The words are remembered here, and a cache of the model's own is filled for nothing.
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)
         self.letters = _byte_letters()
-        self.words: dict[str, tuple[int, ...]] = {}
+        # Ids are held as bytes, which the garbage collector need not visit.
+        self.words: dict[str, bytes] = {}
         self.words_bytes = 0
         self._forget()
 
@@ -83,9 +92,9 @@ class WordEncoder:
         self.place: dict[str, int] = {}
         self.ids, self.starts, self.held = np.empty(0, dtype="<u4"), np.zeros(1, dtype=np.int64), 0
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
         letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        ids = tuple([t.id for t in self.tokenizer.model.tokenize(letters)])
+        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
         if self.words_bytes > self.known_bytes:
             self.words.clear()
             self.words_bytes = 0
@@ -103,10 +112,28 @@ class WordEncoder:
         return run.isascii() or (
             max(run) <= LAST_PLAIN and ODD_CAPITAL not in run and unicodedata.is_normalized("NFC", run))
 
-    def _encode(self, runs: list[str]) -> list[tuple[int, ...] | list[int]]:
+    def _joined(self, runs: pa.Array) -> list[bool]:
+        """Whether each run is ASCII letters that make one word."""
+        if not self.ascii_joins:
+            return [False] * len(runs)
+        return pc.ascii_is_alpha(runs).to_numpy(zero_copy_only=False).tolist()
+
+    def _encode(self, runs: list[str]) -> list[bytes]:
         out: list = [None] * len(runs)
         others, get, word_of = [], self.words.get, self._word
-        for i, run in enumerate(runs):
+        column = pa.array(runs, pa.large_string())
+        # Most runs are ASCII letters, or such with one sign behind them; they need none of the tests below.
+        stems = pc.utf8_slice_codeunits(column, 0, -1)
+        lows = words_of(pc.ascii_lower(column))
+        letters = (self._joined(column), self._joined(stems))
+        for i, (run, low, whole, stem) in enumerate(zip(runs, lows, *letters, strict=True)):
+            if whole:
+                out[i] = get(low) or word_of(low)
+                continue
+            if stem and low[-1] in SIGNS:
+                word, sign = low[:-1], low[-1]
+                out[i] = (get(word) or word_of(word)) + (get(sign) or word_of(sign))
+                continue
             if not self._is_plain(run):
                 others.append(i)
                 continue
@@ -117,22 +144,19 @@ class WordEncoder:
                 parts = (low[:-1], low[-1])
             else:
                 parts = self.pattern.findall(low)
-            ids: tuple[int, ...] = ()
-            for part in parts:
-                ids += get(part) or word_of(part)
-            out[i] = ids
+            out[i] = b"".join([get(part) or word_of(part) for part in parts])
         for at in range(0, len(others), 4096):
             part = others[at:at + 4096]
             encoded = self.tokenizer.encode_batch_fast([runs[i] for i in part], add_special_tokens=False)
             for i, e in zip(part, encoded, strict=True):
-                out[i] = e.ids
+                out[i] = array("I", e.ids).tobytes()
         return out
 
     def _learn(self, runs: list[str]) -> None:
         encoded = self._encode(runs)
-        lengths = np.fromiter(map(len, encoded), dtype=np.int64, count=len(runs))
+        lengths = np.fromiter(map(len, encoded), dtype=np.int64, count=len(runs)) // ID_BYTES
         self.place.update(zip(runs, range(len(self.place), len(self.place) + len(runs)), strict=True))
-        new = np.fromiter(itertools.chain.from_iterable(encoded), dtype="<u4", count=int(lengths.sum()))
+        new = np.frombuffer(b"".join(encoded), dtype=np.dtype("I")).astype("<u4", copy=False)
         self.ids = np.concatenate([self.ids, new])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
         self.held += sum(map(len, runs)) + ENTRY_BYTES * len(runs) + 4 * len(new)
