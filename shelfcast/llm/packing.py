@@ -25,6 +25,8 @@ PIECES = ("key {key}, start long, ids binary, doc_tokens long, lane long, sequen
 PIECE_NAMES = ["key", "start", "ids", "doc_tokens", "lane", "sequence", "offset", "open"]
 # Tokens that a task gathers before it hands full windows on.
 BATCH_TOKENS = 1_000_000
+# Rows of a batch that are taken as Python values at once.
+ROWS = 512
 
 
 class Piece:
@@ -61,7 +63,8 @@ class Lane:
             head, piece = piece.cut(self.window)
             self.full.append([head])
         if len(piece.ids):
-            self._place(piece)
+            # A copy: as a part of an array, a piece that waits would hold the ids of all texts encoded with it.
+            self._place(Piece(piece.key, piece.start, piece.ids.copy(), piece.doc_tokens))
         if self.count > self.limit:
             for rest in self._join():
                 self._open(rest)
@@ -152,18 +155,20 @@ def pack(
     def lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         number, first, lane, key_type = TaskContext.get().partitionId(), 0, Lane(window, open_windows), pa.null()
+        held = 0
         for batch in batches:
             encoder = encoder or worker_encoder(tokenizer_path)
             key_type = batch.schema.field("key").type
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            held = 0
-            for row_key, ids in zip(batch.column("key").to_pylist(), encoder(texts, end_id), strict=True):
-                lane.add(Piece(row_key, 0, ids, len(ids)))
-                held += len(ids)
-                if held > BATCH_TOKENS:
-                    yield _rows(lane.full, number, first, False, key_type)
-                    first += len(lane.full)
-                    lane.full, held = [], 0
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                texts = [t or "" for t in some.column("text").to_pylist()]
+                for row_key, ids in zip(some.column("key").to_pylist(), encoder(texts, end_id), strict=True):
+                    lane.add(Piece(row_key, 0, ids, len(ids)))
+                    held += len(ids)
+                    if held > BATCH_TOKENS:
+                        yield _rows(lane.full, number, first, False, key_type)
+                        first += len(lane.full)
+                        lane.full, held = [], 0
         if encoder is not None:
             rest = lane.finish()
             yield _rows(lane.full, number, first, False, key_type)
