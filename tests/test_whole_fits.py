@@ -34,3 +34,10 @@ def fitted(spark, tmp_path, monkeypatch):
 def test_batch_scoring_fits_on_all_training_rows(fitted):
     rows, seen = fitted("batch_scoring")
     assert len(rows) == ROWS and seen == [ROWS * 7 // 10]
+
+
+@pytest.mark.parametrize("name", ["train_gbt"])
+def test_training_fits_on_all_training_rows(fitted, name):
+    rows, seen = fitted(name)
+    parts = {r.split: r.rows for r in rows}
+    assert parts == {"train": 210, "val": 45, "test": 45} and seen == [parts["train"]]
