@@ -36,7 +36,7 @@ def test_batch_scoring_fits_on_all_training_rows(fitted):
     assert len(rows) == ROWS and seen == [ROWS * 7 // 10]
 
 
-@pytest.mark.parametrize("name", ["train_gbt"])
+@pytest.mark.parametrize("name", ["train_gbt", "train_rf"])
 def test_training_fits_on_all_training_rows(fitted, name):
     rows, seen = fitted(name)
     parts = {r.split: r.rows for r in rows}
